@@ -38,7 +38,7 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 def byte_chunks(sizes, limit: int):
     """Slices of consecutive rows with at most `limit` bytes each (one row at least)."""
-    start, total = 0, 0
+    start, total, sizes = 0, 0, list(sizes)
     for i, n in enumerate(sizes):
         if i > start and total + n > limit:
             yield slice(start, i)
