@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ["bpe", "token_counts"]
+MODULES = ["bpe", "token_counts", "simhash", "mixing", "sharding", "licences", "media"]
 
 
 def _merged(name: str) -> dict:
