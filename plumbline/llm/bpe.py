@@ -28,6 +28,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +39,9 @@ from plumbline.llm.common import byte_chunks, clean_text, table
 #: The byte-level pre-split pattern of the vocabulary (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words kept with their tokens in each Python worker.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 400_000
+#: Words encoded at a time.
+NEW_WORDS = 20_000
 #: Bytes of text taken at a time inside a task.
 CHUNK_BYTES = 2_000_000
 #: Words of more bytes are walked one by one.
@@ -67,6 +70,7 @@ class Automaton:
         self.labels = [tokens.get(i, b"") for i in range(self.n)]
         for text, i in special.items():
             self.labels[i] = text.encode()
+        self.widths = np.array([len(b) for b in self.labels], np.int64)
         bytes_first = {i: b for i, b in tokens.items() if len(b) == 1}
         self._compile(bytes_first, merges)
         self._trie({tokens[i]: i for i in np.flatnonzero(self.state >= 0).tolist()})
@@ -76,9 +80,30 @@ class Automaton:
         leads[list(singles)] = 0
         origin, without, since = [0], [-1], [-1]  # of a state: copied from, the arc left out, by which merge
         built: dict[int, list[tuple[int, int]]] = {}  # token -> (merge, token it is the left part of)
+        parts: dict[int, tuple[int, int, int]] = {}  # token -> (left part, right part, merge)
+        taken: dict[tuple[int, int], int] = {}  # (token, arc that its state lost) -> merge
+
+        def path(u: int, v: int) -> bool:
+            """Whether the state that u leads to still has an arc for v: neither u's last parts nor v's first lost it."""
+            x, until = u, len(merges)
+            while True:
+                y, since_y = v, len(merges)
+                while True:
+                    r = taken.get((x, y))
+                    if r is not None and r < until and r <= since_y:
+                        return False
+                    if y not in parts:
+                        break
+                    y, _, since_y = parts[y]
+                if x not in parts:
+                    return True
+                _, x, until = parts[x]
+
         for k, (u, v, w) in enumerate(merges):
-            if leads[u] < 0 or leads[v] < 0 or leads[w] >= 0:
+            if leads[u] < 0 or leads[v] < 0 or leads[w] >= 0 or not path(u, v):
                 continue  # no path u, v: no arc w
+            parts[w] = u, v, k
+            taken[u, v] = k
             leads[w] = leads[v]
             origin.append(int(leads[u]))
             without.append(v)
@@ -189,12 +214,12 @@ class Automaton:
             lane, node = lane[more], node[more]
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (lane, lane, lane)
 
-    def encode(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        """The tokens of each word."""
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """The tokens of each word, as 32-bit integers in native order."""
         size = np.array([len(w) for w in words], np.int64)
         data = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
         if not len(data):
-            return [() for _ in words]
+            return [b"" for _ in words]
         offset = np.cumsum(size) - size
         word = np.repeat(np.arange(len(words)), size)
         at = np.arange(len(data)) - offset[word]
@@ -219,15 +244,23 @@ class Automaton:
             for s, n, t in zip(slot[x].tolist(), length[x].tolist(), token[x].tolist(), strict=True):
                 if reached[s + n] < 0 and self.allowed(state[s], t):
                     reached[s + n], state[s + n] = t, self.state[t]
-        out, back, width = [], reached.tolist(), [len(x) for x in self.labels]
-        for i, n in enumerate(size.tolist()):
-            here, base, own = n, int(offset[i]) + i, []
-            while here:
-                t = back[base + here]
-                own.append(t)
-                here -= width[t]
-            out.append(tuple(own[::-1]))
-        return out
+        # walk back from the words' ends, all words at once
+        base = offset + np.arange(len(words))
+        here, count = base + size, np.zeros(len(words), np.int64)
+        steps = []
+        live = np.flatnonzero(size > 0)
+        while len(live):
+            t = reached[here[live]]
+            steps.append((live, t))
+            count[live] += 1
+            here[live] -= self.widths[t]
+            live = live[here[live] > base[live]]
+        flat = np.zeros(count.sum(), np.int32)
+        last = np.cumsum(count)
+        for i, (own, t) in enumerate(steps):
+            flat[last[own] - 1 - i] = t
+        data, cuts = flat.tobytes(), (4 * np.append(0, last)).tolist()
+        return [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def compile_file(path: str) -> Automaton:
@@ -259,18 +292,19 @@ class Encoder:
             return out
         return self.find(text)
 
-    def __call__(self, texts: list[str]) -> list[list[int]]:
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The tokens of each text, as 32-bit integers in native order."""
         split = [self.split(t) for t in texts]
         if len(self.words) > CACHE_WORDS:
             self.words = {}
         known = self.words
         new = list(set(chain.from_iterable(split)).difference(known))
-        for i in range(0, len(new), 100_000):
-            part = new[i : i + 100_000]
+        for i in range(0, len(new), NEW_WORDS):
+            part = new[i : i + NEW_WORDS]
             known.update(zip(part, self.automaton.encode([w.encode() for w in part]), strict=True))
         for name, i in self.automaton.special.items():
-            known[f"\0special{name}"] = (i,)
-        return [list(chain.from_iterable(map(known.__getitem__, x))) for x in split]
+            known[f"\0special{name}"] = np.int32(i).tobytes()
+        return [b"".join(map(known.__getitem__, x)) for x in split]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -283,25 +317,38 @@ def _encoder(path: str, automaton: Automaton) -> Encoder:
     return _encoders[path]
 
 
-def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None) -> DataFrame:
-    """df with a column of token ids of `text`: array<int>."""
+def _text(labels: list[bytes], ids: np.ndarray) -> str:
+    try:
+        b = b"".join(map(labels.__getitem__, ids.tolist()))
+    except IndexError:
+        b = b"".join(labels[i] for i in ids.tolist() if i < len(labels))
+    return b.decode("utf-8", "replace")
+
+
+def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None, decoded: str | None = None) -> DataFrame:
+    """df with a column of token ids of `text`: array<int>; decoded: a column for what these ids decode to, in the same pass."""
     path = path or default_path()
     shared = df.sparkSession.sparkContext.broadcast(compile_file(path))
-    rest = [c for c in df.columns if c != ids]
+    rest = [c for c in df.columns if c not in (ids, decoded)]
     df = df.select(*[clean_text(c).alias(c) if c == text else F.col(f"`{c}`") for c in rest])
     schema = T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False))])
+    if decoded:
+        schema = schema.add(decoded, T.StringType())
     at = rest.index(text)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = _encoder(path, shared.value)
         for batch in it:
-            texts = batch.column(at).to_pylist()
-            for part in byte_chunks(map(len, texts), CHUNK_BYTES):
-                found = run(texts[part])
-                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                flat = np.fromiter(chain.from_iterable(found), np.int32, int(ends[-1]))
-                column = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*batch.slice(part.start, len(found)).columns, column], names=[*rest, ids])
+            sizes = pc.binary_length(batch.column(at)).to_numpy(zero_copy_only=False).tolist()
+            for part in byte_chunks(sizes, CHUNK_BYTES):
+                rows = batch.slice(part.start, part.stop - part.start)
+                found = run(rows.column(at).to_pylist())
+                ends = np.cumsum([0, *map(len, found)]) // 4
+                flat = np.frombuffer(b"".join(found), np.int32)
+                own = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))]
+                if decoded:
+                    own.append(pa.array([_text(run.automaton.labels, np.frombuffer(x, np.int32)) for x in found], pa.string()))
+                yield pa.RecordBatch.from_arrays([*rows.columns, *own], names=schema.names)
 
     return df.mapInArrow(batches, schema)
 
@@ -317,18 +364,12 @@ def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", path: str | N
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels = shared.value
-        known = range(len(labels))
         for batch in it:
-            column = batch.column(at)
             out = []
             for i in range(batch.num_rows):
-                own = column[i].values
-                own = [] if own is None else own.to_numpy(zero_copy_only=False).tolist()
-                try:
-                    b = b"".join(map(labels.__getitem__, own))
-                except (IndexError, TypeError):
-                    b = b"".join(labels[x] for x in own if x in known)
-                out.append(b.decode("utf-8", "replace"))
+                own = batch.column(at)[i].values
+                own = np.zeros(0, np.int32) if own is None else own.drop_null().to_numpy(zero_copy_only=False)
+                out.append(_text(labels, own[own >= 0]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*rest, text])
 
     return df.mapInArrow(batches, schema)
@@ -336,7 +377,7 @@ def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", path: str | N
 
 def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text."""
-    done = decode(encode(docs.select("doc_id", "text"), path=path).select("doc_id", "ids"), path=path)
+    done = encode(docs.select("doc_id", "text"), path=path, decoded="decoded")
     return done.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
