@@ -256,6 +256,15 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", width
     return out.select(F.col(id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def deduplicate(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 3, bits: int = 3) -> DataFrame:
+    """df with one row of each group of near-duplicates: the one with the smallest id. Rows without an id cannot
+    stand for a group and all stay."""
+    groups = near_duplicates(df, id, text, width, bits)
+    first = written(df.sparkSession, groups.filter(F.col(id) == F.col("component_id")).select(id).distinct(), "first")
+    kept = df.join(first, id, "left_semi").dropDuplicates([id])
+    return kept.union(df.filter(F.col(id).isNull()))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
