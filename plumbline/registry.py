@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list[str] = []
+MODULES = ["operators.scalars", "operators.splits", "operators.metrics"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
