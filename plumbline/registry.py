@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["operators.scalars", "operators.splits", "operators.metrics", "operators.resample", "operators.compare"]
+MODULES = ["operators.scalars", "operators.splits", "operators.metrics", "operators.resample", "operators.compare", "operators.alarm", "operators.latency", "operators.quantise"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
