@@ -75,36 +75,42 @@ def viterbi(s: np.ndarray, trans: np.ndarray) -> list[int]:
     return path[::-1]
 
 
-def train(items: np.ndarray, features: list[list[int]], n_features: int, labels: np.ndarray, lengths: np.ndarray, weight: np.ndarray | None = None, rounds: int = 80, rate: float = 0.3, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+def train(
+    chunks: list[tuple[np.ndarray, np.ndarray, np.ndarray]], flat: np.ndarray, sizes: np.ndarray, n_features: int, rounds: int = 80, rate: float = 0.3, l2: float = 1e-4
+) -> tuple[np.ndarray, np.ndarray]:
     """Feature weights and transition weights, by AdaGrad on the mean log likelihood.
 
-    items: for every position the number of its feature list; weight: of each position's gradient.
+    chunks: (items, labels, lengths) of sequences; a position's item is the number of a feature list, and the lists
+    lie end to end in `flat`, with their `sizes`. One chunk's values are in memory at a time.
     """
-    steps = Steps(lengths)
-    sizes = np.array([len(x) for x in features], np.int64)
-    flat = np.fromiter((i for x in features for i in x), np.int64, int(sizes.sum()))
-    owner = np.repeat(np.arange(len(features)), sizes)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
     w, trans = np.zeros(n_features), np.zeros((2, 2))
     seen, seen_t = np.full(n_features, 1e-8), np.full((2, 2), 1e-8)
-    first = np.zeros(len(labels), bool)
-    first[(np.cumsum(lengths) - lengths)[np.asarray(lengths) > 0]] = True
-    at = np.flatnonzero(~first)
-    y = labels.astype(float)
-    weight = np.ones(len(y)) if weight is None else weight
-    want = np.array([[((1 - y[at - 1]) * (1 - y[at]) * weight[at]).sum(), ((1 - y[at - 1]) * y[at] * weight[at]).sum()], [(y[at - 1] * (1 - y[at]) * weight[at]).sum(), (y[at - 1] * y[at] * weight[at]).sum()]])
-    scale = 1 / max(1.0, weight.sum())
+    plans = []
+    for items, _, lengths in chunks:
+        lengths = np.asarray(lengths, np.int64)
+        first = np.zeros(len(items), bool)
+        first[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
+        plans.append((Steps(lengths), np.flatnonzero(~first)))
+    scale = 1 / max(1, sum(len(c[0]) for c in chunks))
     for _ in range(rounds):
-        own = np.bincount(owner, w[flat], len(features))
-        s = own[items]
-        f, b = ratios(s, trans, steps)
-        p = f * b / (1 + f * b)
-        by_item = np.bincount(items, (y - p) * weight, len(features))
+        own = np.bincount(owner, w[flat], len(sizes))
+        u = np.exp(np.clip(trans, -LIMIT, LIMIT))
+        by_item, grad_t = np.zeros(len(sizes)), np.zeros((2, 2))
+        for (items, labels, _), (steps, at) in zip(chunks, plans, strict=True):
+            s, y = own[items], labels.astype(float)
+            f, b = ratios(s, trans, steps)
+            p = f * b / (1 + f * b)
+            by_item += np.bincount(items, y - p, len(sizes))
+            # what the labels say about neighbours, less what the field expects
+            x, e = f[at - 1], np.exp(np.clip(s[at], -LIMIT, LIMIT)) * b[at]
+            pair = np.array([[u[0, 0] + 0 * x, u[0, 1] * e], [u[1, 0] * x, u[1, 1] * x * e]])
+            total = pair.sum(axis=(0, 1))
+            before, now = y[at - 1], y[at]
+            want = np.array([[((1 - before) * (1 - now)).sum(), ((1 - before) * now).sum()], [(before * (1 - now)).sum(), (before * now).sum()]])
+            grad_t += want - (pair / total).sum(axis=2)
         grad = np.bincount(flat, by_item[owner], n_features) * scale - l2 * w
-        # the probability of each pair of neighbours' labels
-        x, e, u = f[at - 1], np.exp(np.clip(s[at], -LIMIT, LIMIT)) * b[at], np.exp(np.clip(trans, -LIMIT, LIMIT))
-        pair = np.array([[u[0, 0] + 0 * x, u[0, 1] * e], [u[1, 0] * x, u[1, 1] * x * e]])
-        pair = pair / pair.sum(axis=(0, 1))
-        grad_t = (want - (pair * weight[at]).sum(axis=2)) * scale - l2 * trans
+        grad_t = grad_t * scale - l2 * trans
         seen += grad**2
         seen_t += grad_t**2
         w += rate * grad / np.sqrt(seen)

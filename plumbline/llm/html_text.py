@@ -338,7 +338,8 @@ def train(pages: Iterator[tuple[str, list[tuple[str, int]]]], rounds: int = 250)
         features += [[ids.setdefault(x, len(ids)) for x in f] for f, _ in kept]
         labels += [y for _, y in kept]
         lengths.append(len(kept))
-    w, trans = crf.train(np.arange(len(features)), features, len(ids), np.array(labels), np.array(lengths, np.int64), rounds=rounds)
+    flat, sizes = np.array([i for f in features for i in f], np.int64), np.array([len(f) for f in features], np.int64)
+    w, trans = crf.train([(np.arange(len(features)), np.array(labels), np.array(lengths, np.int64))], flat, sizes, len(ids), rounds=rounds)
     return Extractor({f: float(w[i]) for f, i in ids.items()}, trans)
 
 

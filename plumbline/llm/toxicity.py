@@ -20,9 +20,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -47,17 +48,22 @@ TOKEN = re.compile(r"\w+|[.!?\n]")
 ENDS = {".", "!", "?", "\n"}
 #: Log odds (toxic against other documents) from which a feature marks tokens, and documents it must be in.
 MARK, LEAST = 2.5, 3
+#: Hashes of features; two features rarely share one.
+BUCKETS = 1 << 22
+#: Positions of a training chunk, about.
+TRAIN_CHUNK = 200_000
 
 
-def word_features(word: str) -> list[str]:
-    """The features of a lower-case word."""
+def word_features(word: str) -> list[int]:
+    """The features of a lower-case word, as hashes below BUCKETS."""
     n = len(word)
-    return [word, *("^" + word[:k] for k in range(3, min(n, 6) + 1)), *(word[-k:] + "$" for k in range(3, min(n, 5) + 1))]
+    texts = [word, *("^" + word[:k] for k in range(3, min(n, 6) + 1)), *(word[-k:] + "$" for k in range(3, min(n, 5) + 1))]
+    return [crc32(t.encode()) % BUCKETS for t in texts]
 
 
 @dataclass
 class Model:
-    weights: dict[str, float] = field(default_factory=dict)
+    weights: dict[int, float] = field(default_factory=dict)
     bias: float = 0.0
     trans: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
     doc: np.ndarray = field(default_factory=lambda: np.zeros(4))
@@ -118,42 +124,61 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, l2: float = 1e-3) -
     return w
 
 
-def fit(texts: list[str], labels: list[int]) -> Model:
-    """The model of labelled documents."""
+def fit(texts: list[str], labels: list[int], odds_of_one: float | None = None) -> Model:
+    """The model of labelled documents; odds_of_one: how many rows have label 1 for each one with label 0, where the
+    documents are a sample with other shares."""
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         return Model()
-    docs = [TOKEN.findall(t.lower()) for t in texts]
-    in_docs = [Counter(), Counter()]
-    cache: dict[str, list[str]] = {}
-    for tokens, label in zip(docs, labels, strict=True):
-        own = set()
-        for w in set(tokens) - ENDS:
-            if w not in cache:
-                cache[w] = word_features(w)
-            own.update(cache[w])
-        in_docs[label].update(own)
+    words: dict[str, int] = {}
+    items, lengths = [], []
+    for t in texts:
+        tokens = TOKEN.findall(t.lower())
+        items.append(np.array([words.setdefault(w, len(words)) for w in tokens if w not in ENDS], np.int32))
+        lengths.append(sequences(tokens))
+    raw, sizes = array("I"), array("I")
+    for w in words:
+        own = word_features(w)
+        raw.extend(own)
+        sizes.append(len(own))
+    raw, sizes = np.array(raw, np.int64), np.array(sizes, np.int64)
+    starts = np.cumsum(sizes) - sizes
+    in_docs = np.zeros((2, BUCKETS), np.int32)
+    for own, label in zip(items, labels, strict=True):
+        unique = np.unique(own)
+        n = sizes[unique]
+        at = np.repeat(starts[unique] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        in_docs[label, np.unique(raw[at])] += 1
+    # features of fewer than LEAST documents say nothing; the rest are numbered from 1, 0 is the bias
+    kept = np.flatnonzero(in_docs.sum(axis=0) >= LEAST)
+    number = np.zeros(BUCKETS, np.int32)
+    number[kept] = np.arange(1, len(kept) + 1)
     n1, n0 = y.sum(), len(y) - y.sum()
-    odds = {f: math.log((c + 0.5) / (n1 + 1)) - math.log((in_docs[0][f] + 0.5) / (n0 + 1)) for f, c in in_docs[1].items() if c >= LEAST}
-    # features that occur once say nothing; the rest are numbered
-    names = {f: i + 1 for i, f in enumerate(f for f in {*in_docs[0], *in_docs[1]} if in_docs[0][f] + in_docs[1][f] >= LEAST)}
-    words = {w: i for i, w in enumerate(cache)}
-    features = [[0, *(names[f] for f in cache[w] if f in names)] for w in words]
-    marked = np.array([max((odds.get(f, 0.0) for f in cache[w]), default=0.0) >= MARK for w in words])
-    items, token_labels, lengths = [], [], []
-    for tokens, label in zip(docs, labels, strict=True):
-        own = np.array([words[t] for t in tokens if t not in ENDS], np.int64)
-        items.append(own)
-        token_labels.append(marked[own] * label)
-        lengths += sequences(tokens)
-    items, token_labels = np.concatenate(items), np.concatenate(token_labels)
-    w, trans = crf.train(items, features, len(names) + 1, token_labels, np.array(lengths, np.int64), rounds=40)
-    keep = {f: float(w[i]) for f, i in names.items() if abs(w[i]) > 1e-3}
-    model = Model(keep, float(w[0]), trans)
-    p = crf.marginals(np.bincount(np.repeat(np.arange(len(features)), [len(x) for x in features]), w[[i for x in features for i in x]], len(features))[items], trans, crf.Steps(np.array(lengths, np.int64)))
-    evidence = model.evidence(p, [sum(t not in ENDS for t in x) for x in docs])
+    odds = np.log((in_docs[1] + 0.5) / (n1 + 1)) - np.log((in_docs[0] + 0.5) / (n0 + 1))
+    odds[in_docs[1] < LEAST] = 0
+    marked = np.maximum.reduceat(odds[raw], starts) >= MARK if len(raw) else np.zeros(0, bool)
+    del odds, in_docs
+    ids = number[raw]
+    owner = np.repeat(np.arange(len(sizes)), sizes)[ids > 0]
+    sizes = np.bincount(owner, minlength=len(sizes)) + 1
+    flat = np.zeros(sizes.sum(), np.int64)
+    flat[np.setdiff1d(np.arange(len(flat)), np.cumsum(sizes) - sizes, assume_unique=True)] = ids[ids > 0]
+    del raw, number, ids, owner
+    chunks, part = [], []
+    for i in range(len(items)):
+        part.append(i)
+        if sum(len(items[j]) for j in part) >= TRAIN_CHUNK or i == len(items) - 1:
+            chunks.append((np.concatenate([items[j] for j in part]), np.concatenate([marked[items[j]] * labels[j] for j in part]), np.array([n for j in part for n in lengths[j]], np.int64)))
+            part = []
+    w, trans = crf.train(chunks, flat, sizes, len(kept) + 1, rounds=40)
+    model = Model({int(f): float(x) for f, x in zip(kept.tolist(), w[1:].tolist(), strict=True) if abs(x) > 1e-3}, float(w[0]), trans)
+    scores = np.bincount(np.repeat(np.arange(len(sizes)), sizes), w[flat], len(sizes))
+    p = [crf.marginals(scores[own], trans, crf.Steps(n)) for own, n in zip(items, lengths, strict=True)]
+    evidence = model.evidence(np.concatenate(p), [len(own) for own in items])
     model.mean, model.spread = evidence.mean(axis=0), evidence.std(axis=0) + 1e-6
     model.doc = logistic((evidence - model.mean) / model.spread, y)
+    if odds_of_one:
+        model.doc[0] += math.log(odds_of_one) - math.log(n1 / n0)
     model.fitted = True
     return model
 
@@ -168,7 +193,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: str = "true", id: str = "doc
     found = own.join(F.broadcast(sample), "_id")  # at most the sum of SAMPLE rows
     size = F.sum(F.length("_text")).over(_by_order())
     rows_ = found.withColumn("_sum", size).filter(F.col("_sum") <= SAMPLE_CHARS).orderBy("_order", "_id", "_text").select("_text", "_label").collect()
-    return fit([r._text for r in rows_], [r._label for r in rows_])
+    counts = {r._label: r["count"] for r in chosen.groupBy("_label").count().collect()}
+    odds = counts[1] / counts[0] if len(counts) == 2 else None
+    return fit([r._text for r in rows_], [r._label for r in rows_], odds)
 
 
 def _by_order():
