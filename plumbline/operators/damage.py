@@ -53,8 +53,9 @@ def blur(v: Column, severity: Column, item: Column) -> Column:
 
     def one(x: Column, i: Column) -> Column:
         def near(k: Column) -> Column:
-            j = i + k
-            return F.element_at(v, F.when(j < 0, -j).when(j >= n, 2 * n - 2 - j).otherwise(j) + 1)
+            around = F.greatest(F.lit(1), 2 * n - 2)
+            j = F.pmod(i + k, around)
+            return F.element_at(v, F.when(j >= n, around - j).otherwise(j) + 1)
 
         return F.aggregate(F.sequence(-severity, severity), F.lit(0.0), lambda a, k: a + near(k)) / (2 * severity + 1)
 

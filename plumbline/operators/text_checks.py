@@ -19,7 +19,7 @@ def stray_numbers(docs: DataFrame, allowed: DataFrame) -> DataFrame:
 def sentences(text: Column) -> Column:
     """Sentences end at . ! ? before white space, at blank lines, and before list items and headings."""
     cut = F.regexp_replace(text, r"([.!?])\s+", "$1\x01")
-    cut = F.regexp_replace(cut, r"\n\s*\n|\n[ \t]*[-*+#|>][ \t]", "\x01")
+    cut = F.regexp_replace(F.regexp_replace(cut, r"\n\s*\n", "\x01"), r"\n([ \t]*[-*+#|>][ \t])", "\x01$1")
     return F.filter(F.transform(F.split(cut, "\x01"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))), lambda s: s != "")
 
 
@@ -98,7 +98,7 @@ QUERIES = {
 _SQ = "trim(regexp_replace({}, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'))"
 ORACLE = {
     "dq_stray_numbers": f"with t as (select doc_id, unnest(regexp_extract_all(text, '{NUMBER}')) token from documents) select doc_id, token, count(*) n from t where token not in ({', '.join(repr(t) for t in ALLOWED)}) group by 1, 2",
-    "dq_overclaims": r"with c as (select doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '\n\s*\n|\n[ \t]*[-*+#|>][ \t]', chr(1), 'g'), chr(1))) s from documents), n as (select doc_id, " + _SQ.format("s") + r" sentence from c) select doc_id, sentence from n where sentence <> '' and regexp_matches(sentence, '(?i)licensed') and regexp_matches(sentence, '(?i)version|cc by')",
+    "dq_overclaims": r"with c as (select doc_id, unnest(string_split(regexp_replace(regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '\n\s*\n', chr(1), 'g'), '\n([ \t]*[-*+#|>][ \t])', chr(1) || '\1', 'g'), chr(1))) s from documents), n as (select doc_id, " + _SQ.format("s") + r" sentence from c) select doc_id, sentence from n where sentence <> '' and regexp_matches(sentence, '(?i)licensed') and regexp_matches(sentence, '(?i)version|cc by')",
     "dq_quotes": "with p as (select " + _SQ.format("p") + " p from (select unnest(string_split(text, chr(10))) p from documents)), q as (select item_id, " + _SQ.format("text") + " p from benchmark) select item_id, count(p.p) hits from q left join p on p.p = q.p group by 1",
     "dq_unlisted_docs": "select doc_id, lang from documents where lang not in ('fr', 'es') and doc_id not in (select doc_id from labels)",
     "dq_claims": "select source, count(*) filter (quality is null) without_claim, count(*) n from documents left join labels using (doc_id) group by 1",
