@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,17 +12,19 @@ def _total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once a row (projections that are merged would repeat it for each class)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def softmax(z: Column) -> Column:
     """Stable softmax in double precision, rounded to 12 digits so that ties are ties everywhere."""
-    top = F.array_max(z)
-    e = F.transform(z, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: F.round(x / _total(e), 12))
+    shares = lambda e: let(_total(e), lambda s: F.transform(e, lambda x: F.round(x / s, 12)))
+    return let(F.array_max(z), lambda top: let(F.transform(z, lambda x: F.exp(x - top)), shares))
 
 
 def with_probabilities(scores: DataFrame, z: str = "z") -> DataFrame:
-    """scores with p, in steps that keep each exponential computed once a class."""
-    own = scores.withColumn("_e", F.transform(z, lambda x: F.exp(x - F.array_max(z)))).withColumn("_s", _total(F.col("_e")))
-    return own.withColumn("p", F.transform("_e", lambda x: F.round(x / F.col("_s"), 12))).drop("_e", "_s")
+    return scores.withColumn("p", softmax(F.col(z)))
 
 
 def first_best(z: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.fixtures import conditions, duck
@@ -17,9 +17,12 @@ B = 40
 def facts(df: DataFrame, b: int = B) -> DataFrame:
     """A row for each cell: top-1, coverage, damage drop (condition minus clean) and shrinking cost (shrunk minus
     reference), all on the same items and the same replicates, each with its 95% interval."""
-    clean = df.filter("cond_id = 'clean'").select("model", "build", "item", F.col("correct").alias("_clean"))
-    ref = df.filter("build = 'ref'").select("model", "cond_id", "item", F.col("correct").alias("_ref"))
-    own = df.select(*CELL, "item", "correct", "covered", "size").join(clean, ["model", "build", "item"]).join(ref, ["model", "cond_id", "item"])
+    # one exchange by item serves both pairings: their windows hold an item's few cells
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = df.select(*CELL, "item", "correct", "covered", "size").repartition(parts, "model", "item")
+    clean = F.max(F.when(F.col("cond_id") == "clean", F.col("correct"))).over(Window.partitionBy("model", "item", "build"))
+    ref = F.max(F.when(F.col("build") == "ref", F.col("correct"))).over(Window.partitionBy("model", "item", "cond_id"))
+    own = own.withColumns({"_clean": clean, "_ref": ref}).filter("_clean is not null and _ref is not null")
     own = own.withColumns({"drop": F.col("correct") - F.col("_clean"), "cost": F.col("correct") - F.col("_ref")})
     point = own.groupBy(*CELL).agg(F.count("*").alias("n"), r9(F.avg("correct")).alias("top1"), r9(F.avg("covered")).alias("coverage"), r9(F.avg("size")).alias("mean_size"), r9(F.avg("drop")).alias("drop"), r9(F.avg("cost")).alias("cost"), r9(F.avg("_ref")).alias("ref_top1"))
     sums = boot_sums(own, CELL, ["covered", "drop", "cost"], b)
