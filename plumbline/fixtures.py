@@ -52,8 +52,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scores(spark: SparkSession, sf_dir: str, models: int = 1, conds: list[str] | None = None) -> DataFrame:
     """model, build, split, cond_id, item, label, z. The cells are a fixed few rows: the cross join only fans out."""
     # ids only go through this exchange: a small file is one partition, and the fan-out below is the work
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    own = items(spark, sf_dir).repartition(parts, "item").withColumn("_h", F.md5(F.concat_ws("|", "item", F.lit("z"))))
+    own = items(spark, sf_dir).repartition(2 * spark.sparkContext.defaultParallelism, "item").withColumn("_h", F.md5(F.concat_ws("|", "item", F.lit("z"))))
     rows = own.crossJoin(F.broadcast(cells(spark, models, conds)))
     rows = rows.withColumn("_c", F.md5(F.concat_ws("|", "item", "model", "build", "cond_id")))
 

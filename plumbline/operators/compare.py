@@ -18,8 +18,7 @@ def facts(df: DataFrame, b: int = B) -> DataFrame:
     """A row for each cell: top-1, coverage, damage drop (condition minus clean) and shrinking cost (shrunk minus
     reference), all on the same items and the same replicates, each with its 95% interval."""
     # one exchange by item serves both pairings: their windows hold an item's few cells
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = df.select(*CELL, "item", "correct", "covered", "size").repartition(parts, "model", "item")
+    own = df.select(*CELL, "item", "correct", "covered", "size").repartition("model", "item")
     clean = F.max(F.when(F.col("cond_id") == "clean", F.col("correct"))).over(Window.partitionBy("model", "item", "build"))
     ref = F.max(F.when(F.col("build") == "ref", F.col("correct"))).over(Window.partitionBy("model", "item", "cond_id"))
     own = own.withColumns({"_clean": clean, "_ref": ref}).filter("_clean is not null and _ref is not null")
