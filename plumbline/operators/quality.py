@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.fixtures import table
-from plumbline.operators.metrics import r9
 
 
 def problems(df: DataFrame, keys: list[str], checks: dict[str, str]) -> DataFrame:

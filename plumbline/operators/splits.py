@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.fixtures import CLASSES, CONDITIONS, duck, items, scores
+from plumbline.fixtures import CLASSES, duck, items, scores
 from plumbline.operators.outcomes import outcomes
 
 SPLITS = {"test": 0.5, "int8_calibration": 0.05, "conformal_calibration": 0.2, "tuning": 0.2}

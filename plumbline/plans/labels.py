@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.fixtures import CTE, duck, table
@@ -13,7 +13,7 @@ from plumbline.operators.metrics import r9, scored
 from plumbline.operators.outcomes import CELL
 from plumbline.operators.quality import _BUILDS, _REC, build_status, builds, records
 from plumbline.operators.quantise import _TN, quantised, restored, tensors, vectors
-from plumbline.operators.resample import _FAST, _GAP, _Q, _SIDE, boot_sums, bs_paired_diff, bs_variant_change, difference_ci, interval, outcomes_fast
+from plumbline.operators.resample import _FAST, _GAP, _Q, _SIDE, boot_sums, bs_paired_diff, bs_variant_change, interval, outcomes_fast
 
 METRICS = ["top1", "coverage", "mean_size", "drop", "cost"]
 ENDS = {"coverage": "cov", "drop": "drop", "cost": "cost"}
