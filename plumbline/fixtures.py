@@ -52,18 +52,27 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scores(spark: SparkSession, sf_dir: str, models: int = 1, conds: list[str] | None = None) -> DataFrame:
     """model, build, split, cond_id, item, label, z. The cells are a fixed few rows: the cross join only fans out."""
     # ids only go through this exchange: a small file is one partition, and the fan-out below is the work
-    own = items(spark, sf_dir).repartition(2 * spark.sparkContext.defaultParallelism, "item").withColumn("_h", F.md5(F.concat_ws("|", "item", F.lit("z"))))
+    own = items(spark, sf_dir).repartition(2 * spark.sparkContext.defaultParallelism, "item")
+    own = _halves(own, "_h", F.md5(F.concat_ws("|", "item", F.lit("z"))))
     rows = own.crossJoin(F.broadcast(cells(spark, models, conds)))
-    rows = rows.withColumn("_c", F.md5(F.concat_ws("|", "item", "model", "build", "cond_id")))
+    rows = _halves(rows, "_c", F.md5(F.concat_ws("|", "item", "model", "build", "cond_id")))
+    rows = rows.withColumn("_unit", F.when(F.col("build") == "small", 100).otherwise(1).cast("long"))
 
-    def digits(c: str, k: Column) -> Column:
-        return F.conv(F.substring(F.col(c), k * 3 + 1, F.lit(3)), 16, 10).cast("long")
+    def z(k: int) -> Column:
+        raw = _digits("_h", k) * 2 + F.shiftright(_digits("_c", k), 2) + F.when(F.col("label") == k, F.col("boost")).otherwise(0)
+        return (raw - F.pmod(raw, "_unit")) / 2000.0
 
-    def z(k: Column) -> Column:
-        raw = digits("_h", k) * 2 + F.floor(digits("_c", k) / 4) + F.when(k == F.col("label"), F.col("boost")).otherwise(0)
-        return F.when(F.col("build") == "small", raw - F.pmod(raw, F.lit(100))).otherwise(raw) / 2000.0
+    return rows.select("model", "build", "split", "cond_id", "item", "label", F.array(*[z(k) for k in range(CLASSES)]).alias("z"))
 
-    return rows.select("model", "build", "split", "cond_id", "item", "label", F.transform(F.sequence(F.lit(0), F.lit(CLASSES - 1)), z).alias("z"))
+
+def _halves(df: DataFrame, name: str, digest: Column) -> DataFrame:
+    """Two integers of 15 hexadecimal digits each, the first 30 of a digest."""
+    return df.withColumn(name, digest).withColumns({f"{name}{i}": F.conv(F.substring(name, 15 * i + 1, 15), 16, 10).cast("long") for i in range(2)}).drop(name)
+
+
+def _digits(name: str, k: int) -> Column:
+    """The k-th three hexadecimal digits, as an integer below 4,096 (an array of plain expressions stays in generated code)."""
+    return F.shiftright(F.col(f"{name}{k // 5}"), 12 * (4 - k % 5)).bitwiseAND(F.lit(4095))
 
 
 # ---- the same in DuckDB: common table expressions, put together by `duck`
