@@ -39,8 +39,8 @@ def rates(df: DataFrame, weights: dict[str | None, float] | None = None, source:
     else:
         wanted = spark.createDataFrame(list(weights.items()), "_name string, w double")
         counts = counts.join(wanted, counts._source.cast("string").eqNullSafe(wanted._name)).filter("w > 0").drop("_name")
-    total = df.agg(F.count("*").cast("double").alias("all_n")).crossJoin(counts.agg(F.sum("w").alias("all_w")))  # one row
-    rate = counts.crossJoin(total).selectExpr("_source", "all_n * w / (n * all_w) as rate")
+    all_n, all_w = df.count(), counts.agg(F.sum("w")).first()[0] or 1.0  # two numbers
+    rate = counts.select("_source", (F.lit(float(all_n)) * F.col("w") / (F.col("n") * F.lit(float(all_w)))).alias("rate"))
     steps = rate.withColumn("k", F.explode(F.expr("sequence(0, cast(ceil(rate + 12 * sqrt(rate) + 20) as int))")))
     upto = "over (partition by _source order by k)"
     steps = steps.selectExpr("_source", "rate", "k", f"sum(if(k = 0, 0D, ln(cast(k as double)))) {upto} as ln_factorial")

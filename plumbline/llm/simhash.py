@@ -168,6 +168,8 @@ def forest(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
 def links(fps: DataFrame, bits: int = 3, block: int = BLOCK) -> DataFrame:
     """(a, b) links of distinct fingerprints `fp` that connect exactly those that chains of `bits` or fewer
     differing bits connect."""
+    if not 0 <= bits <= 3:
+        raise ValueError(f"the keys find all pairs of up to 3 differing bits, not {bits}")
     keys = keyed(fps)
     sizes = written(fps.sparkSession, keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
     # a block number for each row, and every pair of blocks that it takes part in
