@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.fixtures import duck
 from plumbline.operators.metrics import r9, scored
 from plumbline.operators.splits import ranked
+from plumbline.streaming.streams import sized
 
 N = 100
 
@@ -34,7 +35,7 @@ def alarm_threshold(windows: DataFrame, keys: list[str], percentile: float = 0.0
 
 def alarm_fires(windows: DataFrame, thresholds: DataFrame, keys: list[str], on: list[str]) -> DataFrame:
     """Share of windows whose mean is strictly below the threshold."""
-    return windows.join(F.broadcast(thresholds), on).groupBy(*keys).agg(F.count("*").alias("windows"), F.count_if(F.col("mean") < F.col("threshold")).alias("fired"), r9(F.avg((F.col("mean") < F.col("threshold")).cast("double"))).alias("rate"))
+    return windows.join(sized(thresholds, "thresholds"), on).groupBy(*keys).agg(F.count("*").alias("windows"), F.count_if(F.col("mean") < F.col("threshold")).alias("fired"), r9(F.avg((F.col("mean") < F.col("threshold")).cast("double"))).alias("rate"))
 
 
 def alarm_judge(fires: DataFrame, harmful: list[str], least: float = 0.90, most_clean: int = 2) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.fixtures import BUILDS, duck, scores
 from plumbline.functions import scoring as S
 from plumbline.operators.outcomes import BUILD, CELL, clean_thresholds, conformal_threshold, outcomes, with_sets
+from plumbline.streaming.streams import sized
 
 BINS = 15
 
@@ -42,7 +43,7 @@ def m_reliability_bins(df: DataFrame, bins: int = BINS) -> DataFrame:
     """Every bin of every cell; empty bins stay, with nulls."""
     got = df.groupBy(*CELL, bin_of(F.col("confidence"), bins).alias("bin")).agg(F.count("*").alias("n"), r9(F.avg("confidence")).alias("mean_confidence"), r9(F.avg("correct")).alias("accuracy"))
     grid = got.select(*CELL).distinct().crossJoin(df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")))
-    full = grid.join(F.broadcast(got), [*CELL, "bin"], "left")  # a row for each cell and bin
+    full = grid.join(got, [*CELL, "bin"], "left")  # a row for each cell and bin
     return full.select(*CELL, "bin", r9(F.col("bin") / bins).alias("low"), r9((F.col("bin") + 1) / bins).alias("high"), F.coalesce("n", F.lit(0)).alias("n"), "mean_confidence", "accuracy")
 
 
@@ -62,15 +63,15 @@ def m_temperature_fit(df: DataFrame, low: float = 0.1, high: float = 10.0, steps
     import math
 
     spark = df.sparkSession
-    grids = df.select(*BUILD).distinct().withColumns({"_lo": F.lit(math.log(low)), "_hi": F.lit(math.log(high))})
+    grids = sized(df.select(*BUILD).distinct(), "grids").withColumns({"_lo": F.lit(math.log(low)), "_hi": F.lit(math.log(high))})
     for _ in range(passes):
         grid = grids.select(*BUILD, "_lo", "_hi", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("_i"))
         grid = grid.withColumn("_t", F.exp(F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_i") / (steps - 1)))
-        means = df.join(F.broadcast(grid), BUILD).groupBy(*BUILD, "_i", "_t", "_lo", "_hi").agg(r9(F.avg(S.nll(F.col("z"), F.col("label"), F.col("_t")))).alias("nll"))
+        means = df.join(grid, BUILD).groupBy(*BUILD, "_i", "_t", "_lo", "_hi").agg(r9(F.avg(S.nll(F.col("z"), F.col("label"), F.col("_t")))).alias("nll"))
         best = means.groupBy(*BUILD, "_lo", "_hi").agg(F.min_by(F.struct("_i", "_t", "nll"), F.struct("nll", "_i")).alias("b"))
         width = (F.col("_hi") - F.col("_lo")) / (steps - 1)
         centre = F.col("_lo") + width * F.col("b._i")
-        grids = best.select(*BUILD, "b", F.greatest(F.lit(math.log(low)), centre - width).alias("_lo"), F.least(F.lit(math.log(high)), centre + width).alias("_hi"))
+        grids = sized(best.select(*BUILD, "b", F.greatest(F.lit(math.log(low)), centre - width).alias("_lo"), F.least(F.lit(math.log(high)), centre + width).alias("_hi")), "grids")
     t = F.col("b._t")
     return grids.select(*BUILD, F.round(t, 6).alias("temperature"), F.col("b.nll").alias("nll"), ((t < low * 1.01) | (t > high / 1.01)).alias("at_end"))
 
@@ -90,9 +91,9 @@ def m_set_size_hist(df: DataFrame) -> DataFrame:
 
 def m_sets_many_thresholds(df: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Coverage and set size of the same scores under several thresholds (build, name, q), with the average over them."""
-    own = df.join(F.broadcast(thresholds), BUILD)
-    sized = with_sets_of(own)
-    each = sized.groupBy(*CELL, "name").agg(F.avg("covered").alias("coverage"), F.avg("size").alias("mean_size"))
+    own = df.join(sized(thresholds, "thresholds"), BUILD)
+    own = with_sets_of(own)
+    each = own.groupBy(*CELL, "name").agg(F.avg("covered").alias("coverage"), F.avg("size").alias("mean_size"))
     return each.rollup(*CELL, "name").agg(F.avg("coverage").alias("c"), F.avg("mean_size").alias("s"), F.grouping_id().alias("g")).filter("g in (0, 1)").select(
         *CELL, F.coalesce("name", F.lit("average")).alias("name"), r9(F.col("c")).alias("coverage"), r9(F.col("s")).alias("mean_size")
     )
@@ -109,7 +110,7 @@ def m_robust_thresholds(df: DataFrame, coverage: float = 0.9) -> DataFrame:
     out = df.sparkSession.createDataFrame([("fade",), ("jitter",)], "held_out string")
     mixed = cal.crossJoin(F.broadcast(out)).filter("kind <> held_out")
     q = conformal_threshold(mixed, [*BUILD, "held_out"], coverage)
-    return with_sets_of(mixed.join(F.broadcast(q), [*BUILD, "held_out"])).groupBy(*BUILD, "held_out").agg(F.round(F.first("q"), 12).alias("q"), r9(F.avg("covered")).alias("coverage"))
+    return with_sets_of(mixed.join(sized(q, "thresholds"), [*BUILD, "held_out"])).groupBy(*BUILD, "held_out").agg(F.round(F.first("q"), 12).alias("q"), r9(F.avg("covered")).alias("coverage"))
 
 
 def tie_groups(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -133,7 +134,7 @@ def m_risk_at(df: DataFrame, points: tuple[float, ...] = (1.0, 0.8, 0.5)) -> Dat
     grid = df.sparkSession.createDataFrame([(float(c),) for c in sorted({*points, *(i / 100 for i in range(1, 101))})], "coverage double")
     n = df.groupBy(*CELL).agg(F.count("*").alias("n"))
     wanted = n.crossJoin(F.broadcast(grid)).withColumn("k", F.greatest(F.lit(1), F.bround(F.col("coverage") * F.col("n"), 0)).cast("long"))
-    hit = tie_groups(df, CELL).join(F.broadcast(wanted), CELL).filter("s < k and k <= s + m")  # 100 rows a cell against its tie groups
+    hit = tie_groups(df, CELL).join(sized(wanted, "wanted"), CELL).filter("s < k and k <= s + m")  # 100 rows a cell against its tie groups
     return hit.select(*CELL, "coverage", "k", r9((F.col("before") + F.col("e") * (F.col("k") - F.col("s")) / F.col("m")) / F.col("k")).alias("risk"))
 
 
@@ -186,7 +187,7 @@ def m_choose_best(df: DataFrame) -> DataFrame:
 def m_sanity(df: DataFrame, published: DataFrame, most: float = 0.010) -> DataFrame:
     """The reference's clean top-1 against the published one."""
     got = df.filter("cond_id = 'clean' and build = 'ref'").groupBy("model").agg(F.avg("correct").alias("top1"))
-    return got.join(F.broadcast(published), "model").select("model", r9(F.col("top1")).alias("top1"), "published", r9(F.col("top1") - F.col("published")).alias("difference"), (F.abs(F.col("top1") - F.col("published")) <= most).alias("ok"))
+    return got.join(published, "model").select("model", r9(F.col("top1")).alias("top1"), "published", r9(F.col("top1") - F.col("published")).alias("difference"), (F.abs(F.col("top1") - F.col("published")) <= most).alias("ok"))
 
 
 def scored(spark: SparkSession, sf: str, **k) -> DataFrame:

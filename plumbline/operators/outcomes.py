@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import scoring as S
+from plumbline.streaming.streams import sized
 
 BUILD = ["model", "build"]
 CELL = ["model", "build", "cond_id"]
@@ -37,6 +38,6 @@ def clean_thresholds(scored: DataFrame, coverage: float = 0.9) -> DataFrame:
 
 def with_sets(scored: DataFrame, thresholds: DataFrame, on: list[str]) -> DataFrame:
     """scored with the prediction sets' size and whether they hold the label; thresholds are a row a build."""
-    own = scored.join(thresholds, on)
+    own = scored.join(sized(thresholds, "thresholds"), on)
     size = F.size(F.filter("p", lambda x: x >= 1 - F.col("q")))
     return own.withColumns({"size": size.cast("double"), "covered": (F.element_at("p", F.col("label") + 1) >= 1 - F.col("q")).cast("double")})

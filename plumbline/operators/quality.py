@@ -156,7 +156,7 @@ def upgraded(r: DataFrame) -> DataFrame:
 QUERIES = {
     **{n: (lambda n: lambda s, d: problems(records(s, d), ["id", "name"], CHECKS[n]))(n) for n in CHECKS},
     "dq_kind_counts": lambda s, d: records(s, d).groupBy("kind", "source").agg(F.count("*").alias("n"), F.count_if(F.col("kind").isin("choice", "other")).alias("skipped")),
-    "dq_unusable_used": lambda s, d: records(s, d).join(F.broadcast(builds(s, d).filter(build_status() != "usable")), "build", "left_semi").select("id", "build"),
+    "dq_unusable_used": lambda s, d: records(s, d).join(builds(s, d).filter(build_status() != "usable"), "build", "left_semi").select("id", "build"),
     "dq_label_fk": lambda s, d: missing(records(s, d), builds(s, d).filter("build <> 'b7'"), ["build"]).select("id", "build"),
     "dq_ids_unique": lambda s, d: records(s, d).groupBy("name").agg(F.count("*").alias("n")).filter("n > 1"),
     "dq_one_machine": lambda s, d: records(s, d).groupBy("dataset").agg(F.count_distinct("machine").alias("machines")).withColumn("ok", F.col("machines") == 1),

@@ -21,6 +21,7 @@ from plumbline.fixtures import duck, poisson_steps, scores
 from plumbline.functions import scoring as S
 from plumbline.operators.metrics import aurc_columns, bin_of, harmonic, r9, scored, set_rows
 from plumbline.operators.outcomes import CELL, outcomes
+from plumbline.streaming.streams import sized
 
 B, SEED = 100, 0
 #: Rows of a batch that are multiplied at a time.
@@ -228,7 +229,7 @@ def bs_corr_ci(df: DataFrame, x: str, y: str, b: int = B, attempts: int = 2, lea
     n = listed.count()
     draws = spark.range(b * attempts).select(F.col("id").cast("int").alias("b")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     index = F.conv(F.substring(F.md5(F.concat_ws("|", "b", "j", F.lit(str(seed)))), 1, 8), 16, 10).cast("long") % n
-    rows = draws.withColumn("i", index.cast("int")).join(F.broadcast(listed), "i")
+    rows = draws.withColumn("i", index.cast("int")).join(sized(listed, "models"), "i")
     ranked = rows.withColumns({"rx": average_rank(x, ["b"]), "ry": average_rank(y, ["b"])})
     constant = (F.min("rx") == F.max("rx")) | (F.min("ry") == F.max("ry"))
     each = ranked.groupBy("b").agg(F.count_distinct("i").alias("distinct"), F.when(~constant, pearson("rx", "ry")).alias("rho"))
@@ -254,7 +255,7 @@ def tops_of(df: DataFrame) -> DataFrame:
     wide = df.groupBy("model", "cond_id").agg(F.avg(F.when(F.col("build") == "ref", F.col("correct"))).alias("ref"), F.avg(F.when(F.col("build") == "small", F.col("correct"))).alias("small"))
     clean = wide.filter("cond_id = 'clean'").select("model", F.col("ref").alias("ref0"), F.col("small").alias("small0"))
     gap = F.col("small") - F.col("ref")
-    return wide.join(F.broadcast(clean), "model").select("model", "cond_id", r9(F.col("ref")).alias("ref"), r9(F.col("small")).alias("small"), r9(F.col("ref0")).alias("ref0"), r9(gap).alias("gap"), r9(gap - (F.col("small0") - F.col("ref0"))).alias("extra"))
+    return wide.join(clean, "model").select("model", "cond_id", r9(F.col("ref")).alias("ref"), r9(F.col("small")).alias("small"), r9(F.col("ref0")).alias("ref0"), r9(gap).alias("gap"), r9(gap - (F.col("small0") - F.col("ref0"))).alias("extra"))
 
 
 def scaled(spark: SparkSession, sf: str, t: float = 1.4) -> DataFrame:

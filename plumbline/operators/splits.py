@@ -62,7 +62,7 @@ def split_overlap(splits: DataFrame) -> DataFrame:
     names = splits.select("split").distinct()
     pairs = names.select(F.col("split").alias("a")).crossJoin(names.select(F.col("split").alias("b"))).filter("a < b")
     shared = splits.select("item", F.col("split").alias("a")).join(splits.select("item", F.col("split").alias("b")), "item").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    return pairs.join(F.broadcast(shared), ["a", "b"], "left").select("a", "b", F.coalesce("shared", F.lit(0)).alias("shared"))
+    return pairs.join(shared, ["a", "b"], "left").select("a", "b", F.coalesce("shared", F.lit(0)).alias("shared"))
 
 
 def split_sizes(splits: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -75,7 +75,7 @@ def split_class_counts(labelled: DataFrame, classes: int = CLASSES) -> DataFrame
     spark = labelled.sparkSession
     grid = labelled.select("split").distinct().crossJoin(spark.range(classes).select(F.col("id").cast("int").alias("label")))
     counts = labelled.groupBy("split", "label").agg(F.count("*").alias("n"))
-    full = grid.join(F.broadcast(counts), ["split", "label"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    full = grid.join(counts, ["split", "label"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return full.groupBy("split").agg((F.sum("n") / classes).alias("expected"), F.min("n").alias("least"), F.median("n").alias("median"), F.max("n").alias("most"), F.count_if(F.col("n") == 0).alias("empty"))
 
 
@@ -120,7 +120,7 @@ def items_same(scored: DataFrame, reference: str = "clean") -> DataFrame:
         F.count("*").alias("n"), F.min("item").alias("first"), F.max("item").alias("last"), F.sum(F.conv(F.substring(F.md5(F.concat_ws("|", "item", "label")), 1, 8), 16, 10).cast("long")).alias("content")
     )
     ref = sums.filter(F.col("cond_id") == reference).select("model", "build", F.struct("n", "first", "last", "content").alias("want"))
-    return sums.join(F.broadcast(ref), ["model", "build"], "left").select("model", "build", "cond_id", "n", "first", "last", "content", F.coalesce(F.struct("n", "first", "last", "content") == F.col("want"), F.lit(False)).alias("same"))
+    return sums.join(ref, ["model", "build"], "left").select("model", "build", "cond_id", "n", "first", "last", "content", F.coalesce(F.struct("n", "first", "last", "content") == F.col("want"), F.lit(False)).alias("same"))
 
 
 def items_missing_cells(grid: DataFrame, scored: DataFrame) -> DataFrame:

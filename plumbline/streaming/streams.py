@@ -24,6 +24,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def sized(df: DataFrame, name: str) -> DataFrame:
+    """df written in the shared folder and read again, so that its size is known: Spark broadcasts it only below its own
+    limit (spark.sql.autoBroadcastJoinThreshold) and shuffles beyond it."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def events_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The events, landed in the shared folder as files in time order, as a stream; `ts` gets a time zone, which
     watermarks need."""
@@ -75,7 +83,7 @@ def count_alarm(events: DataFrame, threshold: float, n: int = N) -> DataFrame:
 
 def threshold_join(events: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Events below their key's threshold from a static table of a row a key."""
-    return events.join(F.broadcast(thresholds), "event_type").filter(F.col("value") < F.col("threshold"))
+    return events.join(sized(thresholds, "thresholds"), "event_type").filter(F.col("value") < F.col("threshold"))
 
 
 def q_time_windows(spark: SparkSession, sf: str) -> DataFrame:
