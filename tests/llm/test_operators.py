@@ -254,3 +254,8 @@ def test_media_query(spark, tmp_path):
         assert (r.n_bytes, r.payload_bytes, r.tail_crc32) == (len(raw), len(padded), zlib.crc32(padded[-64:]))
         assert r.payload_sha256 == hashlib.sha256(padded).hexdigest()
         assert r.media_sha256 == hashlib.sha256(media.write_stream(padded)).hexdigest() and "crc_bad=0" in r.feature
+
+
+def test_simhash_refuses_more_bits_than_its_keys_cover(spark):
+    with pytest.raises(ValueError, match="up to 3"):
+        simhash.links(spark.createDataFrame([(1,)], "fp long"), bits=4)
