@@ -46,17 +46,24 @@ _UPPER = bytes(range(65, 91))
 _TO_LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
 
 
-def fingerprint(text: str, width: int = 3, seed: int = SEED) -> int:
-    """The 64-bit fingerprint of one text."""
+def shingle_hashes(text: str, width: int, seed: int = SEED) -> np.ndarray:
+    """XXH64 hashes of the text's shingles, repeats included."""
     words = text.encode().translate(_TO_LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, n = b" ".join(words), len(words)
     ends = list(accumulate(len(w) + 1 for w in words))
     starts = [0, *ends[:-1]]
     k = min(width, n)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a : b - 1], seed) for a, b in zip(starts, ends[k - 1 :], strict=False)), np.uint64, n - k + 1)
+    return np.fromiter((digest(joined[a : b - 1], seed) for a, b in zip(starts, ends[k - 1 :], strict=False)), np.uint64, n - k + 1)
+
+
+def fingerprint(text: str, width: int = 3, seed: int = SEED) -> int:
+    """The 64-bit fingerprint of one text."""
+    hashes = shingle_hashes(text, width, seed)
+    if not len(hashes):
+        return 0
     total = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         part = hashes[i : i + (1 << 16)]
@@ -258,15 +265,6 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", width
     return out.select(F.col(id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 3, bits: int = 3) -> DataFrame:
-    """df with one row of each group of near-duplicates: the one with the smallest id. Rows without an id cannot
-    stand for a group and all stay."""
-    groups = near_duplicates(df, id, text, width, bits)
-    first = written(df.sparkSession, groups.filter(F.col(id) == F.col("component_id")).select(id).distinct(), "first")
-    kept = df.join(first, id, "left_semi").dropDuplicates([id])
-    return kept.union(df.filter(F.col(id).isNull()))
-
-
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
