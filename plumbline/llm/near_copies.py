@@ -128,8 +128,11 @@ def groups(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = W
 
 
 def deduplicate(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH, least: float = LEAST) -> DataFrame:
-    """df with one row of each group of near copies: the one with the smallest id. Rows without an id cannot
-    stand for a group and all stay."""
-    first = groups(df, id, text, width, least).groupBy("root").agg(F.min(id).alias(id)).select(id)
-    kept = df.join(written(df.sparkSession, first, "first"), id, "left_semi").dropDuplicates([id])
-    return kept.union(df.filter(F.col(id).isNull()))
+    """df with one row of each group of near copies: the one with the smallest id, then the smallest node. A row
+    without an id stands only for a group in which no row has one."""
+    least_row = F.min(F.struct(F.col(id).isNull().alias("none"), F.col(id).alias("id"), "node"))
+    first = groups(df, id, text, width, least).groupBy("root").agg(least_row.alias("row"))
+    first = written(df.sparkSession, first.select(F.col("row.id").alias("_first"), F.col("row.node").alias("_node")), "first")
+    own = df.withColumn("_text_node", node(text))
+    kept = own.join(first, own[id].eqNullSafe(first["_first"]) & (own["_text_node"] == first["_node"]), "left_semi")
+    return kept.dropDuplicates([id, "_text_node"]).drop("_text_node")

@@ -66,3 +66,11 @@ def test_blocks_lose_no_link(spark):
     led = near_copies.components(spark, near_copies.links(df, block=4))
     assert led.count() == 39 and led.select("root").distinct().count() == 1
     assert near_copies.deduplicate(df.limit(0)).count() == 0
+
+
+def test_ids_that_repeat_or_lack_lose_no_text(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(1, a), (5, a), (5, b), (5, b), (7, b), (None, c), (None, c), (9, d), (None, d)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in near_copies.deduplicate(df).collect()]
+    assert sorted(kept, key=lambda r: r[1]) == [(1, a), (5, b), (None, c), (9, d)]
