@@ -36,8 +36,10 @@ from plumbline.llm.common import byte_chunks, clean_text, table
 
 #: Labelled documents of each label that the field is fitted on, at most.
 SAMPLE = {1: 1500, 0: 3000}
-#: Characters of the sample, at most; documents beyond it are left out whole, in order of the hash.
-SAMPLE_CHARS = 24_000_000
+#: Characters of the sample of each label, at most; documents beyond it are left out whole, in order of the hash.
+SAMPLE_CHARS = {1: 8_000_000, 0: 16_000_000}
+#: Characters of a document of the sample, at most; longer ones are only scored.
+DOC_CHARS = 200_000
 #: Words kept with their scores in each Python worker.
 CACHE_WORDS = 400_000
 CHUNK_BYTES = 1_000_000
@@ -191,8 +193,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: str = "true", id: str = "doc
     sample = parts[0].union(parts[1])
     own = docs.select(F.col(id).alias("_id"), clean_text(text).alias("_text"))
     found = own.join(F.broadcast(sample), "_id")  # at most the sum of SAMPLE rows
-    size = F.sum(F.length("_text")).over(_by_order())
-    rows_ = found.withColumn("_sum", size).filter(F.col("_sum") <= SAMPLE_CHARS).orderBy("_order", "_id", "_text").select("_text", "_label").collect()
+    fits = found.filter(F.length("_text") <= DOC_CHARS).withColumn("_sum", F.sum(F.length("_text")).over(_by_order()))
+    most = F.when(F.col("_label") == 1, SAMPLE_CHARS[1]).otherwise(SAMPLE_CHARS[0])
+    rows_ = fits.filter(F.col("_sum") <= most).orderBy("_order", "_id", "_text").select("_text", "_label").collect()
+    if len({r._label for r in rows_}) < 2 and found.select("_label").distinct().count() == 2:
+        raise ValueError(f"no labelled document of one kind has {DOC_CHARS} characters or fewer: nothing to learn from")
     counts = {r._label: r["count"] for r in chosen.groupBy("_label").count().collect()}
     odds = counts[1] / counts[0] if len(counts) == 2 else None
     return fit([r._text for r in rows_], [r._label for r in rows_], odds)
@@ -201,7 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: str = "true", id: str = "doc
 def _by_order():
     from pyspark.sql import Window
 
-    return Window.orderBy("_order", "_id", "_text").rowsBetween(Window.unboundedPreceding, 0)
+    return Window.partitionBy("_label").orderBy("_order", "_id", "_text").rowsBetween(Window.unboundedPreceding, 0)
 
 
 def tag(df: DataFrame, model: Model, text: str = "text") -> DataFrame:

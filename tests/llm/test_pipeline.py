@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from plumbline.llm import bpe, toxicity
@@ -75,3 +76,19 @@ def test_toxicity_without_labels(spark):
     df = spark.createDataFrame([(1, "x y", 5), (None, None, 6)], "doc_id long, text string, score int")
     assert [r.score for r in toxicity.tag(df, model).collect()] == [0.0, 0.0]
     assert toxicity.tag(df.limit(0), model).count() == 0
+
+
+def test_toxicity_skips_long_documents_only(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    docs = fixture(spark, str(tmp_path))
+    frame, labels = (spark.read.parquet(f"{tmp_path}/{x}.parquet") for x in ("documents", "labels"))
+    first = labels.orderBy(F.xxhash64(F.lit(11), "doc_id")).first().doc_id
+    text = F.when(F.col("doc_id") == first, F.repeat(F.concat("lang", F.lit(" ")), 8_100_000)).otherwise(F.col("text"))
+    model = toxicity.train(frame.withColumn("text", text), labels)
+    assert model.fitted
+    rows = {r.doc_id: r.score for r in toxicity.tag(frame.filter(F.col("doc_id") < 240), model).collect()}
+    assert all((rows[i] >= 0.5) == ("vilewordx" in t or "nastyxx" in t) for i, t, *_ in docs[:240])
+    text = F.when(F.col("doc_id") % 4 == 0, F.repeat(F.concat("lang", F.lit(" ")), 70_000)).otherwise(F.col("text"))
+    with pytest.raises(ValueError, match="one kind"):
+        toxicity.train(frame.withColumn("text", text), labels)
