@@ -1,8 +1,9 @@
 """Licence scans by sentence rules (operator 4), in DataFrame functions only.
 
-A text is cut into sentences (at line ends, and after . ! ? ; before a space). Sentences are normalised: lower case,
-everything but letters of a-z, digits and inner dots as one space. A sentence found in the table of known licence
-sentences becomes its two-letter code; others drop out. The codes, in text order, are matched from left to right
+A text is cut into sentences at blank lines and after . ! ? before white space. A single line end or a semicolon may
+cut: a known sentence is found whether it is one line, is wrapped over several, or follows an unfinished heading.
+Sentences are normalised: lower case, everything but letters of a-z, digits and inner dots as one space. A sentence
+of the table of known licence sentences becomes its two-letter code; others drop out. The codes, in text order, are matched from left to right
 against the licence rules, which are ordered sequences of codes: the first rule in the list that fits is taken.
 A known sentence that no rule takes is reported as unmatched.
 
@@ -84,18 +85,39 @@ def _map(entries: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in entries.items() for x in pair])
 
 
+#: Ends of sentences (sure cuts), and single line ends and semicolons (a sentence may go on after them), in texts.
+_END, _MAYBE = "\x01", "\x02"
+
+
+def _canonical(sentence: str) -> str:
+    return sentence.replace(". ", " ")
+
+
+def _sentence_pattern() -> str:
+    """Any known sentence between two cuts, across possible cuts; longer sentences first."""
+    gap = rf"\.?[ {_MAYBE}]"
+    known = sorted({_canonical(s) for s in SENTENCES}, key=lambda s: (-len(s), s))
+    return rf"(?<=[{_END}{_MAYBE}])(?:{'|'.join(gap.join(w.replace('.', r'\.') for w in s.split(' ')) for s in known)})(?=[{_END}{_MAYBE}])"
+
+
 def sentences(text: Column) -> Column:
-    """The normalised sentences of a text: array<string>."""
-    lines = F.regexp_replace(text, r"[.!?;][ \t]+", "\n")
-    plain = F.regexp_replace(F.lower(lines), r"[^a-z0-9.\n]+", " ")
-    return F.transform(F.split(plain, "\n"), lambda s: F.regexp_replace(s, r"^[ .]+|[ .]+$", ""))
+    """The known sentences of a text, normalised: array<string>."""
+    lines = F.regexp_replace(F.lower(text), r"\r\n?", "\n")
+    lines = F.regexp_replace(lines, r"\n[^a-z0-9.!?;\n]*(?=\n)", _END)  # paragraphs
+    lines = F.regexp_replace(lines, rf"(?<!\bv)[.!?](?=[\s{_END}])", _END)  # not "v. 2.0"
+    lines = F.regexp_replace(lines, r";[ \t]+|;?\n", _MAYBE)
+    plain = F.regexp_replace(lines, rf"[^a-z0-9.{_END}{_MAYBE}]+", " ")
+    plain = F.concat(F.lit(_END), plain, F.lit(_END))
+    plain = F.regexp_replace(plain, rf"[ .]*([{_END}{_MAYBE}])[ .]*", "$1")
+    found = F.regexp_extract_all(plain, F.lit(_sentence_pattern()), F.lit(0))
+    return F.transform(found, lambda s: F.regexp_replace(s, rf"\.?[ {_MAYBE}]", " "))
 
 
 def scan(df: DataFrame, text: str = "text") -> DataFrame:
     """df with `sentence_codes`, `licences` and `unmatched`: arrays in text order."""
     rest = [c for c in df.columns if c not in ("sentence_codes", "licences", "unmatched")]
-    known, names = _map(SENTENCES), _map(_NAMES)
-    codes = F.filter(F.transform(sentences(clean_text(text)), lambda s: F.element_at(known, s)), lambda c: c.isNotNull())
+    known, names = _map({_canonical(k): v for k, v in SENTENCES.items()}), _map(_NAMES)
+    codes = F.transform(sentences(clean_text(text)), lambda s: F.element_at(known, s))
     found = df.select(*[F.col(f"`{c}`") for c in rest], codes.alias("sentence_codes"))
     found = found.withColumn("_match", F.regexp_extract_all(F.array_join("sentence_codes", ""), F.lit(_PATTERN), F.lit(0)))
     return found.select(
