@@ -107,9 +107,7 @@ thresholds as (select model, build, coalesce(max(s) filter (rn = ceil((n + 1) *
     "sets": lambda **k: """sets as materialized (select o.model, o.build, o.split, o.cond_id, o.item, o.label, o.confidence, o.pred, o.correct, o.p,
   len(list_filter(o.p, lambda v: v >= 1 - q))::double size, case when o.p[o.label + 1] >= 1 - q then 1.0::double else 0.0::double end covered
   from outcomes o join thresholds using (model, build) where split <> 'conformal_calibration')""",
-    "weights": lambda b=100, seed=0, **k: f"""blocks as (select item, g, md5(item || '|{seed}|' || g) h from items cross join range(0, {-(-b // 8)}) t(g)),
-draws as (select item, g * 8 + j as b, ('0x' || substr(h, (4 * j + 1)::bigint, 4))::bigint u from blocks cross join range(0, 8) s(j) where g * 8 + j < {b}),
-weights as materialized (select item, b, {WEIGHT_SQL} w from draws)""",
+    "weights": lambda b=1000, seed=0, **k: f"""weights as materialized (select item, 2 * g + j as b, {WEIGHT_SQL}::tinyint w from (select item, g, j, (y >> (16 - 16 * j)) & 65535 u from ({_blocks_sql(b, seed)}) cross join range(0, 2) s(j)) where 2 * g + j < {b})""",
 }
 NEEDS = {"scores": ["items", "cells"], "probs": ["scores"], "outcomes": ["probs"], "thresholds": ["probs"], "sets": ["outcomes", "thresholds"], "weights": ["items"]}
 
@@ -129,6 +127,27 @@ def poisson_steps(digits: int = 4) -> list[int]:
         p /= k
 
 
+#: Multipliers and shifts of a 32-bit mixing function: products stay below 2**63, so every engine computes them alike.
+MIX = ((16, 0x7FEB352D), (15, 0x297A2D39), (16, 1))
+GOLDEN, OTHER = 0x61C88647, 0x5BD1E995
+LAST = (13, 0x2C1B3C6D)
+
+
+def _rounds(source: str, keep: str, x: str, steps: tuple) -> str:
+    """DuckDB SQL: the 32-bit column x of a relation, mixed."""
+    for shift, factor in steps:
+        source = f"select {keep}, (xor({x}, {x} >> {shift}) * {factor}) & 4294967295 as {x} from ({source})"
+    return source
+
+
+def _blocks_sql(b: int, seed: int) -> str:
+    """item, g and y, 32 bits that give two draws."""
+    a = _rounds(f"select item, xor(item & 4294967295, {seed}) a from items", "item", "a", MIX)
+    c = _rounds(f"select item, a, xor(xor(a, (item >> 32) & 4294967295), {OTHER}) c from ({a})", "item, a", "c", MIX)
+    y = _rounds(f"select item, c, g, (a + g * {GOLDEN}) & 4294967295 y from ({c}) cross join range(0, {-(-b // 2)}) t(g)", "item, c, g", "y", MIX)
+    return _rounds(f"select item, g, xor(y, c) y from ({y})", "item, g", "y", (LAST,))
+
+
 WEIGHT_SQL = "(" + " + ".join(f"(u >= {s})::int" for s in poisson_steps()) + ")"
 
 

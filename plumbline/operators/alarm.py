@@ -1,16 +1,19 @@
-"""Windows of confidence and the alarm: blocks of a seeded order, counted without a global sort."""
+"""Windows of confidence and the alarm: blocks of a seeded order and random windows, without a global sort."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.fixtures import duck
 from plumbline.operators.metrics import r9, scored
 from plumbline.operators.splits import ranked
-from plumbline.streaming.streams import sized
+from plumbline.shared import written
 
-N = 100
+#: Items of a window, and random windows that a threshold is taken from.
+N, WINDOWS = 100, 10_000
 
 
 def win_consecutive(df: DataFrame, keys: list[str], value: str = "confidence", n: int = N, seed: int | str = 3) -> DataFrame:
@@ -20,13 +23,33 @@ def win_consecutive(df: DataFrame, keys: list[str], value: str = "confidence", n
     return blocks.groupBy(*keys, "window").agg(F.count("*").alias("m"), F.avg(value).alias("mean")).filter(F.col("m") == n).select(*keys, "window", F.round("mean", 9).alias("mean"))
 
 
-def win_random(df: DataFrame, keys: list[str], value: str = "confidence", n: int = N, permutations: int = 4, seed: int = 4) -> DataFrame:
-    """Windows of n different items, cut from several seeded orders (windows of one order share no item)."""
-    out = None
-    for p in range(permutations):
-        own = win_consecutive(df, keys, value, n, f"{seed}-{p}").withColumn("permutation", F.lit(p))
-        out = own if out is None else out.unionByName(own)
-    return out
+def attempts(items: int, n: int) -> int:
+    """Draws with replacement that hold n different ones of the items but for a negligible chance: mean and 12 deviations."""
+    shares = [(items - k) / items for k in range(n)]
+    return math.ceil(sum(1 / p for p in shares) + 12 * math.sqrt(sum((1 - p) / p**2 for p in shares))) + 10
+
+
+def win_random(df: DataFrame, keys: list[str], value: str = "confidence", n: int = N, windows: int = WINDOWS, seed: int = 4) -> DataFrame:
+    """Means of random windows of n different items, the same items for every key; windows may share items.
+
+    A window's items are the first n different places that hashes of (window, draw) name, so the work of drawing does
+    not grow with the items. Fewer than n items give no windows.
+    """
+    spark = df.sparkSession
+    place = written(spark, ranked(df.select("item").distinct(), seed), "places")
+    items = place.count()
+    if items < n:
+        windows, draws = 0, n
+    else:
+        draws = attempts(items, n)
+    own = spark.range(windows).select(F.col("id").alias("window"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("j"))
+    own = own.withColumn("rn", F.conv(F.substring(F.md5(F.concat_ws("|", "window", "j", F.lit(str(seed)))), 1, 12), 16, 10).cast("long") % max(items, 1) + 1)
+    first = own.groupBy("window", "rn").agg(F.min("j").alias("j"))
+    picked = first.withColumn("k", F.row_number().over(Window.partitionBy("window").orderBy("j"))).filter(F.col("k") <= n)  # `draws` rows a window
+    rows = df.select(*keys, "item", value).join(place, "item").join(picked.select("window", "rn"), "rn")
+    means = rows.groupBy(*keys, "window").agg(F.count("*").alias("m"), F.avg(value).alias("mean"))
+    short = F.raise_error(F.lit("a window has too few different items")).cast("double")
+    return means.select(*keys, "window", F.when(F.col("m") == n, F.round("mean", 9)).otherwise(short).alias("mean"))
 
 
 def alarm_threshold(windows: DataFrame, keys: list[str], percentile: float = 0.01) -> DataFrame:
@@ -35,7 +58,7 @@ def alarm_threshold(windows: DataFrame, keys: list[str], percentile: float = 0.0
 
 def alarm_fires(windows: DataFrame, thresholds: DataFrame, keys: list[str], on: list[str]) -> DataFrame:
     """Share of windows whose mean is strictly below the threshold."""
-    return windows.join(sized(thresholds, "thresholds"), on).groupBy(*keys).agg(F.count("*").alias("windows"), F.count_if(F.col("mean") < F.col("threshold")).alias("fired"), r9(F.avg((F.col("mean") < F.col("threshold")).cast("double"))).alias("rate"))
+    return windows.join(written(thresholds.sparkSession, thresholds, "thresholds"), on).groupBy(*keys).agg(F.count("*").alias("windows"), F.count_if(F.col("mean") < F.col("threshold")).alias("fired"), r9(F.avg((F.col("mean") < F.col("threshold")).cast("double"))).alias("rate"))
 
 
 def alarm_judge(fires: DataFrame, harmful: list[str], least: float = 0.90, most_clean: int = 2) -> DataFrame:
@@ -73,7 +96,9 @@ def _windows(rows: str, keys: str, seed: str) -> str:
 
 
 _TUNE = "tune as materialized (select * from outcomes where cond_id = 'clean' and split = 'tuning')"
-_RANDOM = " union all ".join(f"select *, {p} permutation from ({_windows('tune', 'model, build', f'4-{p}')})" for p in range(4))
+_RANDOM = """select model, build, w as window, round(avg(confidence), 9) mean from tune join
+ (select item, row_number() over (order by md5(item || '|4'), item) rn from (select distinct item from tune)) using (item) join
+ (select w, rn from (select w, rn, row_number() over (partition by w order by j) k from (select w, rn, min(j) j from (select w, j, ('0x' || substr(md5(w || '|' || j || '|4'), 1, 12))::bigint % (select count(distinct item) from tune) + 1 rn from range(0, 10000) a(w) cross join range(0, 500) b(j)) group by 1, 2)) where k <= 100) using (rn) group by 1, 2, 3 having count(*) = 100"""
 _TEST = f"test as materialized (select * from outcomes where split = 'test'), tested as ({_windows('test', 'model, build, cond_id', '3')})"
 _THR = f"{_TUNE}, thr as (select model, build, round(quantile_cont(mean, 0.01::double), 9) threshold from ({_RANDOM}) group by 1, 2)"
 _FIRES = f"{_THR}, {_TEST}, fires as (select model, build, cond_id, count(*) windows, count(*) filter (mean < threshold) fired, round(avg((mean < threshold)::int), 9) rate from tested join thr using (model, build) group by 1, 2, 3)"

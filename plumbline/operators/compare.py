@@ -9,20 +9,21 @@ from plumbline.fixtures import conditions, duck
 from plumbline.operators import rules as R
 from plumbline.operators.metrics import r9, set_rows
 from plumbline.operators.outcomes import CELL
-from plumbline.operators.resample import _FAST, _GAP, _NINE, _Q, _RHO, _TOPS, _rank, boot_sums, difference_ci, extra_gaps, outcomes_fast, stat_corr_judged, stat_spearman, tops
-
-B = 40
+from plumbline.operators.resample import _FAST, _GAP, _NINE, _Q, _RHO, _TOPS, B, _rank, boot_sums, difference_ci, extra_gaps, outcomes_fast, stat_corr_judged, stat_spearman, tops
+from plumbline.shared import written
 
 
 def facts(df: DataFrame, b: int = B) -> DataFrame:
     """A row for each cell: top-1, coverage, damage drop (condition minus clean) and shrinking cost (shrunk minus
     reference), all on the same items and the same replicates, each with its 95% interval."""
-    # one exchange by item serves both pairings: their windows hold an item's few cells
-    own = df.select(*CELL, "item", "correct", "covered", "size").repartition("model", "item")
-    clean = F.max(F.when(F.col("cond_id") == "clean", F.col("correct"))).over(Window.partitionBy("model", "item", "build"))
-    ref = F.max(F.when(F.col("build") == "ref", F.col("correct"))).over(Window.partitionBy("model", "item", "cond_id"))
-    own = own.withColumns({"_clean": clean, "_ref": ref}).filter("_clean is not null and _ref is not null")
+    # one window over an item's few cells serves both pairings
+    near = F.collect_list(F.struct("build", "cond_id", "correct")).over(Window.partitionBy("model", "item"))
+    own = df.select(*CELL, "item", "correct", "covered", "size", near.alias("_near"))
+    like = lambda test: F.array_max(F.transform(F.filter("_near", test), lambda y: y["correct"]))
+    clean, ref = like(lambda y: (y["cond_id"] == "clean") & (y["build"] == F.col("build"))), like(lambda y: (y["build"] == "ref") & (y["cond_id"] == F.col("cond_id")))
+    own = own.withColumns({"_clean": clean, "_ref": ref}).drop("_near").filter("_clean is not null and _ref is not null")
     own = own.withColumns({"drop": F.col("correct") - F.col("_clean"), "cost": F.col("correct") - F.col("_ref")})
+    own = written(df.sparkSession, own, "facts")  # read twice: once for the means, once for the replicates
     point = own.groupBy(*CELL).agg(F.count("*").alias("n"), r9(F.avg("correct")).alias("top1"), r9(F.avg("covered")).alias("coverage"), r9(F.avg("size")).alias("mean_size"), r9(F.avg("drop")).alias("drop"), r9(F.avg("cost")).alias("cost"), r9(F.avg("_ref")).alias("ref_top1"))
     sums = boot_sums(own, CELL, ["covered", "drop", "cost"], b)
     ends = F.array(F.lit(0.025), F.lit(0.975))

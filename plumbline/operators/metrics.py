@@ -1,4 +1,4 @@
-"""Metrics of cells: two-level hash aggregations; windows only over groups that were counted first."""
+"""Metrics of cells: two-level hash aggregations; running totals of a cell are formed in blocks of its order."""
 
 from __future__ import annotations
 
@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from plumbline.fixtures import BUILDS, duck, scores
 from plumbline.functions import scoring as S
+from plumbline.operators.ordered import running
 from plumbline.operators.outcomes import BUILD, CELL, clean_thresholds, conformal_threshold, outcomes, with_sets
-from plumbline.streaming.streams import sized
+from plumbline.shared import written
 
 BINS = 15
 
@@ -55,25 +56,24 @@ def m_nll(df: DataFrame, t: float = 1.0) -> DataFrame:
     return df.groupBy(*CELL).agg(r9(F.avg(S.nll(F.col("z"), F.col("label"), t))).alias("nll"))
 
 
-def m_temperature_fit(df: DataFrame, low: float = 0.1, high: float = 10.0, steps: int = 33, passes: int = 2) -> DataFrame:
+def m_temperature_fit(df: DataFrame, low: float = 0.1, high: float = 10.0, steps: int = 33, passes: int = 4) -> DataFrame:
     """The temperature with the least mean NLL, on a logarithmic grid that each pass narrows around its best point.
 
-    A pass is one aggregation with a row for each build and grid point; at_end marks a fit at the end of the range.
+    A pass reads each row once and forms the sums of all grid points; four passes of 33 end at a step below 1e-4 in
+    the logarithm. at_end marks a fit at the end of the range.
     """
     import math
 
-    spark = df.sparkSession
-    grids = sized(df.select(*BUILD).distinct(), "grids").withColumns({"_lo": F.lit(math.log(low)), "_hi": F.lit(math.log(high))})
+    spark, (first, last) = df.sparkSession, (math.log(low), math.log(high))
+    grids = written(spark, df.select(*BUILD).distinct(), "grids").withColumns({"_lo": F.lit(first), "_hi": F.lit(last)})
+    width = (F.col("_hi") - F.col("_lo")) / (steps - 1)
     for _ in range(passes):
-        grid = grids.select(*BUILD, "_lo", "_hi", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("_i"))
-        grid = grid.withColumn("_t", F.exp(F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_i") / (steps - 1)))
-        means = df.join(grid, BUILD).groupBy(*BUILD, "_i", "_t", "_lo", "_hi").agg(r9(F.avg(S.nll(F.col("z"), F.col("label"), F.col("_t")))).alias("nll"))
-        best = means.groupBy(*BUILD, "_lo", "_hi").agg(F.min_by(F.struct("_i", "_t", "nll"), F.struct("nll", "_i")).alias("b"))
-        width = (F.col("_hi") - F.col("_lo")) / (steps - 1)
-        centre = F.col("_lo") + width * F.col("b._i")
-        grids = sized(best.select(*BUILD, "b", F.greatest(F.lit(math.log(low)), centre - width).alias("_lo"), F.least(F.lit(math.log(high)), centre + width).alias("_hi")), "grids")
-    t = F.col("b._t")
-    return grids.select(*BUILD, F.round(t, 6).alias("temperature"), F.col("b.nll").alias("nll"), ((t < low * 1.01) | (t > high / 1.01)).alias("at_end"))
+        means = F.array(*[F.struct(r9(F.avg(S.nll(F.col("z"), F.col("label"), F.exp(F.col("_lo") + width * i)))).alias("nll"), F.lit(i).alias("i")) for i in range(steps)])
+        best = df.join(grids.select(*BUILD, "_lo", "_hi"), BUILD).groupBy(*BUILD, "_lo", "_hi").agg(F.array_min(means).alias("b"))
+        centre = F.col("_lo") + width * F.col("b.i")
+        ends = (F.greatest(F.lit(first), centre - width).alias("_lo"), F.least(F.lit(last), centre + width).alias("_hi"))
+        grids = written(spark, best.select(*BUILD, F.exp(centre).alias("t"), F.col("b.nll").alias("nll"), *ends), "grids")
+    return grids.select(*BUILD, F.round("t", 6).alias("temperature"), "nll", ((F.col("t") < low * 1.01) | (F.col("t") > high / 1.01)).alias("at_end"))
 
 
 def m_conformal_threshold(df: DataFrame, coverage: float = 0.9) -> DataFrame:
@@ -91,7 +91,7 @@ def m_set_size_hist(df: DataFrame) -> DataFrame:
 
 def m_sets_many_thresholds(df: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Coverage and set size of the same scores under several thresholds (build, name, q), with the average over them."""
-    own = df.join(sized(thresholds, "thresholds"), BUILD)
+    own = df.join(written(thresholds.sparkSession, thresholds, "thresholds"), BUILD)
     own = with_sets_of(own)
     each = own.groupBy(*CELL, "name").agg(F.avg("covered").alias("coverage"), F.avg("size").alias("mean_size"))
     return each.rollup(*CELL, "name").agg(F.avg("coverage").alias("c"), F.avg("mean_size").alias("s"), F.grouping_id().alias("g")).filter("g in (0, 1)").select(
@@ -110,17 +110,13 @@ def m_robust_thresholds(df: DataFrame, coverage: float = 0.9) -> DataFrame:
     out = df.sparkSession.createDataFrame([("fade",), ("jitter",)], "held_out string")
     mixed = cal.crossJoin(F.broadcast(out)).filter("kind <> held_out")
     q = conformal_threshold(mixed, [*BUILD, "held_out"], coverage)
-    return with_sets_of(mixed.join(sized(q, "thresholds"), [*BUILD, "held_out"])).groupBy(*BUILD, "held_out").agg(F.round(F.first("q"), 12).alias("q"), r9(F.avg("covered")).alias("coverage"))
+    return with_sets_of(mixed.join(written(df.sparkSession, q, "thresholds"), [*BUILD, "held_out"])).groupBy(*BUILD, "held_out").agg(F.round(F.first("q"), 12).alias("q"), r9(F.avg("covered")).alias("coverage"))
 
 
 def tie_groups(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Items counted by confidence, with the items (s) and errors (before) of higher confidence.
-
-    The window runs over distinct confidences of a cell, counted first by a partial aggregation.
-    """
+    """Items counted by confidence, with the items (s) and errors (before) of higher confidence."""
     groups = df.groupBy(*keys, "confidence").agg(F.count("*").alias("m"), F.sum(1 - F.col("correct")).alias("e"))
-    w = Window.partitionBy(*keys).orderBy(F.desc("confidence"))
-    return groups.withColumns({"s": F.sum("m").over(w) - F.col("m"), "before": F.sum("e").over(w) - F.col("e")})
+    return running(groups, keys, "confidence", {"m": "s", "e": "before"}, descending=True)
 
 
 def m_risk_curve(df: DataFrame) -> DataFrame:
@@ -134,7 +130,7 @@ def m_risk_at(df: DataFrame, points: tuple[float, ...] = (1.0, 0.8, 0.5)) -> Dat
     grid = df.sparkSession.createDataFrame([(float(c),) for c in sorted({*points, *(i / 100 for i in range(1, 101))})], "coverage double")
     n = df.groupBy(*CELL).agg(F.count("*").alias("n"))
     wanted = n.crossJoin(F.broadcast(grid)).withColumn("k", F.greatest(F.lit(1), F.bround(F.col("coverage") * F.col("n"), 0)).cast("long"))
-    hit = tie_groups(df, CELL).join(sized(wanted, "wanted"), CELL).filter("s < k and k <= s + m")  # 100 rows a cell against its tie groups
+    hit = tie_groups(df, CELL).join(written(df.sparkSession, wanted, "wanted"), CELL).filter("s < k and k <= s + m")  # 100 rows a cell against its tie groups
     return hit.select(*CELL, "coverage", "k", r9((F.col("before") + F.col("e") * (F.col("k") - F.col("s")) / F.col("m")) / F.col("k")).alias("risk"))
 
 
@@ -213,15 +209,15 @@ _AURC = f"{_GROUPS}, {_H}, area as (select {_C}, sum(t.e + (t.before - t.s * t.e
 _BIN = "greatest(0, least(14, ceil(confidence * 15) - 1))::int"
 
 
-def _temperature_sql() -> str:
+def _temperature_sql(passes: int = 4) -> str:
     nll = "round(avg(ln(list_sum(list_transform(z, lambda v: exp((v - zm) / t)))) + (zm - z[label + 1]) / t), 9)"
     ctes, source = "zs as materialized (select model, build, z, label, list_max(z) zm from scores where cond_id = 'clean' and split = 'tuning'), g0 as (select model, build, ln(0.1::double) lo, ln(10.0::double) hi, null::double t, null::double nll from zs group by 1, 2)", "g0"
-    for i in (1, 2):
+    for i in range(1, passes + 1):
         ctes += f""", p{i} as (select model, build, lo, hi, i, exp(lo + (hi - lo) * i / 32) t from {source} cross join range(0, 33) r(i)),
 a{i} as (select model, build, lo, hi, i, t, {nll} nll from zs join p{i} using (model, build) group by all),
 g{i} as (select model, build, greatest(ln(0.1::double), lo + (hi - lo) / 32 * i - (hi - lo) / 32) lo, least(ln(10.0::double), lo + (hi - lo) / 32 * i + (hi - lo) / 32) hi, t, nll from (select *, row_number() over (partition by model, build order by nll, i) rn from a{i}) where rn = 1)"""
         source = f"g{i}"
-    return duck("select model, build, round(t, 6) temperature, nll, t < 0.1::double * 1.01 or t > 10.0::double / 1.01 at_end from g2", "scores", more=ctes)
+    return duck(f"select model, build, round(t, 6) temperature, nll, t < 0.1::double * 1.01 or t > 10.0::double / 1.01 at_end from g{passes}", "scores", more=ctes)
 
 
 QUERIES = {

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import scoring as S
-from plumbline.streaming.streams import sized
+from plumbline.operators.ordered import running
+from plumbline.shared import written
 
 BUILD = ["model", "build"]
 CELL = ["model", "build", "cond_id"]
@@ -21,14 +22,13 @@ def outcomes(scores: DataFrame) -> DataFrame:
 def conformal_threshold(calibration: DataFrame, keys: list[str], coverage: float = 0.9) -> DataFrame:
     """keys and q: the ceil((n + 1) * coverage)-th smallest 1 - p(true class), 1.0 if there is none.
 
-    Two aggregations find the cut without sorting a whole group in one task: scores are counted by value first, so
-    a group's window holds its distinct scores only.
+    Scores are counted by value, and the counts summed up in blocks of the order: no task sorts a whole group.
     """
     counted = calibration.withColumn("s", 1 - F.element_at("p", F.col("label") + 1)).groupBy(*keys, "s").agg(F.count("*").alias("m"))
-    w = Window.partitionBy(*keys).orderBy("s")
-    ranked = counted.withColumns({"upto": F.sum("m").over(w), "n": F.sum("m").over(Window.partitionBy(*keys))})
-    k = F.ceil((F.col("n") + 1) * F.lit(float(coverage)))
-    return ranked.groupBy(*keys).agg(F.coalesce(F.min(F.when(F.col("upto") >= k, F.col("s"))), F.lit(1.0)).alias("q"))
+    ranked = running(counted, keys, "s", {"m": "before"})
+    wanted = ranked.groupBy(*keys).agg(F.ceil((F.sum("m") + 1) * F.lit(float(coverage))).alias("k"))
+    reached = F.when(F.col("before") + F.col("m") >= F.col("k"), F.col("s"))
+    return ranked.join(wanted, keys).groupBy(*keys).agg(F.coalesce(F.min(reached), F.lit(1.0)).alias("q"))
 
 
 def clean_thresholds(scored: DataFrame, coverage: float = 0.9) -> DataFrame:
@@ -38,6 +38,6 @@ def clean_thresholds(scored: DataFrame, coverage: float = 0.9) -> DataFrame:
 
 def with_sets(scored: DataFrame, thresholds: DataFrame, on: list[str]) -> DataFrame:
     """scored with the prediction sets' size and whether they hold the label; thresholds are a row a build."""
-    own = scored.join(sized(thresholds, "thresholds"), on)
+    own = scored.join(written(thresholds.sparkSession, thresholds, "thresholds"), on)
     size = F.size(F.filter("p", lambda x: x >= 1 - F.col("q")))
     return own.withColumns({"size": size.cast("double"), "covered": (F.element_at("p", F.col("label") + 1) >= 1 - F.col("q")).cast("double")})

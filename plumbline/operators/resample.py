@@ -1,84 +1,146 @@
 """Resampling and paired comparison by a Poisson bootstrap.
 
-The weight of (item, replicate) is an inverse Poisson(1) draw from md5(item|seed|replicate div 8), so pairing across
-builds, conditions and metrics is automatic: whatever is measured on an item gets the same weight everywhere. An
-estimate is sum(w * x) / sum(w). `boot_sums` forms the weighted sums of a batch as one matrix product and shuffles
-only replicates x keys rows from each task.
+The weight of (item, replicate) is an inverse Poisson(1) draw from a hash of item, seed and replicate, so pairing across
+builds, conditions and metrics is automatic: whatever is measured on an item gets the same weight everywhere. The hash
+is 32-bit arithmetic that numpy does for whole batches and SQL repeats. An estimate is a function of weighted sums;
+`boot_sums` forms these as matrix products and shuffles only replicates x keys rows from each task.
+
+`Metric` is the registry's entry: columns of an item, and the statistic of their weighted sums. Users add their own.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.fixtures import duck, poisson_steps, scores
+from plumbline.fixtures import GOLDEN, LAST, MIX, OTHER, duck, poisson_steps, scores
 from plumbline.functions import scoring as S
 from plumbline.operators.metrics import aurc_columns, bin_of, harmonic, r9, scored, set_rows
+from plumbline.operators.ordered import in_blocks
 from plumbline.operators.outcomes import CELL, outcomes
-from plumbline.streaming.streams import sized
+from plumbline.shared import written
+
+#: Replicates and seed of every interval.
+B, SEED = 1000, 0
+#: Rows that are multiplied at a time, and keys whose sums a task holds before it gives them out.
+ROWS, KEYS = 2_000, 500
+
+_STEPS = np.searchsorted(np.array(poisson_steps()), np.arange(65536), "right").astype(np.float64)
 
-B, SEED = 100, 0
-#: Rows of a batch that are multiplied at a time.
-ROWS = 20_000
 
+def _mix(x: np.ndarray, steps=MIX) -> np.ndarray:
+    for shift, factor in steps:
+        x = (x ^ (x >> np.uint32(shift))) * np.uint32(factor)
+    return x
 
-def weight_matrix(items: np.ndarray, b: int, seed: int | str) -> np.ndarray:
+
+def weight_matrix(items: np.ndarray, b: int, seed: int) -> np.ndarray:
     """(items, replicates) weights."""
-    unique, at = np.unique(items, return_inverse=True)
-    blocks = -(-b // 8)
-    raw = b"".join(hashlib.md5(f"{i}|{seed}|{g}".encode()).digest() for i in unique.tolist() for g in range(blocks))
-    u = np.frombuffer(raw, ">u2").reshape(len(unique), blocks * 8)[:, :b]
-    return np.searchsorted(np.array(poisson_steps()), u, "right").astype(float)[at]
+    unique, at = np.unique(items.astype(np.int64), return_inverse=True)
+    a = _mix((unique & 0xFFFFFFFF).astype(np.uint32) ^ np.uint32(seed))
+    c = _mix(a ^ (unique >> 32 & 0xFFFFFFFF).astype(np.uint32) ^ np.uint32(OTHER))
+    y = _mix(a[:, None] + np.arange(-(-b // 2), dtype=np.uint32) * np.uint32(GOLDEN))
+    y = _mix(y ^ c[:, None], (LAST,))
+    u = np.stack([y >> np.uint32(16), y & np.uint32(0xFFFF)], axis=2).reshape(len(unique), -1)[:, :b]
+    return _STEPS[u if len(unique) == len(items) and np.array_equal(unique, items) else u[at]]
 
 
-def bs_weights(items: DataFrame, b: int = B, seed: int | str = SEED) -> DataFrame:
+def bs_weights(items: DataFrame, b: int = B, seed: int = SEED) -> DataFrame:
     """item, b, w as rows, by built-in functions."""
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("item").cast("string"), F.lit(str(seed)), F.floor(F.col("b") / 8).cast("string"))), (F.col("b") % 8 * 4 + 1).cast("int"), F.lit(4)), 16, 10).cast("int")
-    w = sum((u >= s).cast("int") for s in poisson_steps()[1:]) + (u >= poisson_steps()[0]).cast("int")
-    return items.select("item", F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("b")).select("item", "b", w.alias("w"))
+    own = items.select("item", F.expr(f"(item & 4294967295L) ^ {seed}L").alias("a"))
+
+    def mix(df: DataFrame, x: str, steps=MIX) -> DataFrame:
+        for shift, factor in steps:
+            df = df.withColumn(x, F.expr(f"(({x} ^ shiftright({x}, {shift})) * {factor}L) & 4294967295L"))
+        return df
+
+    own = mix(mix(own, "a").withColumn("c", F.expr(f"a ^ (shiftright(item, 32) & 4294967295L) ^ {OTHER}L")), "c")
+    own = own.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(-(-b // 2) - 1))))
+    own = mix(own.withColumn("y", F.expr(f"(a + g * {GOLDEN}L) & 4294967295L")), "y")
+    own = mix(own.withColumn("y", F.expr("y ^ c")), "y", (LAST,))
+    own = own.select("item", "g", F.explode(F.array(F.struct(F.lit(0).alias("j"), F.shiftright("y", 16).alias("u")), F.struct(F.lit(1).alias("j"), F.col("y").bitwiseAND(F.lit(65535)).alias("u")))).alias("d"))
+    w = sum(((F.col("d.u") >= s).cast("int") for s in poisson_steps()), F.lit(0))
+    return own.select("item", (2 * F.col("g") + F.col("d.j")).alias("b"), w.alias("w")).filter(F.col("b") < b)
 
 
-def boot_sums(df: DataFrame, keys: list[str], values: list[str], b: int = B, seed: int | str = SEED, item: str = "item") -> DataFrame:
+def boot_sums(df: DataFrame, keys: list[str], values: list[str], b: int = B, seed: int = SEED, item: str = "item") -> DataFrame:
     """keys, b, sw and the weighted sum of each value (same name)."""
     own = df.select(*keys, F.col(item).cast("long").alias("_item"), *[F.col(v).cast("double").alias(v) for v in values])
-    fields = [own.schema[k] for k in keys]
-    schema = T.StructType([*fields, T.StructField("b", T.IntegerType()), T.StructField("sw", T.DoubleType()), *[T.StructField(v, T.DoubleType()) for v in values]])
+    schema = T.StructType([*(own.schema[k] for k in keys), T.StructField("b", T.IntegerType()), T.StructField("sw", T.DoubleType()), *[T.StructField(v, T.DoubleType()) for v in values]])
+    n = len(keys)
+
+    def give(held: dict[tuple, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for key, sums in held.items():
+            fixed = [pa.repeat(k, b) for k in key]
+            yield pa.RecordBatch.from_arrays([*fixed, pa.array(np.arange(b, dtype=np.int32)), *map(pa.array, sums)], names=schema.names)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
         for whole in it:
             for start in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(start, ROWS)
-                w = weight_matrix(batch.column(len(keys)).to_numpy(zero_copy_only=False), b, seed)
-                x = np.column_stack([np.ones(batch.num_rows), *(batch.column(len(keys) + 1 + i).to_numpy(zero_copy_only=False) for i in range(len(values)))])
-                table = pa.Table.from_batches([batch.select(keys)]) if keys else pa.table({"_": pa.nulls(batch.num_rows)})
-                codes, first = _groups(table)
-                for g, at in enumerate(first):
-                    rows = codes == g
-                    sums = w[rows].T @ x[rows]
-                    fixed = [pa.array([table.column(i)[at].as_py()] * b, table.schema.field(i).type) for i in range(len(keys))]
-                    yield pa.RecordBatch.from_arrays([*fixed, pa.array(np.arange(b, dtype=np.int32)), *(pa.array(sums[:, j]) for j in range(sums.shape[1]))], names=schema.names)
+                w = weight_matrix(batch.column(n).to_numpy(zero_copy_only=False), b, seed)
+                x = np.column_stack([np.ones(batch.num_rows), *(batch.column(n + 1 + i).to_numpy(zero_copy_only=False) for i in range(len(values)))])
+                for key, rows in _groups(batch, n):
+                    sums = x[rows].T @ w[rows]
+                    held[key] = held[key] + sums if key in held else sums
+                if len(held) > KEYS:
+                    yield from give(held)
+                    held = {}
+        yield from give(held)
 
     sums = own.mapInArrow(batches, schema)
     return sums.groupBy(*keys, "b").agg(*[F.sum(c).alias(c) for c in ("sw", *values)])
 
 
-def _groups(table: pa.Table) -> tuple[np.ndarray, list[int]]:
-    """A group number for each row, and the first row of each group."""
-    seen: dict[tuple, int] = {}
-    first: list[int] = []
-    codes = np.zeros(table.num_rows, np.int64)
-    for i, row in enumerate(zip(*(c.to_pylist() for c in table.columns), strict=True)):
-        if row not in seen:
-            seen[row] = len(first)
-            first.append(i)
-        codes[i] = seen[row]
-    return codes, first
+def _groups(batch: pa.RecordBatch, n: int) -> list[tuple[tuple, np.ndarray | slice]]:
+    """The distinct values of the first n columns, as Arrow scalars, with their rows."""
+    codes = np.zeros(batch.num_rows, np.int64)
+    for i in range(n):
+        own = pc.dictionary_encode(batch.column(i), null_encoding="encode")
+        codes = codes * len(own.dictionary) + own.indices.to_numpy(zero_copy_only=False)
+        codes = np.unique(codes, return_inverse=True)[1]
+    order = np.argsort(codes, kind="stable")
+    cuts = np.flatnonzero(np.diff(codes[order])) + 1
+    parts = np.split(order, cuts) if len(cuts) else [slice(0, batch.num_rows)]
+    return [(tuple(batch.column(i)[0 if isinstance(rows, slice) else int(rows[0])] for i in range(n)), rows) for rows in parts]
+
+
+@dataclass(frozen=True)
+class Metric:
+    """What the bootstrap can estimate: `columns` of an item; groups `by` within which they are summed; `statistic`, a
+    Column over the weighted sums (same names) and `sw`, the sum of weights - an aggregate where `by` is given."""
+
+    columns: dict[str, Column]
+    statistic: Column
+    by: dict[str, Column] = field(default_factory=dict)
+
+
+METRICS: dict[str, Callable[[], Metric]] = {
+    "accuracy": lambda: Metric({"v": F.col("correct")}, F.col("v") / F.col("sw")),
+    "confidence": lambda: Metric({"v": F.col("confidence")}, F.col("v") / F.col("sw")),
+    "overconfidence": lambda: Metric({"c": F.col("confidence"), "v": F.col("correct")}, (F.col("c") - F.col("v")) / F.col("sw")),
+    "ece": lambda: Metric({"gap": F.col("confidence") - F.col("correct")}, F.sum(F.abs("gap")) / F.sum("sw"), {"bin": bin_of(F.col("confidence"))}),
+}
+
+
+def replicates(df: DataFrame, keys: list[str], metric: Metric, b: int = B, seed: int = SEED) -> DataFrame:
+    """keys, b, value of a metric in every replicate."""
+    own = df.select(*keys, "item", *[c.alias(n) for n, c in {**metric.by, **metric.columns}.items()])
+    sums = boot_sums(own, [*keys, *metric.by], list(metric.columns), b, seed)
+    return sums.groupBy(*keys, "b").agg(metric.statistic.alias("value")) if metric.by else sums.select(*keys, "b", metric.statistic.alias("value"))
+
+
+def bootstrap(df: DataFrame, keys: list[str], metric: str | Metric, b: int = B) -> DataFrame:
+    """keys, lo, hi of a registered metric, or of one's own."""
+    return interval(replicates(df, keys, METRICS[metric]() if isinstance(metric, str) else metric, b), keys, F.col("value"))
 
 
 def interval(df: DataFrame, keys: list[str], value: Column, level: tuple[float, float] = (0.025, 0.975)) -> DataFrame:
@@ -111,8 +173,11 @@ def difference_ci(diff: DataFrame, keys: list[str], b: int = B) -> DataFrame:
 
 
 def bs_paired_diff(df: DataFrame, b: int = B) -> DataFrame:
-    """Shrunk minus reference, correct answers on the same items, in each condition."""
-    return difference_ci(paired(df, F.col("build") == "ref", F.col("build") == "small", ["model", "cond_id", "item"]), ["model", "cond_id"], b)
+    """Shrunk minus reference, correct answers on the same items, in each condition. One pass pairs the builds: items
+    that only one of them has drop out."""
+    side = lambda build: F.max(F.when(F.col("build") == build, F.col("correct")))
+    both = df.groupBy("model", "cond_id", "item").agg((side("small") - side("ref")).alias("x")).filter("x is not null")
+    return difference_ci(both, ["model", "cond_id"], b)
 
 
 def bs_unpaired_diff(a: DataFrame, c: DataFrame, keys: list[str], value: str = "correct", b: int = B) -> DataFrame:
@@ -122,47 +187,89 @@ def bs_unpaired_diff(a: DataFrame, c: DataFrame, keys: list[str], value: str = "
     return point.join(interval(sums, keys, F.col("vc") - F.col("va")), keys)
 
 
-def ece_replicates(df: DataFrame, keys: list[str], b: int = B, confidence: str = "confidence") -> DataFrame:
-    """keys, b, ece of every replicate."""
-    own = df.select(*keys, "item", bin_of(F.col(confidence)).alias("bin"), (F.col(confidence) - F.col("correct")).alias("gap"))
-    return boot_sums(own, [*keys, "bin"], ["gap"], b).groupBy(*keys, "b").agg((F.sum(F.abs("gap")) / F.sum("sw")).alias("ece"))
+def ece_metric(confidence: str = "confidence") -> Metric:
+    return Metric({"gap": F.col(confidence) - F.col("correct")}, F.sum(F.abs("gap")) / F.sum("sw"), {"bin": bin_of(F.col(confidence))})
 
 
 def bs_ece_ci(df: DataFrame, b: int = B) -> DataFrame:
-    return interval(ece_replicates(df, CELL, b), CELL, F.col("ece"))
+    return bootstrap(df, CELL, "ece", b)
 
 
 def bs_ece_diff_ci(df: DataFrame, b: int = B) -> DataFrame:
     """ECE with the scaled confidence minus ECE with the raw one, on the same replicates."""
-    both = ece_replicates(df, CELL, b).withColumnRenamed("ece", "raw").join(ece_replicates(df, CELL, b, "scaled"), [*CELL, "b"])
-    return interval(both, CELL, F.col("ece") - F.col("raw")).withColumn("side", S.interval_side(F.col("lo"), F.col("hi")))
-
-
-def aurc_replicates(df: DataFrame, keys: list[str], b: int) -> DataFrame:
-    """keys, b, aurc and e_aurc: an item of weight w takes w places in its tie group."""
-    drawn = df.select(*keys, "item", "confidence", "correct").join(bs_weights(df.select("item").distinct(), b), "item").filter("w > 0")
-    groups = drawn.groupBy(*keys, "b", "confidence").agg(F.sum("w").alias("m"), F.sum(F.col("w") * (1 - F.col("correct"))).alias("e"))
-    w = Window.partitionBy(*keys, "b").orderBy(F.desc("confidence"))
-    groups = groups.withColumns({"s": F.sum("m").over(w) - F.col("m"), "before": F.sum("e").over(w) - F.col("e")})
-    area, errors = aurc_columns()
-    sums = groups.groupBy(*keys, "b").agg(F.sum(area).alias("a"), F.sum("m").alias("n"), F.sum(errors).alias("e"))
-    n, c = F.col("n").cast("double"), F.col("n") - F.col("e")
-    best = (n - c) / n - (c / n) * (harmonic(F.col("n")) - harmonic(c.cast("long")))
+    raw, scaled_ = (replicates(df, CELL, ece_metric(c), b).withColumnRenamed("value", n) for c, n in (("confidence", "raw"), ("scaled", "ece")))
+    return interval(raw.join(scaled_, [*CELL, "b"]), CELL, F.col("ece") - F.col("raw")).withColumn("side", S.interval_side(F.col("lo"), F.col("hi")))
+
+
+def _harmonics(n: np.ndarray) -> np.ndarray:
+    """Harmonic numbers of whole counts: summed up to 40, beyond by the asymptotic series."""
+    x = np.maximum(n, 1.0)
+    far = np.log(x) + 0.5772156649015329 + 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6)
+    near = np.concatenate([[0.0], np.cumsum(1 / np.arange(1, 41))])
+    return np.where(n <= 40, near[np.minimum(n, 40).astype(np.int64)], far)
+
+
+def aurc_replicates(df: DataFrame, keys: list[str], b: int = B, seed: int = SEED) -> DataFrame:
+    """keys, b, aurc and e_aurc: an item of weight w takes w places in its tie group.
+
+    Items are dealt into blocks of the order of confidence. One pass sums the weights of each block, so that a block
+    knows what lies before it in every replicate; a second walks each block, whose ties are whole.
+    """
+    spark = df.sparkSession
+    rows = written(spark, df.select(*keys, "item", "confidence", (1 - F.col("correct")).alias("wrong")), "aurc")
+    rows = in_blocks(rows, keys, "confidence", descending=True)
+    sums = boot_sums(rows, [*keys, "_block"], ["wrong"], b, seed)
+    w = Window.partitionBy(*keys, "b").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block of a cell
+    before = sums.select(*keys, "_block", "b", *[F.coalesce(F.sum(c).over(w), F.lit(0.0)).alias(c) for c in ("sw", "wrong")])
+    packed = before.groupBy(*keys, "_block").agg(F.array_sort(F.collect_list(F.struct("b", "sw", "wrong"))).alias("p"))
+    packed = packed.select(*keys, "_block", F.col("p.sw").alias("s"), F.col("p.wrong").alias("e"))
+    schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField("b", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in ("a", "n", "e")]])
+
+    def walk(group: pa.Table, start: pa.Table) -> pa.Table:
+        if not group.num_rows:
+            return schema_arrow.empty_table()
+        group = group.sort_by([("confidence", "descending")])
+        items, c, wrong = (group.column(n).to_numpy() for n in ("item", "confidence", "wrong"))
+        s, e = (np.array(start.column(n)[0].values) for n in ("s", "e"))
+        first_s, first_e, area, h = s, e, np.zeros(b), _harmonics(s)
+        ties = np.append(np.flatnonzero(np.append(True, c[1:] != c[:-1])), len(c))
+        at = 0
+        while at < len(ties) - 1:
+            to = max(at + 1, int(np.searchsorted(ties, ties[at] + ROWS, "right")) - 1)
+            low, high = int(ties[at]), int(ties[to])
+            weights = weight_matrix(items[low:high], b, seed)
+            cut = ties[at:to] - low
+            m, f = np.add.reduceat(weights, cut, axis=0), np.add.reduceat(weights * wrong[low:high, None], cut, axis=0)
+            upto_s, upto_e = s + np.cumsum(m, axis=0), e + np.cumsum(f, axis=0)
+            hs = _harmonics(upto_s)
+            share = f / np.maximum(m, 1)
+            rest = (upto_e - f) - (upto_s - m) * share
+            area += (f + rest * np.diff(np.concatenate([h[None], hs]), axis=0)).sum(axis=0)
+            s, e, h, at = upto_s[-1], upto_e[-1], hs[-1], to
+        fixed = [pa.repeat(group.column(k)[0], b) for k in keys]
+        return pa.Table.from_arrays([*fixed, pa.array(np.arange(b, dtype=np.int32)), pa.array(area), pa.array(s - first_s), pa.array(e - first_e)], names=schema.names)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema_arrow = to_arrow_schema(schema)
+    walked = rows.groupBy(*keys, "_block").cogroup(packed.groupBy(*keys, "_block")).applyInArrow(walk, schema)
+    sums = walked.groupBy(*keys, "b").agg(*[F.sum(c).alias(c) for c in ("a", "n", "e")])
+    n, c = F.col("n"), F.col("n") - F.col("e")
+    best = (n - c) / n - (c / n) * (harmonic(n.cast("long")) - harmonic(c.cast("long")))
     return sums.select(*keys, "b", (F.col("a") / n).alias("aurc"), (F.col("a") / n - best).alias("e_aurc"))
 
 
-def bs_aurc_ci(df: DataFrame, b: int = 20) -> DataFrame:
-    reps = aurc_replicates(df, CELL, b)
+def bs_aurc_ci(df: DataFrame, b: int = B) -> DataFrame:
+    reps = written(df.sparkSession, aurc_replicates(df, CELL, b), "replicates")
     e = interval(reps, CELL, F.col("e_aurc")).withColumnsRenamed({"lo": "e_lo", "hi": "e_hi"})
     return interval(reps, CELL, F.col("aurc")).join(e, CELL)
 
 
-def bs_e_aurc_diff_ci(df: DataFrame, b: int = 20) -> DataFrame:
+def bs_e_aurc_diff_ci(df: DataFrame, b: int = B) -> DataFrame:
     """Shrunk minus reference E-AURC on the same replicates."""
-    reps = aurc_replicates(df, CELL, b)
-    keys = ["model", "cond_id", "b"]
-    both = reps.filter("build = 'ref'").select(*keys, F.col("e_aurc").alias("old")).join(reps.filter("build = 'small'").select(*keys, F.col("e_aurc").alias("new")), keys)
-    return interval(both, ["model", "cond_id"], F.col("new") - F.col("old")).withColumn("side", S.interval_side(F.col("lo"), F.col("hi")))
+    side = lambda build: F.max(F.when(F.col("build") == build, F.col("e_aurc")))
+    both = aurc_replicates(df, CELL, b).groupBy("model", "cond_id", "b").agg((side("small") - side("ref")).alias("x"))
+    return interval(both, ["model", "cond_id"], F.col("x")).withColumn("side", S.interval_side(F.col("lo"), F.col("hi")))
 
 
 def extra_gaps(df: DataFrame) -> DataFrame:
@@ -221,20 +328,26 @@ def stat_corr_judged(df: DataFrame, keys: list[str], x: str, y: str, reference:
     return joined.select(*keys, "models", "near_floor", F.when(~few, F.col("rho")).alias("rho"), F.when(few, "too few models").when(F.col("rho").isNull(), "constant").otherwise("judged").alias("reason"))
 
 
-def bs_corr_ci(df: DataFrame, x: str, y: str, b: int = B, attempts: int = 2, least: int = 4, seed: int = 0) -> DataFrame:
+def bs_corr_ci(df: DataFrame, x: str, y: str, b: int = B, most: int = 100, least: int = 4, seed: int = 0) -> DataFrame:
     """Spearman resampling the list of models (column `model`): replicates with fewer than `least` distinct models or a
-    constant side are redrawn; the first b valid attempts count. A handful of models, so windows are tiny."""
+    constant side are redrawn; the first b valid attempts count. Fails where `most` x b attempts give fewer. A handful
+    of models, so windows are tiny."""
     spark = df.sparkSession
-    listed = df.select("model", x, y).withColumn("i", F.row_number().over(Window.orderBy("model")) - 1)
+    listed = written(spark, df.select("model", x, y).withColumn("i", F.row_number().over(Window.orderBy("model")) - 1), "models")
     n = listed.count()
-    draws = spark.range(b * attempts).select(F.col("id").cast("int").alias("b")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    index = F.conv(F.substring(F.md5(F.concat_ws("|", "b", "j", F.lit(str(seed)))), 1, 8), 16, 10).cast("long") % n
-    rows = draws.withColumn("i", index.cast("int")).join(sized(listed, "models"), "i")
-    ranked = rows.withColumns({"rx": average_rank(x, ["b"]), "ry": average_rank(y, ["b"])})
-    constant = (F.min("rx") == F.max("rx")) | (F.min("ry") == F.max("ry"))
-    each = ranked.groupBy("b").agg(F.count_distinct("i").alias("distinct"), F.when(~constant, pearson("rx", "ry")).alias("rho"))
-    valid = each.filter((F.col("distinct") >= least) & F.col("rho").isNotNull())
-    kept = valid.withColumn("k", F.row_number().over(Window.orderBy("b"))).filter(F.col("k") <= b)
+    valid, have, tried = None, 0, 0
+    while have < b:
+        if tried >= most * b:
+            raise ValueError(f"{have} of {tried} attempts are valid, {b} are needed")
+        draws = spark.range(tried, tried + 2 * b).select(F.col("id").cast("int").alias("b")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        index = F.conv(F.substring(F.md5(F.concat_ws("|", "b", "j", F.lit(str(seed)))), 1, 8), 16, 10).cast("long") % n
+        rows = draws.withColumn("i", index.cast("int")).join(listed, "i")
+        ranked = rows.withColumns({"rx": average_rank(x, ["b"]), "ry": average_rank(y, ["b"])})
+        constant = (F.min("rx") == F.max("rx")) | (F.min("ry") == F.max("ry"))
+        each = ranked.groupBy("b").agg(F.count_distinct("i").alias("distinct"), F.when(~constant, pearson("rx", "ry")).alias("rho"))
+        more = written(spark, each.filter((F.col("distinct") >= least) & F.col("rho").isNotNull()), "valid")
+        valid, have, tried = more if valid is None else valid.union(more), have + more.count(), tried + 2 * b
+    kept = valid.orderBy("b").limit(b)
     p = F.percentile("rho", F.array(F.lit(0.025), F.lit(0.975)))
     return kept.agg(F.count("*").alias("replicates"), (F.max("b") + 1 - F.count("*")).alias("redrawn"), p.alias("_p")).select("replicates", "redrawn", r9(F.col("_p")[0]).alias("lo"), r9(F.col("_p")[1]).alias("hi"))
 
@@ -271,7 +384,7 @@ def q_unpaired(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    "bs_weights": lambda s, d: bs_weights(outcomes_fast(s, d, 1, ["clean"]).filter("build = 'ref'").select("item"), 16).groupBy("b", "w").agg(F.count("*").alias("n")),
+    "bs_weights": lambda s, d: bs_weights(outcomes_fast(s, d, 1, ["clean"]).filter("build = 'ref'").select("item")).groupBy("b", "w").agg(F.count("*").alias("n")),
     "bs_mean_ci": lambda s, d: bs_mean_ci(set_rows(s, d), CELL, "covered"),
     "bs_paired_diff": lambda s, d: bs_paired_diff(scored(s, d)),
     "bs_unpaired_diff": q_unpaired,
@@ -323,18 +436,18 @@ def _rank(v: str, keys: str) -> str:
 _RHO = "round(case when min(rx) < max(rx) and min(ry) < max(ry) then corr(rx, ry) end, 9)"
 _NINE = {"models": 9, "conds": ["clean", "demo/fade/3", "demo/jitter/5"]}
 ORACLE = {
-    "bs_weights": duck("select b::int b, w, count(*) n from weights group by all", "weights", b=16),
+    "bs_weights": duck("select b::int b, w, count(*) n from weights group by all", "weights"),
     "bs_mean_ci": duck(f"select * from (select {_C}, round(avg(covered), 9) as value, count(*) n from sets group by all) join (select {_C}, {_Q} from (select {_C}, b, sum(w * covered) / sum(w) v from sets join weights using (item) group by all) group by all) using ({_C})", "sets", "weights"),
     "bs_paired_diff": duck(_difference("pairs", "model, cond_id"), "scores", "weights", more=f"{_FAST}, pairs as materialized (select a.model, a.cond_id, a.item, b.correct - a.correct x from fast a join fast b using (model, cond_id, item) where a.build = 'ref' and b.build = 'small')"),
     "bs_unpaired_diff": duck(f"select {_C}, value, lo, hi from (select {_C}, round(avg(correct) filter (split = 'test') - avg(correct) filter (split = 'tuning'), 9) as value from fast group by all) join (select {_C}, {_Q} from (select {_C}, b, sum(w * correct) filter (split = 'test') / sum(w) filter (split = 'test') - sum(w * correct) filter (split = 'tuning') / sum(w) filter (split = 'tuning') v from fast join weights using (item) group by all) group by all) using ({_C})", "scores", "weights", more=_FAST, conds=["clean", "demo/fade/3"]),
     "bs_ece_ci": duck(f"select {_C}, {_Q} from {_ece('confidence', 'outcomes')} group by all", "outcomes", "weights"),
-    "bs_aurc_ci": duck(f"select {_C}, round(quantile_cont(aurc, 0.025::double), 9) lo, round(quantile_cont(aurc, 0.975::double), 9) hi, round(quantile_cont(e_aurc, 0.025::double), 9) e_lo, round(quantile_cont(e_aurc, 0.975::double), 9) e_hi from reps group by all", "outcomes", "weights", more=_REPS, b=20, conds=["clean"]),
+    "bs_aurc_ci": duck(f"select {_C}, round(quantile_cont(aurc, 0.025::double), 9) lo, round(quantile_cont(aurc, 0.975::double), 9) hi, round(quantile_cont(e_aurc, 0.025::double), 9) e_lo, round(quantile_cont(e_aurc, 0.975::double), 9) e_hi from reps group by all", "outcomes", "weights", more=_REPS, conds=["clean"]),
     "bs_ece_diff_ci": duck(f"select *, {_SIDE} from (select {_C}, {_Q} from (select {_C}, b, s.v - r.v v from {_ece('confidence', 'hot')} r join {_ece('scaled', 'hot')} s using ({_C}, b)) group by all)", "outcomes", "weights", more=_SCALED, conds=["clean", "demo/fade/5"]),
-    "bs_e_aurc_diff_ci": duck(f"select *, {_SIDE} from (select model, cond_id, {_Q} from (select o.model, o.cond_id, n.e_aurc - o.e_aurc v from reps o join reps n using (model, cond_id, b) where o.build = 'ref' and n.build = 'small') group by all)", "outcomes", "weights", more=_REPS, b=20, conds=["clean"]),
+    "bs_e_aurc_diff_ci": duck(f"select *, {_SIDE} from (select model, cond_id, {_Q} from (select o.model, o.cond_id, n.e_aurc - o.e_aurc v from reps o join reps n using (model, cond_id, b) where o.build = 'ref' and n.build = 'small') group by all)", "outcomes", "weights", more=_REPS, conds=["clean"]),
     "bs_extra_gap": duck(_difference("extra", "model, cond_id"), "scores", "weights", more=f"{_FAST}, {_GAP}"),
     "bs_extra_gap_diff": duck(_difference("pairs", "model"), "scores", "weights", more=f"{_FAST}, {_GAP}, pairs as materialized (select a.model, a.item, a.x - b.x x from extra a join extra b using (model, item) where a.cond_id = 'demo/fade/5' and b.cond_id = 'demo/jitter/3')"),
     "bs_variant_change": duck(f"select d.*, baseline, round(case when baseline < 0 then -count / baseline::double end, 9) recovered from ({_difference('pairs', 'cond_id')}) d join (select cond_id, sum(xb)::bigint baseline from pairs group by 1) using (cond_id)", "scores", "weights", more=f"{_FAST}, {_GAP}, pairs as materialized (select a.cond_id, a.item, a.x xb, b.x - a.x x from extra a join extra b using (cond_id, item) where a.model = 'm0' and b.model = 'm1')", models=2, conds=["clean", "demo/fade/5"]),
-    "bs_corr_ci": duck(f"""select count(*) replicates, max(b) + 1 - count(*) redrawn, round(quantile_cont(rho, 0.025::double), 9) lo, round(quantile_cont(rho, 0.975::double), 9) hi from (select *, row_number() over (order by b) k from (select b, count(distinct i) d, case when min(rx) < max(rx) and min(ry) < max(ry) then corr(rx, ry) end rho from (select b, i, {_rank('ref', 'b')} rx, {_rank('extra', 'b')} ry from draws join listed using (i)) group by b) where d >= 4 and rho is not null) where k <= 100""", "scores", more=f"{_TOPS}, listed as (select *, row_number() over (order by model) - 1 i from tops where cond_id = 'demo/fade/3'), draws as (select b, ('0x' || substr(md5(b || '|' || j || '|0'), 1, 8))::bigint % 9 i from range(0, 200) t(b) cross join range(0, 9) s(j))", models=9, conds=["clean", "demo/fade/3"]),
+    "bs_corr_ci": duck(f"""select count(*) replicates, max(b) + 1 - count(*) redrawn, round(quantile_cont(rho, 0.025::double), 9) lo, round(quantile_cont(rho, 0.975::double), 9) hi from (select *, row_number() over (order by b) k from (select b, count(distinct i) d, case when min(rx) < max(rx) and min(ry) < max(ry) then corr(rx, ry) end rho from (select b, i, {_rank('ref', 'b')} rx, {_rank('extra', 'b')} ry from draws join listed using (i)) group by b) where d >= 4 and rho is not null) where k <= 1000""", "scores", more=f"{_TOPS}, listed as (select *, row_number() over (order by model) - 1 i from tops where cond_id = 'demo/fade/3'), draws as (select b, ('0x' || substr(md5(b || '|' || j || '|0'), 1, 8))::bigint % 9 i from range(0, 10000) t(b) cross join range(0, 9) s(j))", models=9, conds=["clean", "demo/fade/3"]),
     "stat_average_rank": duck(f"select model, cond_id, v, {_rank('v', 'cond_id')} as rank from (select *, round(gap, 2) v from tops)", "scores", more=_TOPS, **_NINE),
     "stat_spearman": duck(f"select cond_id, count(*) models, {_RHO} rho from (select cond_id, {_rank('ref0', 'cond_id')} rx, {_rank('gap', 'cond_id')} ry from tops) group by 1", "scores", more=_TOPS, **_NINE),
     "stat_corr_judged": duck(f"select cond_id, coalesce(models, 0) models, near_floor, case when models >= 6 then rho end rho, case when coalesce(models, 0) < 6 then 'too few models' when rho is null then 'constant' else 'judged' end reason from (select cond_id, count(*) filter (ref < 0.1::double) near_floor from tops group by 1) left join (select cond_id, count(*) models, {_RHO} rho from (select cond_id, {_rank('ref', 'cond_id')} rx, {_rank('extra', 'cond_id')} ry from tops where ref >= 0.1::double) group by 1) using (cond_id)", "scores", more=_TOPS, **_NINE),

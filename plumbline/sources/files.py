@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline.fixtures import duck, scores, table
 from plumbline.operators.quality import _REC, CHECKS, problems, records
-from plumbline.streaming.streams import shared_path
+from plumbline.shared import shared_path
 
 
 def src_folder_labels(spark: SparkSession, path: str) -> DataFrame:
