@@ -207,9 +207,9 @@ judged as materialized (select *, case when drop_state = 'fails' or cov_state =
   concat_ws('; ', case when cost_hi < -0.05::double then 'large shrinking cost' end, case when ref_top1 < 0.10::double then 'not informative' end) flags, ref_top1 < 0.10::double near_floor from states),
 damaged as (select * from judged where cond_id <> 'clean'),
 caused as (select s.*, r.state ref_state, r.drop_state ref_drop, r.cov_state ref_cov, r.failed_lines ref_failed, case when s.state = 'harmful' then case r.state when 'harmful' then 'too hard for this model' when 'not harmful' then 'hurt by shrinking' else 'cause unclear' end end cause from damaged s left join damaged r on r.model = s.model and r.cond_id = s.cond_id and r.build = 'ref' where s.build = 'small')"""
-_REASONS = """case when state = 'harmful' then concat_ws('; ', case when drop_state = 'fails' then 'whole damage-drop interval below the damage-drop line' end, case when cov_state = 'fails' then 'whole coverage interval below the coverage line' end)
- when state = 'not harmful' then 'whole coverage interval at or above the coverage line; whole damage-drop interval at or above the damage-drop line'
- else concat_ws('; ', case when cov_state = 'straddles' then 'coverage interval straddles its line' end, case when drop_state = 'straddles' then 'damage drop interval straddles its line' end) end reasons"""
+_REASONS = """case when state = 'harmful' then concat_ws('; ', case when drop_state = 'fails' then 'damage drop: all of the interval is under the line' end, case when cov_state = 'fails' then 'coverage: all of the interval is under the line' end)
+ when state = 'not harmful' then 'no part of either interval is under its line'
+ else concat_ws('; ', case when cov_state = 'straddles' then 'coverage: the line is inside the interval' end, case when drop_state = 'straddles' then 'damage drop: the line is inside the interval' end) end reasons"""
 _STEP = """case when state <> 'harmful' then '-' else concat_ws('; ', case when drop_state = 'fails' then case ref_drop when 'fails' then 'use a stronger model' when 'copes' then 'try another recipe' else 'test with more items' end end,
  case when cov_state = 'fails' then 'recalibrate on damaged data' end, case when cov_state = 'fails' and ref_cov = 'copes' and not (drop_state = 'fails' and ref_drop = 'copes') then 'try another recipe' end) end next_step"""
 

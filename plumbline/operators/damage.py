@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.fixtures import table
+from plumbline.operators.splits import _ALL, KINDS, _balanced, all_items, plan_balanced
 
 GRID = [("clean", None, 0)] + [(k, "demo", s) for k in ("darken", "blend", "noise", "blur") for s in (1, 3, 5)]
 
@@ -125,9 +126,11 @@ def q_slug(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_label(spark: SparkSession, sf: str) -> DataFrame:
-    rows = cond_grid(spark).unionByName(spark.createDataFrame([(None, None, None)], "corruption string, suite string, severity int"))
-    n = table(spark, sf, "orders").agg(F.count("*").alias("items"))
-    return rows.crossJoin(F.broadcast(n)).select("corruption", "severity", cond_label(rows).alias("label"), "items")
+    """The label of every item's condition in a plan; every tenth clean item has none (speed only)."""
+    plan = plan_balanced(all_items(spark, sf))
+    kind = F.when(F.col("severity") > 0, F.col("corruption")).when(F.col("item") % 10 != 9, "clean")
+    rows = plan.select("item", kind.alias("corruption"), F.when(F.col("severity") > 0, "demo").alias("suite"), "severity")
+    return rows.select("item", cond_label(rows).alias("label"))
 
 
 def q_score(spark: SparkSession, sf: str) -> DataFrame:
@@ -137,7 +140,7 @@ def q_score(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    "cond_grid": lambda s, d: cond_grid(s).crossJoin(F.broadcast(table(s, d, "orders").agg(F.count("*").alias("items")))),
+    "cond_grid": lambda s, d: all_items(s, d).crossJoin(F.broadcast(cond_grid(s))),  # the cells to score
     "cond_label": q_label,
     "ids_slug": q_slug,
     "cond_fanout": lambda s, d: cond_fanout(pictures(s, d), cond_grid(s)).groupBy("corruption", "severity").agg(F.count("*").alias("n"), F.round(F.sum(_sum()), 3).alias("total")),
@@ -169,8 +172,8 @@ def _weights_sql(steps: int | None) -> str:
 
 
 ORACLE = {
-    "cond_grid": f"with {_GRID} select corruption, suite, severity, (select count(*) from orders) as items from grid",
-    "cond_label": f"with {_GRID} select corruption, severity, case when corruption is null then 'no images (speed)' when corruption = 'clean' then 'clean' else replace(corruption, '_', ' ') || ' (Demo) s' || severity end as label, (select count(*) from orders) as items from (select * from grid union all select null, null, null)",
+    "cond_grid": f"with {_GRID}, {_ALL} select item, corruption, suite, severity from allitems cross join grid",
+    "cond_label": f"with {_ALL}, {_balanced(KINDS)} select item, case when severity > 0 then replace(corruption, '_', ' ') || ' (Demo) s' || severity when item % 10 <> 9 then 'clean' else 'no images (speed)' end as label from balanced",
     "ids_slug": "select p_partkey, regexp_replace(regexp_replace(lower(p_brand), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') || '--' || regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') model_id, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') || '--int8--' || substr(sha256(p_partkey::varchar), 1, 12) build_id from part",
     "cond_fanout": f"with {_GRID}, {_PIC}, {_FAN} select corruption, severity, count(*) n, round(sum(round(list_sum(v), 6)), 3) total from fan group by 1, 2",
     **{f"cond_{k}": f"with {_GRID}, {_PIC}, {_FAN} select item, severity, round(list_sum(v), 6) total, round(v[7], 9) seventh from fan where corruption = '{k}'" for k in _KIND},

@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from plumbline.fixtures import table
 from plumbline.operators.metrics import r9
+from plumbline.operators.ordered import running
 
-UNSTABLE, PAUSE_FLOOR_S, PAUSE_TIMES, MAX_DISCARDED = 10.0, 1.0, 20, 3
+#: Spread of p50 in per cent beyond which a build is unstable; a session is discarded for a run or gap beyond
+#: the larger of so many seconds and so many median runs; and discarded sessions beyond which a build fails.
+SPREAD_PCT, LIMIT_S, MEDIAN_RUNS, DISCARDED = 10.0, 1.0, 20, 3
 
 
 def timings(spark: SparkSession, sf: str) -> DataFrame:
-    """Timed runs: a build for each event type, a session for each fifth of the users."""
-    e = table(spark, sf, "events").select(F.col("event_type").alias("build"), (F.col("user_id") % 5).alias("session"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id", F.abs("value").alias("ms"))
+    """Timed runs: a build for each event type, a session for each user."""
+    e = table(spark, sf, "events").select(F.col("event_type").alias("build"), F.col("user_id").alias("session"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id", F.abs("value").alias("ms"))
     run = F.row_number().over(Window.partitionBy("build", "session").orderBy("us", "event_id"))
     return e.select("build", "session", run.alias("run"), (F.col("us") / 1e6).alias("start"), (F.col("us") / 1e6 + F.col("ms") / 1000).alias("stop"), "ms")
 
@@ -30,7 +33,7 @@ def lat_sessions(t: DataFrame) -> DataFrame:
     each = lat_summarise(t, ["build", "session"])
     own = each.groupBy("build").agg(*[F.median(c).alias(c) for c in ("p50_ms", "p95_ms", "p99_ms")], F.min("p50_ms").alias("fastest"), F.max("p50_ms").alias("slowest"), F.percentile("p50_ms", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
     spread = (F.col("q")[1] - F.col("q")[0]) / F.col("p50_ms") * 100
-    return own.select("build", *[r9(F.col(c)).alias(c) for c in ("p50_ms", "p95_ms", "p99_ms", "fastest", "slowest")], r9(spread).alias("spread_pct"), (spread > UNSTABLE).alias("unstable"))
+    return own.select("build", *[r9(F.col(c)).alias(c) for c in ("p50_ms", "p95_ms", "p99_ms", "fastest", "slowest")], r9(spread).alias("spread_pct"), (spread > SPREAD_PCT).alias("unstable"))
 
 
 def lat_combine(t: DataFrame, least: int = 2) -> DataFrame:
@@ -44,11 +47,11 @@ def lat_interruption(t: DataFrame) -> DataFrame:
     """Per session: longest run and gap against max(1 s, 20 x the median run); interrupted sessions are discarded."""
     w = Window.partitionBy("build", "session").orderBy("run")
     own = t.withColumns({"s": F.col("ms") / 1000, "gap": F.col("start") - F.lag("stop").over(w)})
-    own = own.groupBy("build", "session").agg(F.max("s").alias("run_s"), F.coalesce(F.max("gap"), F.lit(0.0)).alias("gap_s"), F.greatest(F.lit(PAUSE_FLOOR_S), PAUSE_TIMES * F.median("s")).alias("limit_s"))
+    own = own.groupBy("build", "session").agg(F.max("s").alias("run_s"), F.coalesce(F.max("gap"), F.lit(0.0)).alias("gap_s"), F.greatest(F.lit(LIMIT_S), MEDIAN_RUNS * F.median("s")).alias("limit_s"))
     return own.select("build", "session", F.round("run_s", 6).alias("longest_run_s"), F.round("gap_s", 3).alias("longest_gap_s"), F.round("limit_s", 6).alias("limit_s"), ((F.col("run_s") > F.col("limit_s")) | (F.col("gap_s") > F.col("limit_s"))).alias("discarded"))
 
 
-def lat_discard_limit(sessions: DataFrame, most: int = MAX_DISCARDED) -> DataFrame:
+def lat_discard_limit(sessions: DataFrame, most: int = DISCARDED) -> DataFrame:
     return sessions.groupBy("build").agg(F.count_if("discarded").alias("discarded")).withColumn("failed", F.col("discarded") > most)
 
 
@@ -65,9 +68,8 @@ def lat_rates(t: DataFrame) -> DataFrame:
 
 
 def lat_rows_sorted(t: DataFrame) -> DataFrame:
-    own = lat_summarise(t, ["build", "session"])
-    place = F.row_number().over(Window.orderBy("build", F.desc("p50_ms"), "session"))  # a row a session
-    return own.select("build", "session", "p50_ms", place.alias("place"))
+    own = lat_summarise(t, ["build", "session"]).select("build", "session", "p50_ms", F.struct("build", -F.col("p50_ms"), "session").alias("_order"), F.lit(1).alias("_one"))
+    return running(own, [], "_order", {"_one": "_before"}).select("build", "session", "p50_ms", (F.col("_before") + 1).alias("place"))
 
 
 def speed_ratio(t: DataFrame, labelled: str, reference: str) -> DataFrame:
@@ -94,7 +96,7 @@ QUERIES = {
     "cmp_speed_ratio": lambda s, d: speed_ratio(timings(s, d), *two_builds(s, d)),
 }
 _T = """with t as materialized (select build, session, row_number() over (partition by build, session order by us, event_id)::int run, us / 1e6::double as start, us / 1e6::double + ms / 1000 as stop, ms from
- (select event_type build, user_id % 5 session, epoch_us(ts) us, event_id, abs(value) ms from events)),
+ (select event_type build, user_id session, epoch_us(ts) us, event_id, abs(value) ms from events)),
 s as materialized (select build, session, round(avg(ms), 9) mean_ms, round(quantile_cont(ms, 0.5::double), 9) p50_ms, round(quantile_cont(ms, 0.95::double), 9) p95_ms, round(quantile_cont(ms, 0.99::double), 9) p99_ms from t group by 1, 2) """
 _IQR = "(quantile_cont(p50_ms, 0.75::double) - quantile_cont(p50_ms, 0.25::double)) / median(p50_ms) * 100"
 _INT = """i as (select build, session, max(ms / 1000) r, coalesce(max(gap), 0) g, greatest(1.0::double, 20 * median(ms / 1000)) l from (select *, start - lag(stop) over (partition by build, session order by run) gap from t) group by 1, 2)"""

@@ -28,7 +28,7 @@ RECORD = {
     "schema_version": "case when s_suppkey % 7 = 0 then 1 when s_suppkey % 31 = 0 then 3 else 2 end",
     "kind": "case when s_suppkey % 29 = 0 then 'other' when s_suppkey % 5 = 0 then 'accuracy' when s_suppkey % 5 = 1 then 'calibration' when s_suppkey % 5 = 2 then 'latency' when s_suppkey % 5 = 3 then 'conformal' else 'choice' end",
     "source": "case when s_suppkey % 41 = 0 then 'guess' when s_suppkey % 2 = 0 then 'measured' else 'converted' end",
-    "build": "concat('b', cast(s_suppkey % 12 as string))",
+    "build": "concat('b', cast(s_suppkey - s_suppkey % 3 as string))",
     "dataset": "concat('ds', cast(s_suppkey % 4 as string))",
     "split": "case when s_suppkey % 3 = 0 then 'tuning' else 'test' end",
     "corruption": "case when s_suppkey % 6 = 0 then 'clean' else 'fade' end",
@@ -85,9 +85,9 @@ CHECKS = {
 
 
 def builds(spark: SparkSession, sf: str) -> DataFrame:
-    """Twelve builds or fewer: their own check's figures decide their status."""
-    own = table(spark, sf, "supplier").filter("s_suppkey <= 11")
-    return own.selectExpr("concat('b', cast(s_suppkey as string)) as build", "cast(case when s_suppkey % 4 = 3 then null else s_suppkey / 100000.0 end as double) as export_diff", "s_suppkey % 5 <> 2 as checks_ok", "cast(s_acctbal as double) / 10000 as agreement", "md5(cast(s_suppkey as string)) as sha")
+    """A build for each supplier; three records in a row name one. Its own check's figures decide its status."""
+    own = table(spark, sf, "supplier")
+    return own.selectExpr("s_suppkey as n", "concat(case when s_suppkey % 54 = 0 then 'B' else 'b' end, cast(s_suppkey as string)) as build", "cast(case when s_suppkey % 4 = 3 then null else s_suppkey % 12 / 100000.0 end as double) as export_diff", "s_suppkey % 5 <> 2 as checks_ok", "cast(s_acctbal as double) / 10000 as agreement", "md5(cast(s_suppkey as string)) as sha")
 
 
 def build_status() -> Column:
@@ -157,7 +157,7 @@ QUERIES = {
     **{n: (lambda n: lambda s, d: problems(records(s, d), ["id", "name"], CHECKS[n]))(n) for n in CHECKS},
     "dq_kind_counts": lambda s, d: records(s, d).groupBy("kind", "source").agg(F.count("*").alias("n"), F.count_if(F.col("kind").isin("choice", "other")).alias("skipped")),
     "dq_unusable_used": lambda s, d: records(s, d).join(builds(s, d).filter(build_status() != "usable"), "build", "left_semi").select("id", "build"),
-    "dq_label_fk": lambda s, d: missing(records(s, d), builds(s, d).filter("build <> 'b7'"), ["build"]).select("id", "build"),
+    "dq_label_fk": lambda s, d: missing(records(s, d), builds(s, d).filter("n % 21 <> 0"), ["build"]).select("id", "build"),
     "dq_ids_unique": lambda s, d: records(s, d).groupBy("name").agg(F.count("*").alias("n")).filter("n > 1"),
     "dq_one_machine": lambda s, d: records(s, d).groupBy("dataset").agg(F.count_distinct("machine").alias("machines")).withColumn("ok", F.col("machines") == 1),
     "dq_build_record": lambda s, d: problems(builds(s, d), ["build"], {"no sanity figures": "export_diff is null", "a check failed": "not checks_ok", "little agreement": "agreement < 0.2"}),
@@ -174,7 +174,7 @@ QUERIES = {
     "work_grid_todo": lambda s, d: builds(s, d).filter(build_status() == "usable").select("build").crossJoin(F.broadcast(records(s, d).select("dataset").distinct())).join(records(s, d).filter("schema_version = 2 and sha is not null").select("build", "dataset").distinct(), ["build", "dataset"], "left_anti"),
 }
 _REC = "with r as materialized (select " + ", ".join(f"({e})::{_DOUBLE[n]} as {n}" if n in _DOUBLE else f"{e} as {n}" for n, e in RECORD.items()) + " from supplier)"
-_BUILDS = "b as (select *, case when export_diff is null then 'no sanity check' when export_diff < 1e-4::double and checks_ok and agreement >= 0.20::double then 'usable' else 'failed' end status from (select concat('b', s_suppkey::varchar) build, (case when s_suppkey % 4 = 3 then null else s_suppkey / 100000.0 end)::double export_diff, s_suppkey % 5 <> 2 checks_ok, s_acctbal::double / 10000 agreement from supplier where s_suppkey <= 11))"
+_BUILDS = "b as (select *, case when export_diff is null then 'no sanity check' when export_diff < 1e-4::double and checks_ok and agreement >= 0.20::double then 'usable' else 'failed' end status from (select s_suppkey n, concat(case when s_suppkey % 54 = 0 then 'B' else 'b' end, s_suppkey::varchar) build, (case when s_suppkey % 4 = 3 then null else s_suppkey % 12 / 100000.0 end)::double export_diff, s_suppkey % 5 <> 2 checks_ok, s_acctbal::double / 10000 agreement from supplier))"
 
 
 def _problems_sql(rows: str, keys: str, checks: dict[str, str]) -> str:
@@ -186,7 +186,7 @@ ORACLE = {
     **{n: f"{_REC} {_problems_sql('r', 'id, name', c)}" for n, c in CHECKS.items()},
     "dq_kind_counts": f"{_REC} select kind, source, count(*) n, count(*) filter (kind in ('choice', 'other')) skipped from r group by 1, 2",
     "dq_unusable_used": f"{_REC}, {_BUILDS} select id, build from r where build in (select build from b where status <> 'usable')",
-    "dq_label_fk": f"{_REC}, {_BUILDS} select id, build from r where build not in (select build from b where build <> 'b7')",
+    "dq_label_fk": f"{_REC}, {_BUILDS} select id, build from r where build not in (select build from b where n % 21 <> 0)",
     "dq_ids_unique": f"{_REC} select name, count(*) n from r group by 1 having count(*) > 1",
     "dq_one_machine": f"{_REC} select dataset, count(distinct machine) machines, count(distinct machine) = 1 ok from r group by 1",
     "dq_build_record": f"with {_BUILDS} " + _problems_sql("b", "build", {"no sanity figures": "export_diff is null", "a check failed": "not checks_ok", "little agreement": "agreement < 0.2::double"}),

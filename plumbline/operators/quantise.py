@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.fixtures import table
 from plumbline.operators.metrics import r9
+from plumbline.shared import written
 
 LEVELS = 255
 
@@ -37,35 +38,23 @@ def q_range_percentile(df: DataFrame, p: float = 0.9999) -> DataFrame:
 
 
 def q_range_entropy(df: DataFrame, bins: int = 128) -> DataFrame:
-    """The range of |x| that loses least information when its histogram is reduced to `bins` / 4 levels.
+    """The range of |x| that loses least information (Kullback-Leibler) when its histogram is reduced to `bins` / 4 levels.
 
-    Histograms are counted first; a channel's group is at most `bins` rows.
+    A range of `width` bins puts what lies beyond into its last bin; a level spreads its count evenly over the bins of
+    it that are not empty. All widths are tried at once, over histograms of at most `bins` rows a channel.
     """
-    import pandas as pd
-
-    own = long(calibration(df)).withColumn("a", F.abs("x"))
-    top = own.groupBy("channel").agg(F.max("a").alias("top"))
-    hist = own.join(F.broadcast(top), "channel").withColumn("bin", F.least(F.lit(bins - 1), F.floor(F.col("a") / F.nullif("top", F.lit(0.0)) * bins)).cast("int")).groupBy("channel", "top", "bin").agg(F.count("*").alias("n"))
-
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        counts = np.zeros(bins)
-        counts[pdf["bin"].fillna(0).astype(int)] = pdf["n"]
-        levels, found = bins // 4, (np.inf, bins)
-        for width in range(levels, bins + 1):
-            p = counts[:width].copy()
-            p[-1] += counts[width:].sum()
-            group = np.arange(width) * levels // width
-            held = np.bincount(group, p, levels)
-            used = np.bincount(group, p > 0, levels)
-            q = np.where(p > 0, (held / np.maximum(used, 1))[group], 0)
-            ok = p > 0
-            kl = float((p[ok] / p.sum() * np.log(p[ok] * q.sum() / (q[ok] * p.sum()))).sum())
-            found = min(found, (kl, width))
-        return pd.DataFrame({"channel": [pdf["channel"].iloc[0]], "limit": [round(float(pdf["top"].iloc[0]) * found[1] / bins, 9)]})
-
-    return hist.groupBy("channel").applyInPandas(best, "channel int, limit double")
+    spark, levels = df.sparkSession, bins // 4
+    own = long(calibration(df)).select("channel", F.abs("x").alias("a"))
+    top = written(spark, own.groupBy("channel").agg(F.max("a").alias("top")), "tops")
+    place = F.coalesce(F.least(F.lit(bins - 1), F.floor(F.col("a") / F.nullif("top", F.lit(0.0)) * bins)), F.lit(0)).cast("int")
+    hist = own.join(top, "channel").groupBy("channel", "top", place.alias("bin")).agg(F.count("*").alias("n"))
+    tried = hist.withColumn("width", F.explode(F.sequence(F.lit(levels), F.lit(bins)))).withColumn("bin", F.least("bin", F.col("width") - 1))
+    p = tried.groupBy("channel", "top", "width", "bin").agg(F.sum("n").cast("double").alias("p"))
+    level = F.floor(F.col("bin") * levels / F.col("width"))
+    held = p.groupBy("channel", "top", "width", level.alias("level")).agg(F.sum("p").alias("p"), F.count("*").alias("used"), F.sum(F.col("p") * F.log("p")).alias("plogp"))
+    loss = held.groupBy("channel", "top", "width").agg(r9(F.sum(F.col("plogp") - F.col("p") * F.log(F.col("p") / F.col("used"))) / F.sum("p")).alias("kl"))
+    best = loss.groupBy("channel", "top").agg(F.min(F.struct("kl", "width")).alias("b"))
+    return best.select("channel", r9(F.col("top") * F.col("b.width") / bins).alias("limit"))
 
 
 def with_scale(df: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -73,7 +62,7 @@ def with_scale(df: DataFrame, ranges: DataFrame) -> DataFrame:
     lo, hi = F.least(F.col("lo"), F.lit(0.0)), F.greatest(F.col("hi"), F.lit(0.0))
     scale = F.when(hi > lo, (hi - lo) / LEVELS).otherwise(1.0)
     own = ranges.select("channel", scale.alias("scale"), F.rint(-lo / scale).alias("zero"))
-    return long(df).join(F.broadcast(own), "channel")  # a row a channel
+    return long(df).join(written(df.sparkSession, own, "ranges"), "channel")  # a row a channel
 
 
 def level(x: Column) -> Column:
@@ -154,6 +143,12 @@ _E = f"{_TN}, e as (select a.tensor, round(avg(a.db - c.db), 6) e from t a join
 ORACLE = {
     "q_range_minmax": f"{_L} select * from r",
     "q_range_percentile": f"{_L} select channel, round(greatest(min(x), -quantile_cont(abs(x), 0.9999::double)), 9) lo, round(least(max(x), quantile_cont(abs(x), 0.9999::double)), 9) hi from l where item % 4 = 0 group by 1",
+    "q_range_entropy": f"""{_L}, a as (select channel, abs(x) a, max(abs(x)) over (partition by channel) top from l where item % 4 = 0),
+h as (select channel, top, coalesce(least(127, floor(a / nullif(top, 0) * 128)), 0)::int bin, count(*) n from a group by all),
+p as (select channel, top, width, least(bin, width - 1) bin, sum(n)::double p from h cross join range(32, 129) w(width) group by all),
+g as (select channel, top, width, bin * 32 // width as level, sum(p) p, count(*) used, sum(p * ln(p)) plogp from p group by all),
+k as (select channel, top, width, round(sum(plogp - p * ln(p / used)) / sum(p), 9) kl from g group by all)
+select channel, round(top * width / 128.0::double, 9) as "limit" from (select *, row_number() over (partition by channel order by kl, width) rn from k) where rn = 1""",
     "q_fake_quantize": f"{_QS} select item, channel, round(y, 9) y from q",
     "q_levels": f"{_QS} select item, channel, lv::int as level from q",
     "q_distinct_levels": f"{_QS} select item, count(distinct lv) distinct_levels from q group by 1",

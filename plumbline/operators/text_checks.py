@@ -76,7 +76,7 @@ def positions(df: DataFrame) -> DataFrame:
 
 
 def q_positions(spark: SparkSession, sf: str) -> DataFrame:
-    return positions(table(spark, sf, "documents")).filter("position % 97 = 0").select("position", "doc_id", "source")
+    return positions(table(spark, sf, "documents")).select("position", "doc_id", "source")
 
 
 def src_count_rows(df: DataFrame) -> DataFrame:
@@ -93,7 +93,7 @@ QUERIES = {
     "fp_content": pages_sha,
     "fp_verify": q_verify,
     "src_parquet_positions": q_positions,
-    "src_count_rows": lambda s, d: src_count_rows(table(s, d, "region")),
+    "src_count_rows": lambda s, d: src_count_rows(table(s, d, "lineitem")),
 }
 _SQ = "trim(regexp_replace({}, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'))"
 ORACLE = {
@@ -104,6 +104,6 @@ ORACLE = {
     "dq_claims": "select source, count(*) filter (quality is null) without_claim, count(*) n from documents left join labels using (doc_id) group by 1",
     "fp_content": "select page_id, sha256(replace(html, chr(13) || chr(10), chr(10))) sha from pages",
     "fp_verify": "select page_id, case when page_id % 50 = 7 then 'not listed' else 'differs' end problem from pages where page_id % 50 = 7 or page_id % 20 = 3",
-    "src_parquet_positions": "select * from (select row_number() over () - 1 as position, doc_id, source from documents) where position % 97 = 0",
-    "src_count_rows": "select 'region.parquet' file, count(*) n from region",
+    "src_parquet_positions": "select row_number() over () - 1 as position, doc_id, source from documents",
+    "src_count_rows": "select 'lineitem.parquet' file, count(*) n from lineitem",
 }

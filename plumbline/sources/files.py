@@ -16,9 +16,9 @@ from plumbline.shared import shared_path
 
 
 def src_folder_labels(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each file below one folder a class: label (the folder's number), path, bytes."""
+    """A row for each file below one folder a class (3 or label=3): label, null where the name is no number; path, bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
-    return files.select(F.regexp_extract("path", r"/([0-9]+)/[^/]+$", 1).cast("int").alias("label"), "path", F.col("length").alias("bytes"))
+    return files.select(F.regexp_extract("path", r"/(?:label=)?([^/]*)/[^/]+$", 1).try_cast("int").alias("label"), "path", F.col("length").alias("bytes"))
 
 
 def src_records(spark: SparkSession, path: str, schema, kinds: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -56,8 +56,7 @@ def cache_keyed(spark: SparkSession, base: str, made_from: dict, build: Callable
 def q_folder(spark: SparkSession, sf: str) -> DataFrame:
     path = shared_path(spark, "folders")
     rows = table(spark, sf, "embeddings").select("label", F.col("vec_id").cast("string").alias("value"))
-    for c in range(10):  # one folder a class
-        rows.filter(F.col("label") == c).select("value").coalesce(1).write.text(f"{path}/{c}")
+    rows.repartition("label", F.pmod(F.xxhash64("value"), F.lit(4))).write.partitionBy("label").text(path)  # several tasks a class
     return src_folder_labels(spark, path).groupBy("label").agg(F.sum("bytes").alias("bytes"))
 
 
