@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.shared import written  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -17,25 +17,6 @@ def clean_text(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Where it is unset (tests on one machine) a folder below the warehouse is set.
-    """
-    have = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not have:
-        have = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-        spark.sparkContext.setCheckpointDir(have)
-    return have.rstrip("/")
-
-
-def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder and read again: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def byte_chunks(sizes, limit: int):
     """Slices of consecutive rows with at most `limit` bytes each (one row at least)."""
     start, total, sizes = 0, 0, list(sizes)

@@ -2,7 +2,8 @@
 
 Only the sums that training and decoding need: scores are s[t] for label 1 against 0, and four transition weights.
 Forward and backward values are kept as ratios of label 1 to label 0, so one number a position is enough.
-Sequences are rows of one flat array, cut by `starts`; all sequences advance one position at a time together.
+Sequences lie end to end in one flat array. Long ones are walked in chunks, all chunks at once; what a chunk does to the
+messages that pass through it is a 2 x 2 matrix, so messages are carried over exactly and no sequence is cut.
 """
 
 from __future__ import annotations
@@ -10,19 +11,30 @@ from __future__ import annotations
 import numpy as np
 
 LIMIT = 30.0
+#: Positions of a chunk.
+CHUNK = 256
 
 
 class Steps:
-    """The positions of sequences, ordered so that step t holds every sequence longer than t."""
-
-    def __init__(self, lengths: np.ndarray):
-        lengths = np.asarray(lengths, np.int64)
+    """The positions of sequences in chunks, ordered so that step t holds every chunk longer than t."""
+
+    def __init__(self, lengths: np.ndarray, chunk: int = CHUNK):
+        whole = np.asarray(lengths, np.int64)
+        whole = whole[whole > 0]
+        times = -(-whole // chunk)
+        owner = np.repeat(np.arange(len(whole)), times)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(times) - times, times)
+        lengths = np.minimum(chunk, whole[owner] - place * chunk)
         self.n = int(lengths.sum())
         starts = np.cumsum(lengths) - lengths
         order = np.argsort(-lengths, kind="stable")
         self.starts, self.ends = starts[order], (starts + lengths)[order]
+        self.head, self.tail = (place == 0)[order], (place == times[owner] - 1)[order]
         most = int(lengths.max()) if len(lengths) else 0
-        self.live = np.searchsorted(-lengths[order], -np.arange(most), "left").tolist()  # sequences longer than t
+        self.live = np.searchsorted(-lengths[order], -np.arange(most), "left").tolist()  # chunks longer than t
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.long = [rank[at : at + n] for at, n in zip((np.cumsum(times) - times)[times > 1].tolist(), times[times > 1].tolist(), strict=True)]
 
     def forward(self):
         for t, m in enumerate(self.live):
@@ -33,19 +45,65 @@ class Steps:
             yield self.ends[:m] - 1 - t
 
 
+def _through(e: np.ndarray, w: np.ndarray, positions, n: int, forward: bool) -> np.ndarray:
+    """(2, 2, chunks): what each chunk makes of the message at its first (backward: last) position, up to a factor."""
+    out, before = np.zeros((2, 2, n)), None
+    out[0, 0] = out[1, 1] = 1
+    for at in positions:
+        m = len(at)
+        if before is None:
+            if forward:
+                out[1] *= e[at]
+        else:
+            a = out[..., :m].copy()
+            if forward:
+                out[..., :m] = np.stack([w[0, 0] * a[0] + w[1, 0] * a[1], (w[0, 1] * a[0] + w[1, 1] * a[1]) * e[at]])
+            else:
+                x = a[1] * e[before[:m]]
+                out[..., :m] = np.stack([w[0, 0] * a[0] + w[0, 1] * x, w[1, 0] * a[0] + w[1, 1] * x])
+            out[..., :m] /= out[..., :m].max(axis=(0, 1))
+        before = at
+    return out
+
+
+def _carried(e: np.ndarray, w: np.ndarray, steps: Steps) -> tuple[np.ndarray, np.ndarray]:
+    """For each chunk the forward ratio just before it, and the backward ratio just after it (at the next chunk's start)."""
+    before, after = np.ones(len(steps.starts)), np.ones(len(steps.starts))
+    if steps.long:
+        f = _through(e, w, steps.forward(), len(steps.starts), True)
+        b = _through(e, w, steps.backward(), len(steps.starts), False)
+        for chunks in steps.long:
+            v = np.ones(2)
+            for c, following in zip(chunks[:-1].tolist(), chunks[1:].tolist(), strict=True):
+                v = f[..., c] @ v
+                before[following] = v[1] / v[0]
+                v = w.T @ (v / v.max())
+            u = np.ones(2)
+            for c, earlier in zip(chunks[:0:-1].tolist(), chunks[-2::-1].tolist(), strict=True):
+                u = b[..., c] @ u
+                after[earlier] = u[1] / u[0]
+                u = w @ (u / u.max() * np.array([1.0, e[steps.starts[c]]]))
+    return before, after
+
+
 def ratios(s: np.ndarray, trans: np.ndarray, steps: Steps) -> tuple[np.ndarray, np.ndarray]:
     """Forward and backward ratios at every position; trans[i, j] is the weight of label i then j."""
     e = np.exp(np.clip(s, -LIMIT, LIMIT))
     w = np.exp(np.clip(trans, -LIMIT, LIMIT))
+    before, after = _carried(e, w, steps)
     f, b = np.empty(steps.n), np.empty(steps.n)
     r = None
     for at in steps.forward():
-        r = e[at] if r is None else e[at] * (w[0, 1] + r[: len(at)] * w[1, 1]) / (w[0, 0] + r[: len(at)] * w[1, 0])
+        if r is None:
+            r = e[at] * np.where(steps.head, 1, (w[0, 1] + before * w[1, 1]) / (w[0, 0] + before * w[1, 0]))
+        else:
+            r = e[at] * (w[0, 1] + r[: len(at)] * w[1, 1]) / (w[0, 0] + r[: len(at)] * w[1, 0])
         f[at] = r
     r = None
     for at in steps.backward():
         if r is None:
-            r = np.ones(len(at))
+            x = e[np.minimum(at + 1, steps.n - 1)] * after
+            r = np.where(steps.tail, 1, (w[1, 0] + w[1, 1] * x) / (w[0, 0] + w[0, 1] * x))
         else:
             x = e[at + 1] * r[: len(at)]
             r = (w[1, 0] + w[1, 1] * x) / (w[0, 0] + w[0, 1] * x)

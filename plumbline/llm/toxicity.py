@@ -1,6 +1,7 @@
 """Toxicity by a linear-chain conditional random field (operator 8).
 
-Train.  A bounded sample of labelled documents (`SAMPLE` of each label, chosen by a hash of the id) is read. A feature
+Train.  A bounded sample of labelled documents is read: ids and lengths first, in the order of a hash of the id; a document
+that does not fit (`DOC_CHARS`, `SAMPLE_CHARS`) is skipped and the next ones are taken, up to `SAMPLE` of each label. A feature
 is a word, or its first 3 to 6 or last 3 to 5 letters; features that documents labelled toxic hold far more often than
 others mark the labelled tokens inside toxic documents. The field learns token labels from these features and from
 the neighbour's label, sentence by sentence.
@@ -12,8 +13,10 @@ its marginals and their share of its tokens, fitted on the sample's documents wi
 Only texts go into a score. Weights are of bounded size (features of the sample) and broadcast.
 
 Cases: null and empty texts have no tokens, the score of no evidence, and no spans; texts of any length are scored
-whole; a null id stays null; equal texts have equal scores; without labelled rows of both kinds every score is 0;
-an empty table gives an empty table; other columns pass through, results replace columns of the same name.
+whole, and sentences of any length are one chain; offsets are those of the text as it is, also where lower-casing would
+change its length; a null id stays null; equal texts have equal scores; an id that occurs more than once is learnt from
+once (its shortest text, label 1 where its labels differ); without labelled rows of both kinds every score is 0; an
+empty table gives an empty table; other columns pass through, results replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -27,24 +30,25 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm import crf
-from plumbline.llm.common import byte_chunks, clean_text, table
+from plumbline.llm.common import byte_chunks, clean_text, table, written
 
 #: Labelled documents of each label that the field is fitted on, at most.
 SAMPLE = {1: 1500, 0: 3000}
-#: Characters of the sample of each label, at most; documents beyond it are left out whole, in order of the hash.
+#: Characters of the sample of each label, at most; documents that do not fit are skipped.
 SAMPLE_CHARS = {1: 8_000_000, 0: 16_000_000}
 #: Characters of a document of the sample, at most; longer ones are only scored.
 DOC_CHARS = 200_000
 #: Words kept with their scores in each Python worker.
 CACHE_WORDS = 400_000
+#: Rows whose ids and lengths are looked at for each one wanted.
+LOOKED_AT = 4
 CHUNK_BYTES = 1_000_000
-#: Positions of a sequence: longer sentences go on in the next one.
-LONGEST = 256
 
 TOKEN = re.compile(r"\w+|[.!?\n]")
 ENDS = {".", "!", "?", "\n"}
@@ -97,7 +101,7 @@ class Model:
 
 
 def sequences(tokens: list[str]) -> list[int]:
-    """Lengths of the token runs between sentence ends (which are in no run), none above LONGEST."""
+    """Lengths of the token runs between sentence ends (which are in no run)."""
     out, n = [], 0
     for t in tokens:
         if t in ENDS:
@@ -106,9 +110,6 @@ def sequences(tokens: list[str]) -> list[int]:
             n = 0
         else:
             n += 1
-            if n == LONGEST:
-                out.append(n)
-                n = 0
     return [*out, n] if n else out
 
 
@@ -135,8 +136,8 @@ def fit(texts: list[str], labels: list[int], odds_of_one: float | None = None) -
     words: dict[str, int] = {}
     items, lengths = [], []
     for t in texts:
-        tokens = TOKEN.findall(t.lower())
-        items.append(np.array([words.setdefault(w, len(words)) for w in tokens if w not in ENDS], np.int32))
+        tokens = TOKEN.findall(t)
+        items.append(np.array([words.setdefault(w.lower(), len(words)) for w in tokens if w not in ENDS], np.int32))
         lengths.append(sequences(tokens))
     raw, sizes = array("I"), array("I")
     for w in words:
@@ -187,26 +188,32 @@ def fit(texts: list[str], labels: list[int], odds_of_one: float | None = None) -
 
 def train(docs: DataFrame, labels: DataFrame, rows: str = "true", id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """The model of a bounded sample of the labelled documents; rows: SQL over the label table, those to learn from."""
-    chosen = labels.filter(rows).select(F.col(id).alias("_id"), F.col(label).cast("int").alias("_label")).filter("_id is not null and _label in (0, 1)")
-    chosen = chosen.withColumn("_order", F.xxhash64(F.lit(11), "_id"))
-    parts = [chosen.filter(F.col("_label") == k).orderBy("_order", "_id").limit(n) for k, n in SAMPLE.items()]
-    sample = parts[0].union(parts[1])
+    known = labels.filter(rows).select(F.col(id).alias("_id"), F.col(label).cast("int").alias("_label")).filter("_id is not null and _label in (0, 1)")
+    known = known.groupBy("_id").agg(F.max("_label").alias("_label"))
+    counts = {r._label: r["count"] for r in known.groupBy("_label").count().collect()}
+    if len(counts) < 2:
+        return Model()
     own = docs.select(F.col(id).alias("_id"), clean_text(text).alias("_text"))
-    found = own.join(F.broadcast(sample), "_id")  # at most the sum of SAMPLE rows
-    fits = found.filter(F.length("_text") <= DOC_CHARS).withColumn("_sum", F.sum(F.length("_text")).over(_by_order()))
-    most = F.when(F.col("_label") == 1, SAMPLE_CHARS[1]).otherwise(SAMPLE_CHARS[0])
-    rows_ = fits.filter(F.col("_sum") <= most).orderBy("_order", "_id", "_text").select("_text", "_label").collect()
-    if len({r._label for r in rows_}) < 2 and found.select("_label").distinct().count() == 2:
+    length = F.length("_text")
+    each = own.join(known, "_id").groupBy("_id", "_label").agg(F.min(F.struct(length.alias("n"), F.xxhash64("_text").alias("h"))).alias("t"))
+    each = written(docs.sparkSession, each.select("_id", "_label", F.col("t.n").alias("n"), F.col("t.h").alias("h"), F.xxhash64(F.lit(11), "_id").alias("o")), "labelled")
+    picked = [p for k, n in SAMPLE.items() for p in _fitting(each.filter((F.col("_label") == k) & (F.col("n") <= DOC_CHARS)), n, SAMPLE_CHARS[k])]
+    if len({p[1] for p in picked}) < 2 <= each.select("_label").distinct().count():
         raise ValueError(f"no labelled document of one kind has {DOC_CHARS} characters or fewer: nothing to learn from")
-    counts = {r._label: r["count"] for r in chosen.groupBy("_label").count().collect()}
-    odds = counts[1] / counts[0] if len(counts) == 2 else None
-    return fit([r._text for r in rows_], [r._label for r in rows_], odds)
-
+    wanted = docs.sparkSession.createDataFrame(picked, T.StructType([each.schema["_id"], *(T.StructField(n, t) for n, t in (("_label", T.IntegerType()), ("_h", T.LongType()), ("_place", T.IntegerType())))]))
+    found = own.join(F.broadcast(wanted), (own["_id"] == wanted["_id"]) & (F.xxhash64("_text") == F.col("_h")))  # SAMPLE rows at most
+    found = found.groupBy("_place", "_label").agg(F.first("_text").alias("_text")).orderBy("_place").collect()
+    return fit([r._text for r in found], [r._label for r in found], counts[1] / counts[0])
 
-def _by_order():
-    from pyspark.sql import Window
 
-    return Window.partitionBy("_label").orderBy("_order", "_id", "_text").rowsBetween(Window.unboundedPreceding, 0)
+def _fitting(rows: DataFrame, most: int, chars: int) -> list[tuple]:
+    """(id, label, text hash, place) of the first rows, in order of the hash, that fit: `most` rows, `chars` characters."""
+    out, total = [], 0
+    for r in rows.orderBy("o", "_id").limit(LOOKED_AT * most).collect():
+        if len(out) < most and total + r.n <= chars:
+            total += r.n
+            out.append((r._id, r._label, r.h, len(out) + most * 10 * r._label))
+    return out
 
 
 def tag(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -224,7 +231,7 @@ def tag(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in it:
             texts = batch.column(at).to_pylist()
             scores, spans = [], []
-            for part in byte_chunks(map(len, texts), CHUNK_BYTES):
+            for part in byte_chunks(pc.binary_length(batch.column(at)).to_pylist(), CHUNK_BYTES):
                 a, b = tagger(texts[part])
                 scores += a
                 spans += b
@@ -245,14 +252,14 @@ class Tagger:
         if len(known) > CACHE_WORDS:
             known.clear()
             known.update(dict.fromkeys(ENDS, math.nan))
-        docs = [TOKEN.findall(t.lower()) for t in texts]
+        docs = [TOKEN.findall(t) for t in texts]
         for w in {w for x in docs for w in x if w not in known}:
-            known[w] = model.word(w)
+            known[w] = model.word(w.lower())
         sizes = [len(x) for x in docs]
         s = np.fromiter((known[w] for x in docs for w in x), float, sum(sizes))
         owner = np.repeat(np.arange(len(docs)), sizes)
         word = ~np.isnan(s)
-        # runs of words of one document between sentence ends, cut at LONGEST
+        # runs of words of one document between sentence ends
         cut = np.zeros(len(s), bool)
         cut[1:] = ~word[:-1] | (owner[1:] != owner[:-1])
         cut[:1] = True
@@ -260,10 +267,7 @@ class Tagger:
         ends = np.append(np.flatnonzero(cut), len(s))
         stop = ends[np.searchsorted(ends, start, "right")]
         stop = stop - ~word[stop - 1]
-        lengths = stop - start
-        if len(lengths) and lengths.max() > LONGEST:
-            lengths = np.concatenate([np.append(np.full((n - 1) // LONGEST, LONGEST), (n - 1) % LONGEST + 1) for n in lengths.tolist()])
-        p = crf.marginals(s[word], model.trans, crf.Steps(lengths)) if model.fitted else np.zeros(word.sum())
+        p = crf.marginals(s[word], model.trans, crf.Steps(stop - start)) if model.fitted else np.zeros(word.sum())
         counts = np.bincount(owner[word], minlength=len(docs)).tolist() if len(docs) else []
         scores = model.score(model.evidence(p, counts)).tolist()
         spans, at = [], 0
@@ -276,9 +280,7 @@ class Tagger:
     @staticmethod
     def _spans(text: str, p: np.ndarray) -> list[tuple[int, int, float]]:
         out, near, i = [], False, 0
-        lower = text.lower()
-        same = len(lower) == len(text)  # a few letters grow when lowered; offsets then are those of the lowered text
-        for m in TOKEN.finditer(lower if not same else text.lower()):
+        for m in TOKEN.finditer(text):
             if m[0] in ENDS:
                 near = False
                 continue
