@@ -1,17 +1,23 @@
 """Mixing sources to target weights by Poisson replication (operator 9).
 
 A source with n of N documents and target weight w gets the mean repetition rate r = N * w / (n * sum of weights), so
-that the mixture has about N documents in the wanted shares. Each document is repeated as often as the inverse
-Poisson distribution of its source says at a uniform number hashed from (seed, id); every copy is a row, dealt out
-and ordered by a hash of (seed, id, copy): a global shuffle without a sampling pass.
+that the mixture has about N documents in the wanted shares. A rate is dealt into parts of a mean of `MEAN` at most: a
+sum of independent Poisson numbers is Poisson, so a document is repeated as often as the inverse Poisson distribution of
+the part's mean says at uniform numbers hashed from (seed, id, part), added up. Distribution functions thus have a
+bounded length however rare a source is. Every copy is a row, dealt out and ordered by a hash of (seed, id, copy): a
+global shuffle without a sampling pass.
+
+Documents of rare sources with more parts than `BLOCK` are dealt out in blocks of parts before they are repeated, so
+that no task makes all the copies of one.
 
 Rates are counted over all documents. Their table has a row for each source; it is written, so that Spark knows its
 size and broadcasts it only below its own limit (else it is joined by a shuffle that can split a hot source).
 
-Cases: a null source is a source of its own; a null id hashes as the empty string; repeated rows are drawn alike; an
-empty table gives an empty table; sources without a weight, or with weight 0, give no rows; a weight for a source
-that does not occur has no effect on the others' shares; other columns pass through and `copy` and `shuffle_key`
-replace columns of the same name.
+Cases: a null source is a source of its own; a null id hashes as the empty string; repeated rows are drawn alike; null
+and empty texts are documents like others, and long ones too; an empty table gives an empty table; sources without a
+weight, or with weight 0, give no rows; a weight for a source that does not occur has no effect on the others' shares;
+other columns pass through and `copy` (unique for an id, from 1, with gaps between parts) and `shuffle_key` replace
+columns of the same name.
 """
 
 from __future__ import annotations
@@ -22,6 +28,10 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import table, written
 
 SEED = 7
+#: Mean of a part, at most; copies of a part stay below COPIES.
+MEAN, COPIES = 32, 256
+#: Parts that one row is repeated for in one task.
+BLOCK = 1000
 
 
 def uniform(*parts: str, seed: int) -> str:
@@ -31,34 +41,39 @@ def uniform(*parts: str, seed: int) -> str:
 
 
 def rates(df: DataFrame, weights: dict[str | None, float] | None = None, source: str = "source") -> DataFrame:
-    """_source, rate and the Poisson distribution function at 0, 1, 2, ... as an array; weights: None for equal ones."""
+    """_source, rate, parts and the Poisson distribution function of a part at 0, 1, 2, ... as an array (MEAN + 12 deviations
+    and 20, at most); weights: None for equal ones."""
     spark = df.sparkSession
-    counts = df.groupBy(F.col(source).alias("_source")).agg(F.count("*").cast("double").alias("n"))
+    counts = written(spark, df.groupBy(F.col(f"`{source}`").alias("_source")).agg(F.count("*").cast("double").alias("n")), "sources")
     if weights is None:
-        counts = counts.withColumn("w", F.lit(1.0))
+        weighted = counts.withColumn("w", F.lit(1.0))
     else:
         wanted = spark.createDataFrame(list(weights.items()), "_name string, w double")
-        counts = counts.join(wanted, counts._source.cast("string").eqNullSafe(wanted._name)).filter("w > 0").drop("_name")
-    all_n, all_w = df.count(), counts.agg(F.sum("w")).first()[0] or 1.0  # two numbers
-    rate = counts.select("_source", (F.lit(float(all_n)) * F.col("w") / (F.col("n") * F.lit(float(all_w)))).alias("rate"))
-    steps = rate.withColumn("k", F.explode(F.expr("sequence(0, cast(ceil(rate + 12 * sqrt(rate) + 20) as int))")))
+        weighted = counts.join(wanted, counts._source.cast("string").eqNullSafe(wanted._name)).filter("w > 0").drop("_name")
+    all_n, all_w = counts.agg(F.sum("n")).first()[0] or 0.0, weighted.agg(F.sum("w")).first()[0] or 1.0  # two numbers
+    rate = weighted.select("_source", (F.lit(float(all_n)) * F.col("w") / (F.col("n") * F.lit(float(all_w)))).alias("rate"))
+    rate = rate.selectExpr("_source", "rate", f"cast(ceil(rate / {MEAN}) as bigint) as parts").withColumn("mean", F.col("rate") / F.col("parts"))
+    steps = rate.withColumn("k", F.explode(F.expr("sequence(0, cast(ceil(mean + 12 * sqrt(mean) + 20) as int))")))
     upto = "over (partition by _source order by k)"
-    steps = steps.selectExpr("_source", "rate", "k", f"sum(if(k = 0, 0D, ln(cast(k as double)))) {upto} as ln_factorial")
-    steps = steps.selectExpr("_source", "rate", "k", f"sum(exp(k * ln(rate) - rate - ln_factorial)) {upto} as upto")
-    return steps.groupBy("_source", "rate").agg(F.expr("transform(array_sort(collect_list(struct(k, upto))), x -> x.upto)").alias("upto"))
+    steps = steps.selectExpr("_source", "rate", "parts", "mean", "k", f"sum(if(k = 0, 0D, ln(cast(k as double)))) {upto} as ln_factorial")
+    steps = steps.selectExpr("_source", "rate", "parts", "k", f"sum(exp(k * ln(mean) - mean - ln_factorial)) {upto} as upto")
+    return steps.groupBy("_source", "rate", "parts").agg(F.expr("transform(array_sort(collect_list(struct(k, upto))), x -> x.upto)").alias("upto"))
 
 
 def mix(df: DataFrame, weights: dict[str | None, float] | None = None, id: str = "doc_id", source: str = "source", seed: int = SEED) -> DataFrame:
-    """The mixture: df's columns, `copy` (from 1) and `shuffle_key`, in the shuffled order."""
-    rate = written(df.sparkSession, rates(df.select(source), weights, source), "rates").select("_source", "upto")
+    """The mixture: df's columns, `copy` and `shuffle_key`, in the shuffled order."""
+    rate = written(df.sparkSession, rates(df.select(F.col(f"`{source}`")), weights, source), "rates").select("_source", "parts", "upto")
     rest = [c for c in df.columns if c not in ("copy", "shuffle_key")]
-    drawn = df.select(*[F.col(f"`{c}`") for c in rest], F.expr(uniform(f"`{id}`", seed=seed)).alias("_u"))
-    drawn = drawn.join(rate, F.col(f"`{source}`").eqNullSafe(F.col("_source")))
-    copies = drawn.withColumn("copy", F.expr("size(filter(upto, x -> x <= _u))"))
-    copies = copies.filter("copy > 0").drop("upto", "_u", "_source").withColumn("copy", F.explode(F.expr("sequence(1, copy)")))
+    own = df.select(*[F.col(f"`{c}`") for c in rest])
+    blocks = lambda r: own.join(r, F.col(f"`{source}`").eqNullSafe(F.col("_source"))).withColumn("_block", F.explode(F.expr(f"sequence(0L, (parts - 1) div {BLOCK})")))
+    dealt = blocks(rate.filter(f"parts <= {BLOCK}"))
+    if rate.filter(f"parts > {BLOCK}").count():  # few documents, each with very many copies
+        dealt = dealt.unionByName(blocks(rate.filter(f"parts > {BLOCK}")).repartition(F.xxhash64(f"`{id}`", "_block")))
+    parts = dealt.withColumn("_part", F.explode(F.expr(f"sequence(_block * {BLOCK}, least(parts, (_block + 1) * {BLOCK}) - 1)")))
+    parts = parts.withColumn("_u", F.expr(uniform(f"`{id}`", "_part", seed=seed))).withColumn("_n", F.expr("size(filter(upto, x -> x <= _u))"))
+    copies = parts.filter("_n > 0").withColumn("copy", F.explode(F.expr(f"sequence(_part * {COPIES} + 1, _part * {COPIES} + _n)")))
     copies = copies.withColumn("shuffle_key", F.expr(f"md5(concat_ws('|', '{seed}', coalesce(cast(`{id}` as string), ''), cast(copy as string)))"))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return copies.repartition(parts, "shuffle_key").sortWithinPartitions("shuffle_key")
+    return copies.select(*[F.col(f"`{c}`") for c in rest], "copy", "shuffle_key").repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,12 +86,14 @@ ORACLE = {
     "op9_mixing": f"""
 with n as (select source, count(*)::double n from documents group by 1),
 r as (select source, (select sum(n) from n) / (n * (select count(*) from n)) rate from n),
-k as (select source, rate, unnest(range(0, cast(ceil(rate + 12 * sqrt(rate) + 20) as int) + 1)) k from r),
+p as (select source, ceil(rate / {MEAN})::bigint parts, rate / ceil(rate / {MEAN}) mean from r),
+k as (select source, parts, mean, unnest(range(0, cast(ceil(mean + 12 * sqrt(mean) + 20) as int) + 1)) k from p),
 f as (select *, sum(case when k = 0 then 0 else ln(k::double) end) over (partition by source order by k) lf from k),
-c as (select source, k, sum(exp(k * ln(rate) - rate - lf)) over (partition by source order by k) upto from f),
-u as (select doc_id, source, text, cast('0x' || substr(md5('{SEED}|' || coalesce(cast(doc_id as varchar), '')), 1, 13) as bigint) / 4503599627370496.0::double u from documents),
-d as (select u.doc_id, u.source, u.text, count(*) filter (c.upto <= u.u) copies from u join c on u.source is not distinct from c.source group by all),
-e as (select doc_id, source, text, unnest(range(1, copies + 1)) as copy from d)
+c as (select source, k, sum(exp(k * ln(mean) - mean - lf)) over (partition by source order by k) upto from f),
+j as (select d.doc_id, d.source, d.text, unnest(range(0, parts)) part from documents d join p on d.source is not distinct from p.source),
+u as (select *, cast('0x' || substr(md5('{SEED}|' || coalesce(cast(doc_id as varchar), '') || '|' || part), 1, 13) as bigint) / 4503599627370496.0::double u from j),
+d as (select u.doc_id, u.source, u.text, part, count(*) filter (c.upto <= u.u) copies from u join c on u.source is not distinct from c.source group by all),
+e as (select doc_id, source, text, unnest(range(part * {COPIES} + 1, part * {COPIES} + copies + 1)) as copy from d)
 select doc_id, source, copy, md5('{SEED}|' || coalesce(cast(doc_id as varchar), '') || '|' || copy) as shuffle_key, md5(coalesce(text, '')) as text_md5 from e
 """
 }
