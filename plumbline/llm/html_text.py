@@ -14,8 +14,9 @@ In a block, character references are decoded and white space is folded into one
 by two line feeds. Nothing else is dropped or capped.
 
 Cases: null and empty pages have empty text; pages without article blocks have empty text; text without any markup is
-one block; very long pages are one row; repeated rows give repeated rows; an empty table gives an empty table; other
-columns pass through, and results replace columns of the same name.
+one block; very long pages are one row, whose time is linear in their length however their tags are nested or their
+quotes left open; repeated rows give repeated rows; an empty table gives an empty table; other columns pass through, and
+results replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,103 +53,180 @@ CLOSES = {
 SCOPE = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tbody": {"table"}, "tfoot": {"table"}}
 STOP = {"article", "aside", "body", "div", "footer", "form", "header", "html", "main", "nav", "section", "table", "td", "th", "ul", "ol", "dl", "blockquote", "fieldset", "details", "figure"}
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+TAG_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+SPECIAL = re.compile("""[>"']""")
+LONG_NUMBER = re.compile(r"&#0*[1-9][0-9]{7,};?")
 NAMES = re.compile(r"""\b(?:class|id|role|aria-label|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 WORD = re.compile(r"[a-z]{2,}")
 HIDES = re.compile(r"""\shidden(?=[\s=]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 ENDS = tuple('.!?:;"”»…)')
 
 
-class Block:
-    __slots__ = ("stack", "parts", "linked", "links", "text", "bold")
+class Node:
+    """A block element, below its nearest block ancestor. Features that the ancestors have are not stored again, so that
+    a chain of any depth takes no more room than its tags."""
+
+    __slots__ = ("parent", "tag", "fresh", "box", "boxes", "near", "score")
+
+    def __init__(self, parent: Node | None, tag: str, words: tuple[str, ...], fresh: tuple[str, ...]):
+        self.parent, self.tag, self.fresh, self.score = parent, tag, fresh, None
+        self.box, self.boxes, self.near = (parent.box, parent.boxes, parent.near) if parent else ("none", (), ())
+        if tag in STOP and tag not in ("html", "body"):
+            self.box, self.boxes = tag, (*self.boxes, tag)[:3]
+        if words:
+            self.near = tuple(dict.fromkeys(words))
+
+    def local(self) -> list[str]:
+        """The features of blocks directly in it that depend on the element alone."""
+        return ["tag:" + self.tag, "box:" + self.box, "boxes:" + "/".join(self.boxes), *("near:" + w for w in self.near)]
+
 
-    def __init__(self, stack: tuple):
-        self.stack, self.parts, self.linked, self.links, self.text, self.bold = stack, [], 0, 0, "", 0
+ROOT = Node(None, "none", (), ())
+
+
+class Block:
+    __slots__ = ("node", "parts", "linked", "links", "text", "bold")
+
+    def __init__(self, node: Node):
+        self.node, self.parts, self.linked, self.links, self.text, self.bold = node, [], 0, 0, "", 0
+
+
+class Tags:
+    """Markup of a page from left to right: (start, end, closing, tag, attributes), tag "" for what is no element and
+    "<" for character data. Attributes end at the first > outside quotes, or at the first one if quotes do not close;
+    no part of the page is looked at more than a few times."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, {c: page.rfind(c) for c in """>"'"""}
+        self.open_ended: set[int] = set()  # places outside quotes from which no > outside quotes follows
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        page, n = self.page, len(self.page)
+        while (start := page.find("<", at)) >= 0:
+            for opens, closes, tag in (("<!--", "-->", ""), ("<![CDATA[", "]]>", "<")):
+                if page.startswith(opens, start):
+                    end = page.find(closes, start + len(opens))
+                    body = page[start + len(opens) : end if end >= 0 else n] if tag else ""
+                    return start, end + 3 if end >= 0 else n, False, tag, body
+            if page.startswith(("<!", "<?"), start):
+                end = page.find(">", start)
+                return start, end + 1 if end >= 0 else n, False, "", ""
+            m = TAG_NAME.match(page, start + 1) if start < self.last[">"] else None
+            if m:
+                end = self.outside(m.end())
+                end = end if end >= 0 else page.find(">", m.end())
+                name = m[0].lower()
+                return start, end + 1, name[0] == "/", name.removeprefix("/"), page[m.end() : end]
+            at = start + 1
+        return None
+
+    def outside(self, at: int) -> int:
+        """The first > that is in no quotes; -1: none."""
+        seen = []
+        while at not in self.open_ended:
+            seen.append(at)
+            m = SPECIAL.search(self.page, at) if at <= self.last[">"] else None
+            if m and m[0] == ">":
+                return m.start()
+            end = self.page.find(m[0], m.end()) if m and m.start() < self.last[m[0]] else -1
+            if end < 0:
+                break
+            at = end + 1
+        self.open_ended.update(seen)
+        return -1
+
+
+def unescaped(text: str) -> str:
+    if "&" not in text:
+        return text
+    return html.unescape(LONG_NUMBER.sub("\ufffd", text))  # numbers beyond all code points
 
 
 def leaf_blocks(page: str) -> list[Block]:
-    """The blocks of a page that hold text, in page order, with the (tag, words of class, id and role) they stand in."""
+    """The blocks of a page that hold text, in page order, with the block element they stand in."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...], bool]] = []  # tag, words, and whether it hides its content
-    block = Block(())
-    at, n = 0, len(page)
+    stack: list[tuple[str, bool, Node, tuple[str, ...]]] = []  # tag, whether it hides its content, block element, features that it has added
+    places: dict[str, list[int]] = {}  # tag -> its places in the stack
+    active: dict[str, int] = {}  # features of the open elements, with the number of elements that have them
+    block = Block(ROOT)
+    tags, at, n = Tags(page), 0, len(page)
 
     def close_block() -> None:
         nonlocal block
         if block.parts:
-            joined = "".join(block.parts)
-            block.text = " ".join((html.unescape(joined) if "&" in joined else joined).split())
+            block.text = " ".join(unescaped("".join(block.parts)).split())
             if block.text:
                 out.append(block)
-        block = Block(tuple((t, w) for t, w, _ in stack if t in BLOCKS))
+        block = Block(stack[-1][2] if stack else ROOT)
 
     def pop_to(i: int) -> None:
-        if any(t in BLOCKS for t, _, _ in stack[i:]):
-            del stack[i:]
+        ends = False
+        while len(stack) > i:
+            tag, _, _, features = stack.pop()
+            places[tag].pop()
+            ends |= tag in BLOCKS
+            for f in features:
+                active[f] -= 1
+        if ends:
             close_block()
-        else:
-            del stack[i:]
+
+    def topmost(names: set[str]) -> int:
+        return max((places[t][-1] for t in names if places.get(t)), default=-1)
 
     def add(text: str) -> None:
-        if text and not (stack and stack[-1][2]):
+        if text and not (stack and stack[-1][1]):
             block.parts.append(text)
             if not text.isspace():
-                if any(t == "a" for t, _, _ in stack):
+                if places.get("a"):
                     block.linked += len(text)
-                if any(t in ("b", "strong") for t, _, _ in stack):
+                if places.get("b") or places.get("strong"):
                     block.bold += len(text)
 
-    for m in TAG.finditer(page):
-        if m.start() < at:
-            continue  # inside raw text
-        add(page[at : m.start()])
-        at = m.end()
-        tag = m[2] or m[5]
-        if not tag:
-            if m[0].startswith("<![CDATA["):
-                add(m[0][9:].removesuffix("]]>"))
+    while found := tags.next(at):
+        start, end, closing, tag, attributes = found
+        add(page[at:start])
+        at = end
+        if tag in ("", "<"):
+            add(attributes)
             continue
-        tag = tag.lower()
-        if m[1] or m[4]:
-            if tag in ("p", "br") and not any(t == tag for t, _, _ in stack):
+        if closing:
+            own = places.get(tag)
+            if tag in ("p", "br") and not own:
                 close_block() if tag == "p" else block.parts.append(" ")
-                continue
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    pop_to(i)
-                    break
-                if stack[i][0] in STOP and tag not in BLOCKS:
-                    break
+            elif own and (tag in BLOCKS or own[-1] >= topmost(STOP)):
+                pop_to(own[-1])
             continue
         if tag in CLOSES:
-            closes, scope, last = CLOSES[tag], SCOPE.get(tag, STOP), None
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in scope:
-                    break
-                if stack[i][0] in closes:
-                    last = i
-            if last is not None:
-                pop_to(last)
-        attributes = m[3] or m[6] or ""
+            scope = topmost(SCOPE.get(tag, STOP))
+            inside = [p[k] for t in CLOSES[tag] if (p := places.get(t)) and (k := bisect_right(p, scope)) < len(p)]
+            if inside:
+                pop_to(min(inside))
         if tag in VOID:
             if tag == "hr":
                 close_block()
-            elif tag in ("br", "img", "wbr"):
-                block.parts.append(" " if tag == "br" else "")
+            elif tag == "br":
+                block.parts.append(" ")
             continue
         if attributes.rstrip().endswith("/") and tag not in BLOCKS and tag not in HIDDEN and tag != "a":
             continue
-        words = tuple(w for x in NAMES.findall(attributes) for w in WORD.findall(x.lower())) if "=" in attributes else ()
-        hides = tag in HIDDEN or bool(stack and stack[-1][2]) or bool(attributes and HIDES.search(attributes))
-        stack.append((tag, words, hides))
+        hides = tag in HIDDEN or bool(stack and stack[-1][1]) or bool(attributes and HIDES.search(attributes))
+        node, features = stack[-1][2] if stack else ROOT, ()
+        if tag in BLOCKS:
+            words = tuple(w for x in NAMES.findall(attributes) for w in WORD.findall(x.lower())) if "=" in attributes else ()
+            features = tuple(dict.fromkeys(("in:" + tag, *("name:" + w for w in words))))
+            node = Node(node, tag, words, tuple(f for f in features if not active.get(f)))
+            for f in features:
+                active[f] = active.get(f, 0) + 1
+        places.setdefault(tag, []).append(len(stack))
+        stack.append((tag, hides, node, features))
         if tag in BLOCKS:
             close_block()
         elif tag == "a":
             block.links += 1
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            add(page[at : end.start() if end else n])
-            at = end.end() if end else n
+            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            add(page[at : close.start() if close else n])
+            at = close.end() if close else n
             pop_to(len(stack) - 1)
     add(page[at:])
     stack.clear()
@@ -155,21 +234,11 @@ def leaf_blocks(page: str) -> list[Block]:
     return out
 
 
-def block_features(blocks: list[Block]) -> list[list[str]]:
-    """The features of each block, from its ancestors, its text and its place."""
-    out = []
+def text_features(blocks: list[Block]) -> Iterator[list[str]]:
+    """The features of each block from its text and its place."""
     longest = max((len(b.text) for b in blocks), default=0)
     for i, b in enumerate(blocks):
         text, own = b.text, ["bias"]
-        for t, words in b.stack:
-            own.append("in:" + t)
-            own += ["name:" + w for w in words]
-        own.append("tag:" + (b.stack[-1][0] if b.stack else "none"))
-        boxes = [(t, words) for t, words in b.stack if t in STOP and t not in ("html", "body")]
-        own.append("box:" + (boxes[-1][0] if boxes else "none"))
-        named = next((words for _, words in reversed(b.stack) if words), ())
-        own += ["near:" + w for w in named]
-        own.append("boxes:" + "/".join(t for t, _ in boxes[:3]))
         n, spaces = len(text), text.count(" ") + 1
         own.append(f"words:{min(7, spaces.bit_length())}")
         share = b.linked / max(1, n)
@@ -185,10 +254,46 @@ def block_features(blocks: list[Block]) -> list[list[str]]:
             own.append("at:first")
         if i == len(blocks) - 1:
             own.append("at:last")
-        out.append(list(dict.fromkeys(own)))
+        yield own
+
+
+def block_features(blocks: list[Block]) -> list[list[str]]:
+    """All features of each block, for training."""
+    out = []
+    for b, own in zip(blocks, text_features(blocks), strict=True):
+        node = b.node
+        own += node.local()
+        while node is not None:
+            own += node.fresh
+            node = node.parent
+        out.append(own)
     return out
 
 
+def block_scores(blocks: list[Block], weights: dict[str, float]) -> np.ndarray:
+    """The sum of the weights of each block's features; an element's part is added up once."""
+    get, local = weights.get, {}
+
+    def chain(node: Node) -> float:
+        path = []
+        while node is not None and node.score is None:
+            path.append(node)
+            node = node.parent
+        total = node.score if node is not None else 0.0
+        for x in reversed(path):
+            total += sum(get(f, 0.0) for f in x.fresh)
+            if x is not ROOT:
+                x.score = total
+        return total
+
+    scores = []
+    for b, own in zip(blocks, text_features(blocks), strict=True):
+        if id(b.node) not in local:
+            local[id(b.node)] = chain(b.node) + sum(get(f, 0.0) for f in b.node.local())
+        scores.append(local[id(b.node)] + sum(get(f, 0.0) for f in own))
+    return np.array(scores)
+
+
 #: Parts around articles, by their names in class and id attributes (the trainer's vocabulary).
 OTHER_NAMES = {
     "menu": "menu nav navbar navigation topnav breadcrumb breadcrumbs tabs toc pagination pager skip",
@@ -321,8 +426,7 @@ class Extractor:
         blocks = leaf_blocks(page)
         if not blocks:
             return ""
-        get = self.weights.get
-        s = np.array([sum(get(f, 0.0) for f in own) for own in block_features(blocks)])
+        s = block_scores(blocks, self.weights)
         return "\n\n".join(b.text for b, y in zip(blocks, crf.viterbi(s, self.trans), strict=True) if y)
 
 
