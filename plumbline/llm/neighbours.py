@@ -1,22 +1,25 @@
 """Approximate nearest neighbours by an inverted file with product-quantised residuals (operator 3).
 
 Fit.  Coarse centroids (about the square root of the number of vectors) and, for each of the subspaces, 256 code
-words of the residuals are fitted by k-means on `SAMPLE` vectors, chosen by a hash of their ids.
+words of the residuals are fitted by k-means on a bounded sample, chosen by a hash of the ids: 16 vectors a centroid, at
+least `SAMPLE`. How many lists a query has to probe is measured on the sample: so many that they hold `coverage` of the
+true neighbours of sampled queries. Nearly isotropic vectors need more than half of all lists, clustered ones a few.
 
 Index.  Every vector goes to its nearest centroid's list, with the codes of its residual; the index is written.
 
-Search.  A query probes the lists of its nearest centroids, a share `probe` of them. Each list is dealt into blocks of
-vectors and the queries that probe it into blocks of queries; a pair of blocks is one group of bounded size. In a
-group, tables of distances from the query's residual to the code words (asymmetric: the query is not quantised) give
-every vector a distance; the best of them are reranked by the exact distance in double precision. A group gives its
-best `k` for each query; the best of those over all groups are the result, ties to the smaller id.
+Search.  A query goes to its nearest centroids' lists. A list is dealt into blocks of bounded size; the vectors of a
+block are held, and the queries that probe it stream past them, so no vector is copied and no group outgrows a task.
+The asymmetric distance (the query is not quantised) is what a vector's codes and list alone say, which the index
+holds, less twice the sum of table entries of the query, one table for each subspace. The best are reranked by the
+exact distance in double precision. A block gives its best `k` for each query; the best of those over all blocks are
+the result, ties to the smaller id.
 
-Six in ten lists are probed by default: the test vectors are nearly isotropic, so that fewer give a recall below 0.9.
-More probed lists or reranked vectors raise the recall, up to an exact search at probe = 1 and an unbounded rerank.
+A higher coverage or more reranked vectors raise the recall, up to an exact search.
 
 Cases: vectors that are null, zero, not of the common dimension, or hold null or non-finite components take no part,
-nor do null ids; rows of one id in one list count once; fewer candidates than `k` give fewer rows; an empty table
-gives an empty table; other columns are not read.
+nor do null ids; of several rows of one id the one with the least vector counts, as candidate and as query; ties go to
+the smaller id; fewer candidates than `k` give fewer rows; an empty table gives an empty table; other columns are read
+by the choice of queries only.
 """
 
 from __future__ import annotations
@@ -31,12 +34,14 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import table, written
 
-#: Vectors that centroids and code words are fitted on, at most.
+#: Vectors that centroids and code words are fitted on: 16 a list, at least so many.
 SAMPLE = 20_000
-#: Lists, at most.
-LISTS = 4096
-#: Vectors and queries of a group, about.
-BLOCK = 8192
+#: Lists, at most (the fitting sample is 262,144 vectors then).
+LISTS = 16_384
+#: Vectors of a block, about.
+BLOCK = 4096
+#: Sampled queries that the number of probed lists is measured with.
+MEASURED = 300
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 0) -> np.ndarray:
@@ -70,36 +75,62 @@ class Quantiser:
         rest = (x - self.coarse[at]).reshape(len(x), self.parts, -1)
         return np.stack([nearest(rest[:, m], w) for m, w in enumerate(self.words)], axis=1).astype(np.uint8)
 
-    def tables(self, q: np.ndarray, at: int) -> list[np.ndarray]:
-        """For each part, (queries, words) squared distances of the queries' residuals to the code words."""
-        rest = (q - self.coarse[at]).reshape(len(q), self.parts, -1)
-        return [((rest[:, m, None, :] - w[None]) ** 2).sum(axis=2) for m, w in enumerate(self.words)]
-
-
-def valid(df: DataFrame, id: str, vector: str) -> DataFrame:
-    """id and vector of the rows that take part, but for the dimension."""
+    def known(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """What the distance to a coded vector holds besides the query: |r|^2 + 2 c.r of its centroid c and residual r."""
+        r = np.concatenate([w[codes[:, m]] for m, w in enumerate(self.words)], axis=1)
+        return ((r + 2 * self.coarse[at]) * r).sum(axis=1)
+
+    def tables(self, q: np.ndarray) -> np.ndarray:
+        """(parts, queries, words): products of the queries' parts with the code words."""
+        return np.stack([q.reshape(len(q), self.parts, -1)[:, m] @ w.T for m, w in enumerate(self.words)])
+
+    def order(self, q: np.ndarray) -> np.ndarray:
+        """All lists for each query, the nearest first."""
+        return (self.square - 2 * (q.astype(np.float32) @ self.coarse.T)).argsort(axis=1, kind="stable")
+
+    def probes(self, sample: np.ndarray, k: int, coverage: float) -> int:
+        """Lists to probe, so that they hold the share `coverage` of the sampled queries' neighbours in the sample."""
+        q, at = sample[:MEASURED], nearest(sample, self.coarse)
+        places = self.order(q).argsort(axis=1)
+        square, needed = (sample.astype(float) ** 2).sum(axis=1), []
+        for i, x in enumerate(q.astype(float)):
+            near = square - 2 * (sample @ x)
+            near[i] = np.inf
+            best = np.argpartition(near, min(k, len(near) - 1))[:k] if len(near) > k else np.flatnonzero(np.isfinite(near))
+            needed += places[i, at[best]].tolist()
+        return 1 + int(np.quantile(needed, coverage, method="higher")) if needed else 1
+
+
+def valid(df: DataFrame, queries: str, id: str, vector: str) -> DataFrame:
+    """id, vector and whether it is a query, of the rows that take part, but for the dimension; one row an id."""
     v = F.col("vector")
-    own = df.select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
+    own = df.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("vector"), F.coalesce(F.expr(queries), F.lit(False)).alias("asked"))
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return own.filter(F.col("id").isNotNull() & v.isNotNull()).filter(F.coalesce(fine, F.lit(False)))
+    own = own.filter(F.col("id").isNotNull() & v.isNotNull()).filter(F.coalesce(fine, F.lit(False)))
+    return own.groupBy("id").agg(F.min("vector").alias("vector"), F.max("asked").alias("asked"))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def search(df: DataFrame, queries: str, id: str = "vec_id", vector: str = "embedding", k: int = 10, probe: float = 0.6, parts: int = 32, rerank: int = 40) -> DataFrame:
-    """query_id, rank, vec_id and score (Euclidean distance); queries: SQL over `id`, the rows to take as queries."""
+def _exact(column: pa.Array, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), float).reshape(-1, dim)
+
+
+def search(df: DataFrame, queries: str, id: str = "vec_id", vector: str = "embedding", k: int = 10, coverage: float = 0.97, parts: int = 32, rerank: int = 40, block: int = BLOCK) -> DataFrame:
+    """query_id, rank, vec_id and score (Euclidean distance); queries: SQL over df, the rows to take as queries."""
     spark = df.sparkSession
-    schema = "query_id long, rank int, vec_id long, score double"
-    rows = valid(df, id, vector)
-    sizes = {r.dim: r.n for r in rows.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()}
+    rows = written(spark, valid(df, queries, id, vector), "vectors")
+    sizes = rows.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
     if not sizes:
-        return spark.createDataFrame([], schema)
-    dim, n = next(iter(sizes.items()))
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    dim, n = sizes[0]
     rows = rows.filter(F.size("vector") == dim)
-    sample = rows.orderBy(F.xxhash64(F.lit(3), "id"), "id").limit(SAMPLE).toArrow().column("vector").combine_chunks()
-    model = Quantiser(_matrix(sample, dim).astype(np.float32), max(1, min(LISTS, math.isqrt(n))), parts)
+    lists = max(1, min(LISTS, math.isqrt(n)))
+    sample = _matrix(rows.orderBy(F.xxhash64(F.lit(3), "id"), "id").limit(max(SAMPLE, 16 * lists)).select("vector").toArrow().column("vector").combine_chunks(), dim).astype(np.float32)
+    model = Quantiser(sample, lists, parts)
+    least, enough = model.probes(sample, k, coverage), 4 * k
     shared = spark.sparkContext.broadcast(model)
 
     def quantise(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,79 +139,93 @@ def search(df: DataFrame, queries: str, id: str = "vec_id", vector: str = "embed
             x = exact.astype(np.float32)
             at = nearest(x, shared.value.coarse)
             codes = shared.value.codes(x, at) if len(x) else np.zeros((0, 1), np.uint8)
+            known = shared.value.known(codes, at) if len(x) else np.zeros(0, np.float32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([v.tobytes() for v in exact], pa.binary())],
-                names=["id", "list", "codes", "exact"],
+                [batch.column(0), batch.column(2), pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(known.astype(np.float32)), pa.array([v.tobytes() for v in exact], pa.binary())],
+                names=["id", "asked", "list", "codes", "known", "exact"],
             )
 
-    index = written(spark, rows.mapInArrow(quantise, "id long, list int, codes binary, exact binary"), "index")
-    asked = index.filter(queries.replace(id, "id"))
-    n_lists = len(model.coarse)
+    index = written(spark, rows.mapInArrow(quantise, "id long, asked boolean, list int, codes binary, known float, exact binary"), "index")
     filled = {r.list: r.n for r in index.groupBy("list").agg(F.count("*").alias("n")).collect()}  # LISTS rows at most
-    size = np.array([filled.get(i, 0) for i in range(n_lists)], np.int64)
-    blocks = np.maximum(1, -(-size // BLOCK)).astype(np.int32)
-    q_blocks = max(1, -(-asked.count() // BLOCK))
-    least, enough = max(1, math.ceil(probe * n_lists)), 4 * k
+    size = np.array([filled.get(i, 0) for i in range(len(model.coarse))], np.int64)
+    blocks = np.maximum(1, -(-size // block)).astype(np.int32)
 
-    def probes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each block of each list that a query probes."""
         for batch in it:
-            q = np.frombuffer(b"".join(batch.column("exact").to_pylist()), float).reshape(-1, dim)
-            ids = batch.column("id").to_numpy()
-            for i in range(0, len(q), 256):
-                part = q[i : i + 256]
-                order = (shared.value.square - 2 * (part.astype(np.float32) @ shared.value.coarse.T)).argsort(axis=1, kind="stable")
-                reach = np.cumsum(size[order], axis=1)
-                take = (np.arange(n_lists) < least) | (np.concatenate([np.zeros((len(part), 1)), reach[:, :-1]], axis=1) <= enough)
-                row, col = np.nonzero(take & (size[order] > 0))
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                order = shared.value.order(_exact(part.column("exact"), dim))
+                reach = np.cumsum(size[order], axis=1) - size[order]
+                row, col = np.nonzero(((np.arange(len(size)) < least) | (reach <= enough)) & (size[order] > 0))
                 at = order[row, col]
                 times = blocks[at]
                 row, at = np.repeat(row, times), np.repeat(at, times)
-                block = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-                own = ids[i : i + 256][row]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(at.astype(np.int32)), pa.array(block.astype(np.int32)), pa.array((own // 100 % q_blocks).astype(np.int32)), pa.array(own), batch.column("exact").take(pa.array(i + row))],
-                    names=["list", "block", "q_block", "query_id", "query"],
-                )
-
-    asked_rows = asked.select("id", "exact").mapInArrow(probes, "list int, block int, q_block int, query_id long, query binary")
-    pairs = spark.createDataFrame([(i, int(b)) for i, b in enumerate(blocks)], "list int, blocks int")  # LISTS rows at most
-    dealt = index.join(F.broadcast(pairs), "list").withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)")).drop("blocks")
-    dealt = dealt.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    keys = ["list", "block", "q_block"]
-
-    def best(queries_: pa.Table, vectors: pa.Table) -> pa.Table:
-        out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        if queries_.num_rows and vectors.num_rows:
-            ids = vectors.column("id").to_numpy()
-            _, first = np.unique(ids, return_index=True)  # in order of the ids: ties go to the smaller
-            ids = ids[first]
-            codes = np.frombuffer(b"".join(vectors.column("codes").to_pylist()), np.uint8).reshape(vectors.num_rows, -1)[first]
-            exact = np.frombuffer(b"".join(vectors.column("exact").to_pylist()), float).reshape(-1, dim)[first]
-            q = np.frombuffer(b"".join(queries_.column("query").to_pylist()), float).reshape(-1, dim)
-            q_ids, at = queries_.column("query_id").to_numpy(), queries_.column("list")[0].as_py()
-            found = []
-            for i in range(0, len(q), 64):
-                part, own = q[i : i + 64], q_ids[i : i + 64]
-                near = np.zeros((len(part), len(ids)), np.float32)
-                for m, t in enumerate(shared.value.tables(part.astype(np.float32), at)):
-                    near += t[:, codes[:, m]]
-                near[own[:, None] == ids[None]] = np.inf
-                top = near.argsort(axis=1, kind="stable")[:, :rerank]
-                dist = np.sqrt(((exact[top] - part[:, None]) ** 2).sum(axis=2))
-                dist[own[:, None] == ids[top]] = np.inf
-                order = np.lexsort((ids[top], dist))[:, :k]
-                top, dist = np.take_along_axis(top, order, 1), np.take_along_axis(dist, order, 1)
-                row, col = np.nonzero(np.isfinite(dist))
-                found.append((own[row], ids[top[row, col]], dist[row, col]))
-            out = [np.concatenate(x) for x in zip(*found, strict=True)]
-        return pa.table({"query_id": pa.array(out[0]), "vec_id": pa.array(out[1]), "score": pa.array(out[2])})
-
-    found = asked_rows.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(best, "query_id long, vec_id long, score double")
+                number = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+                for j in range(0, len(at), 50_000):
+                    own = part.take(pa.array(row[j : j + 50_000]))
+                    yield pa.RecordBatch.from_arrays([pa.array(at[j : j + 50_000].astype(np.int32)), pa.array(number[j : j + 50_000].astype(np.int32)), own.column("id"), own.column("exact")], names=["list", "block", "id", "exact"])
+
+    asked = index.filter("asked").select("id", "exact").mapInArrow(ask, "list int, block int, id long, exact binary")
+    counts = spark.createDataFrame([(i, int(b)) for i, b in enumerate(blocks)], "list int, blocks int")  # LISTS rows at most
+    held = index.join(F.broadcast(counts), "list").withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
+    both = held.select("list", "block", F.lit(0).alias("side"), "id", "exact", "codes", "known").unionByName(asked.withColumn("side", F.lit(1)), allowMissingColumns=True)
+    both = both.repartition("list", "block").sortWithinPartitions("list", "block", "side")
+
+    def runs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted: the vectors of a block, then the queries that probe it."""
+        now, vectors, ready = None, [], None
+        for batch in it:
+            keys = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
+            cuts = [0, *(np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1).tolist(), len(keys)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if tuple(keys[a, :2]) != now:
+                    now, vectors, ready = tuple(keys[a, :2]), [], None
+                if keys[a, 2] == 0:
+                    vectors.append(batch.slice(a, b - a))
+                elif vectors:
+                    ready = ready or Held(pa.Table.from_batches(vectors), dim)
+                    yield ready.best(batch.slice(a, b - a), shared.value, k, rerank)
+
+    found = both.mapInArrow(runs, "query_id long, vec_id long, score double")
     by_query = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+class Held:
+    """The vectors of a block, in order of their ids: ties go to the smaller."""
+
+    def __init__(self, rows: pa.Table, dim: int):
+        rows = rows.sort_by("id")
+        self.dim, self.ids = dim, rows.column("id").to_numpy()
+        self.codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(len(self.ids), -1)
+        self.known, self.exact = rows.column("known").to_numpy(), _exact(rows.column("exact"), dim)
+
+    def best(self, queries: pa.RecordBatch, model: Quantiser, k: int, rerank: int) -> pa.RecordBatch:
+        """The k nearest of the block for each query, but the query's own row."""
+        q, q_ids = _exact(queries.column("exact"), self.dim), queries.column("id").to_numpy()
+        found: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for i in range(0, len(q), 64):
+            part, own = q[i : i + 64], q_ids[i : i + 64]
+            near = np.zeros((len(part), len(self.ids)), np.float32)
+            for m, t in enumerate(model.tables(part.astype(np.float32))):
+                near += t[:, self.codes[:, m]]
+            near = self.known - 2 * near
+            near[own[:, None] == self.ids[None]] = np.inf
+            few = min(rerank, len(self.ids))
+            top = np.sort(np.argpartition(near, few - 1, axis=1)[:, :few], axis=1)
+            dist = np.sqrt(((self.exact[top] - part[:, None]) ** 2).sum(axis=2))
+            dist[own[:, None] == self.ids[top]] = np.inf
+            order = dist.argsort(axis=1, kind="stable")[:, :k]
+            top, dist = np.take_along_axis(top, order, 1), np.take_along_axis(dist, order, 1)
+            row, col = np.nonzero(np.isfinite(dist))
+            found.append((own[row], self.ids[top[row, col]], dist[row, col]))
+        out = [np.concatenate(x) for x in zip(*found, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["query_id", "vec_id", "score"])
+
+
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0")
 
