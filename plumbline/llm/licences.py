@@ -1,13 +1,15 @@
 """Licence scans by sentence rules (operator 4), in DataFrame functions only.
 
-A text is cut into sentences at blank lines and after . ! ? before white space. A single line end or a semicolon may
-cut: a known sentence is found whether it is one line, is wrapped over several, or follows an unfinished heading.
-Sentences are normalised: lower case, everything but letters of a-z, digits and inner dots as one space. A sentence
-of the table of known licence sentences becomes its two-letter code; others drop out. The codes, in text order, are matched from left to right
-against the licence rules, which are ordered sequences of codes: the first rule in the list that fits is taken.
-A known sentence that no rule takes is reported as unmatched.
+A text is cut into sentences at blank lines and after . ! ? before white space. A line end, a semicolon or a colon may
+cut: a known sentence is found whether it is one line, is wrapped over several, follows an unfinished heading or stands
+behind comment signs. Sentences are normalised: lower case, everything but letters of a-z, digits and inner dots as one
+space. A sentence of the table of known licence sentences becomes its two-letter code; others drop out. The codes, in text
+order, are matched from left to right against the licence rules, which are ordered sequences of codes: the first rule in
+the list that fits is taken. A known sentence that no rule takes is reported as unmatched.
 
-All of it is one projection over array functions: no shuffle, no join, and a bounded table of sentences in the plan.
+Sentences and rules are parameters of `scan`, so both tables may grow. SPDX tags are sentences that are made from the
+rules' licence names. All of it is one projection over array and text functions: no shuffle, no join, and tables of
+bounded size in the plan. Each step's pattern is linear in the text's length.
 
 Cases: null and empty texts have no sentences and no licences; very long texts are one row; repeated sentences give
 repeated licences; an empty table gives an empty table; a null id stays null; other columns pass through `scan`, whose
@@ -16,6 +18,8 @@ results replace columns of the same name.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +29,7 @@ from plumbline.llm.common import clean_text, table
 SENTENCES = {
     "released under the mit license": "ma",
     "licensed under the mit license": "ma",
+    "licensed under the mit license see license for details": "ma",
     "this project is licensed under the mit license": "ma",
     "this software is released under the mit license": "ma",
     "mit license": "mt",
@@ -34,6 +39,7 @@ SENTENCES = {
     "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mn",
     "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "mw",
     "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software": "ml",
+    "apache license version 2.0 january 2004": "at",
     "licensed under the apache license version 2.0": "aa",
     "licensed under the apache license version 2.0 the license": "aa",
     "this project is licensed under the apache license version 2.0": "aa",
@@ -42,6 +48,14 @@ SENTENCES = {
     "you may obtain a copy of the license at http www.apache.org licenses license 2.0": "ao",
     "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "aw",
     "see the license for the specific language governing permissions and limitations under the license": "as",
+    "gnu general public license version 3 29 june 2007": "gt",
+    "gnu general public license version 2 june 1991": "gs",
+    "gnu lesser general public license version 3 29 june 2007": "lt",
+    "gnu lesser general public license version 2.1 february 1999": "ls",
+    "gnu affero general public license version 3 19 november 2007": "ft",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lf",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or at your option any later version": "le",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "fa",
     "this work is licensed under the gnu general public license version 3": "gc",
     "this work is licensed under the gnu general public license version 2": "gb",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gf",
@@ -53,7 +67,15 @@ SENTENCES = {
     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bb",
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bc",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bd",
+    "neither the name of the author nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bd",
+    "neither the name of the university nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bd",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "be",
+    "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage": "bf",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "ia",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "ib",
+    "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software": "ic",
+    "mozilla public license version 2.0": "pt",
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla.org mpl 2.0": "pb",
     "this source code form is subject to the terms of the mozilla public license v. 2.0": "pa",
     "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla.org mpl 2.0": "pb",
     "licensed under cc by nc 4.0": "cn",
@@ -67,59 +89,90 @@ SENTENCES = {
 #: Licence rules: ordered sequences of sentence codes, the most telling first.
 RULES = [
     ("MIT", "mt mg mn mw ml"), ("MIT", "mg mn mw ml"), ("MIT", "mg mn"), ("MIT", "ma mt"), ("MIT", "ma"),
-    ("Apache-2.0", "aa ac ao aw as"), ("Apache-2.0", "aa ac"), ("Apache-2.0", "aa"),
+    ("Apache-2.0", "at"), ("Apache-2.0", "aa ac ao aw as"), ("Apache-2.0", "aa ac"), ("Apache-2.0", "aa"),
     ("GPL-3.0-or-later", "gf gw gd gr"), ("GPL-3.0-or-later", "gf gw gd"), ("GPL-3.0-or-later", "gf"),
     ("GPL-2.0-or-later", "ge gw gd gr"), ("GPL-2.0-or-later", "ge gw gd"), ("GPL-2.0-or-later", "ge"),
-    ("GPL-3.0-only", "gc"), ("GPL-2.0-only", "gb"),
-    ("BSD-3-Clause", "ba bb bc bd"), ("BSD-2-Clause", "ba bb bc"),
-    ("ISC", "ia"), ("MPL-2.0", "pa pb"), ("MPL-2.0", "pa"),
+    ("GPL-3.0-only", "gt"), ("GPL-2.0-only", "gs"), ("GPL-3.0-only", "gc"), ("GPL-2.0-only", "gb"),
+    ("LGPL-3.0-or-later", "lf"), ("LGPL-2.1-or-later", "le"), ("LGPL-3.0-only", "lt"), ("LGPL-2.1-only", "ls"),
+    ("AGPL-3.0-or-later", "fa"), ("AGPL-3.0-only", "ft"),
+    ("BSD-3-Clause", "ba bb bc bd be bf"), ("BSD-3-Clause", "ba bb bc bd"), ("BSD-2-Clause", "ba bb bc be bf"), ("BSD-2-Clause", "ba bb bc"),
+    ("ISC", "ia ib ic"), ("ISC", "ia"), ("MPL-2.0", "pa pb"), ("MPL-2.0", "pa"), ("MPL-2.0", "pt"),
     ("CC-BY-NC-4.0", "cn"), ("CC-BY-SA-4.0", "cs"), ("CC-BY-4.0", "cb"),
 ]
 
-_NAMES = {codes.replace(" ", ""): name for name, codes in RULES}
-#: Rules in list order, then any code that none takes; codes are two letters, so matches start at even places only.
-_PATTERN = "|".join([*_NAMES, "[a-z][a-z]"])
-
-
-def _map(entries: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in entries.items() for x in pair])
-
 
-#: Ends of sentences (sure cuts), and single line ends and semicolons (a sentence may go on after them), in texts.
-_END, _MAYBE = "\x01", "\x02"
+def with_tags(sentences: dict[str, str], rules: list[tuple[str, str]]) -> tuple[dict[str, str], list[tuple[str, str]]]:
+    """Both tables with a sentence and a rule for the SPDX tag of each licence, coded by a letter and a digit or two letters
+    that no other sentence has."""
+    free = iter(sorted({a + b for a in "stuvwxyz" for b in "0123456789abcdefghijklmnopqrstuvwxyz"} - set(sentences.values())))
+    tags = {name: next(free) for name in dict.fromkeys(n for n, _ in rules)}
+    return sentences | {f"spdx license identifier {n.lower().replace('-', ' ')}": c for n, c in tags.items()}, rules + list(tags.items())
+
+
+#: Ends of sentences (sure cuts), and line ends, semicolons and colons (a sentence may go on after them), in texts.
+END, MAYBE = "\x01", "\x02"
+_END, _MAYBE = r"\x01", r"\x02"  # the same in patterns
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: (pattern, replacement) steps that normalise a text, in both engines' dialect; \\1 is the first group.
+STEPS = [
+    (r"\r\n?", "\n"),
+    (r"(^|[^a-z0-9])v\.[ \t\n]+", r"\1v "),  # "v. 2.0" ends no sentence
+    (r"\n[^a-z0-9.!?;:\n]*\n", END),  # paragraphs
+    (rf"[.!?]+([ \t\n{_END}])", END + r"\1"),
+    (r"[;:][ \t]+|[;:]?\n", MAYBE),
+    (rf"[^a-z0-9.{_END}{_MAYBE}]+", " "),
+    (r"\.\.+", " "),
+    (r"\. ", " "),
+    (r"  +", " "),
+    (rf"[ .]?[ .]?([{_END}{_MAYBE}])[ .]?[ .]?", r"\1"),
+    (rf"{_MAYBE}+", MAYBE),
+    (rf"[{_END}{_MAYBE}]*{_END}[{_END}{_MAYBE}]*", END * 2),  # doubled: neighbours each take one
+    (_MAYBE, MAYBE * 2),
+]
 
 
 def _canonical(sentence: str) -> str:
     return sentence.replace(". ", " ")
 
 
-def _sentence_pattern() -> str:
+def _sentence_pattern(sentences: dict[str, str]) -> str:
     """Any known sentence between two cuts, across possible cuts; longer sentences first."""
-    gap = rf"\.?[ {_MAYBE}]"
-    known = sorted({_canonical(s) for s in SENTENCES}, key=lambda s: (-len(s), s))
-    return rf"(?<=[{_END}{_MAYBE}])(?:{'|'.join(gap.join(w.replace('.', r'\.') for w in s.split(' ')) for s in known)})(?=[{_END}{_MAYBE}])"
+    known = sorted({_canonical(s) for s in sentences}, key=lambda s: (-len(s), s))
+    return rf"[{_END}{_MAYBE}]({'|'.join(f'(?: |{_MAYBE * 2})'.join(w.replace('.', chr(92) + '.') for w in s.split(' ')) for s in known)})[{_END}{_MAYBE}]"
 
 
-def sentences(text: Column) -> Column:
+def _rule_pattern(rules: list[tuple[str, str]]) -> str:
+    """Rules in list order, then any code that none takes; codes are two characters, so matches start at even places only."""
+    return "|".join([*dict.fromkeys(codes.replace(" ", "") for _, codes in rules), "[a-z][a-z0-9]"])
+
+
+def _names(rules: list[tuple[str, str]]) -> dict[str, str]:
+    return {codes.replace(" ", ""): name for name, codes in reversed(rules)}
+
+
+def _map(entries: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in entries.items() for x in pair])
+
+
+def known_sentences(text: Column, sentences: dict[str, str]) -> Column:
     """The known sentences of a text, normalised: array<string>."""
-    lines = F.regexp_replace(F.lower(text), r"\r\n?", "\n")
-    lines = F.regexp_replace(lines, r"\n[^a-z0-9.!?;\n]*(?=\n)", _END)  # paragraphs
-    lines = F.regexp_replace(lines, rf"(?<!\bv)[.!?](?=[\s{_END}])", _END)  # not "v. 2.0"
-    lines = F.regexp_replace(lines, r";[ \t]+|;?\n", _MAYBE)
-    plain = F.regexp_replace(lines, rf"[^a-z0-9.{_END}{_MAYBE}]+", " ")
-    plain = F.concat(F.lit(_END), plain, F.lit(_END))
-    plain = F.regexp_replace(plain, rf"[ .]*([{_END}{_MAYBE}])[ .]*", "$1")
-    found = F.regexp_extract_all(plain, F.lit(_sentence_pattern()), F.lit(0))
-    return F.transform(found, lambda s: F.regexp_replace(s, rf"\.?[ {_MAYBE}]", " "))
-
-
-def scan(df: DataFrame, text: str = "text") -> DataFrame:
+    plain = F.translate(text, _UPPER + END + MAYBE, _UPPER.lower() + "  ")
+    for pattern, by in STEPS:
+        plain = F.regexp_replace(plain, pattern, by.replace("\\1", "$1"))
+        if by == "\n":
+            plain = F.concat(F.lit(END), plain, F.lit(END))
+    found = F.regexp_extract_all(plain, F.lit(_sentence_pattern(sentences)), F.lit(1))
+    return F.transform(found, lambda s: F.replace(s, F.lit(MAYBE * 2), F.lit(" ")))
+
+
+def scan(df: DataFrame, text: str = "text", sentences: dict[str, str] | None = None, rules: list[tuple[str, str]] | None = None) -> DataFrame:
     """df with `sentence_codes`, `licences` and `unmatched`: arrays in text order."""
+    sentences, rules = with_tags(sentences or SENTENCES, rules or RULES)
     rest = [c for c in df.columns if c not in ("sentence_codes", "licences", "unmatched")]
-    known, names = _map({_canonical(k): v for k, v in SENTENCES.items()}), _map(_NAMES)
-    codes = F.transform(sentences(clean_text(text)), lambda s: F.element_at(known, s))
+    known, names = _map({_canonical(k): v for k, v in sentences.items()}), _map(_names(rules))
+    codes = F.transform(known_sentences(clean_text(F.col(f"`{text}`")), sentences), lambda s: F.element_at(known, s))
     found = df.select(*[F.col(f"`{c}`") for c in rest], codes.alias("sentence_codes"))
-    found = found.withColumn("_match", F.regexp_extract_all(F.array_join("sentence_codes", ""), F.lit(_PATTERN), F.lit(0)))
+    found = found.withColumn("_match", F.regexp_extract_all(F.array_join("sentence_codes", ""), F.lit(_rule_pattern(rules)), F.lit(0)))
     return found.select(
         *[F.col(f"`{c}`") for c in rest],
         "sentence_codes",
@@ -137,17 +190,29 @@ def _sql_map(entries: dict[str, str]) -> str:
     return f"map {{{', '.join(f"'{k}': '{v}'" for k, v in entries.items())}}}"
 
 
-QUERIES = {"op4_licences": op4_licences}
-ORACLE = {
-    "op4_licences": rf"""
-with s as (select doc_id, string_split(regexp_replace(lower(regexp_replace(coalesce(text, ''), '[.!?;][ \t]+', chr(10), 'g')), '[^a-z0-9.\n]+', ' ', 'g'), chr(10)) lines from documents),
-n as (select doc_id, list_transform(lines, lambda x: regexp_replace(x, '^[ .]+|[ .]+$', '', 'g')) lines from s),
-c as (select doc_id, list_filter(list_transform(lines, lambda x: {_sql_map(SENTENCES)}[x]), lambda x: x is not null) codes from n),
-m as (select doc_id, codes, regexp_extract_all(array_to_string(codes, ''), '{_PATTERN}') found from c),
-k as (select doc_id, codes, found, list_transform(found, lambda x: {_sql_map(_NAMES)}[x]) names from m)
+def _sql_text(x: str) -> str:
+    """A DuckDB literal; control characters by their codes."""
+    return " || ".join(f"chr({ord(part)})" if part < " " else f"'{part}'" for part in re.split("([\x00-\x1f])", x) if part)
+
+
+def _oracle() -> str:
+    sentences, rules = with_tags(SENTENCES, RULES)
+    plain = f"translate(coalesce(text, ''), '{_UPPER}' || chr(1) || chr(2), '{_UPPER.lower()}  ')"
+    for pattern, by in STEPS:
+        plain = f"regexp_replace({plain}, {_sql_text(pattern)}, {_sql_text(by)}, 'g')"
+        if by == "\n":
+            plain = f"chr(1) || {plain} || chr(1)"
+    return f"""
+with s as (select doc_id, regexp_extract_all({plain}, {_sql_text(_sentence_pattern(sentences))}, 1) found from documents),
+c as (select doc_id, list_transform(found, lambda x: {_sql_map({_canonical(k): v for k, v in sentences.items()})}[replace(x, chr(2) || chr(2), ' ')]) codes from s),
+m as (select doc_id, codes, regexp_extract_all(array_to_string(codes, ''), '{_rule_pattern(rules)}') found from c),
+k as (select doc_id, codes, found, list_transform(found, lambda x: {_sql_map(_names(rules))}[x]) names from m)
 select doc_id, len(codes)::bigint n_sentences, array_to_string(codes, ',') sentence_codes,
   array_to_string(list_filter(names, lambda x: x is not null), ',') licences,
-  array_to_string(list_filter(found, lambda x: {_sql_map(_NAMES)}[x] is null), ',') unmatched
+  array_to_string(list_filter(found, lambda x: {_sql_map(_names(rules))}[x] is null), ',') unmatched
 from k
 """
-}
+
+
+QUERIES = {"op4_licences": op4_licences}
+ORACLE = {"op4_licences": _oracle()}
