@@ -6,8 +6,9 @@ get equal numbers of slots, give or take one, and a shard that comes or goes mov
 slot is its hash modulo the table's size. The table has `SLOTS` rows whatever the data's size, so it is broadcast:
 placement takes constant time and moves nothing.
 
-Cases: a null key is placed as the empty string; repeated keys go to one shard; hot keys do not matter to placement,
-and `write` deals each shard's rows over several tasks; an empty table gives an empty table; other columns pass
+Cases: a null key is placed as the empty string; keys of any length and repeated keys are hashed alike and go to one
+shard; hot keys do not matter to placement, and `write` lets Spark split large shards; an empty table gives an empty
+table; other columns pass
 through and `slot` and `shard` replace columns of the same name.
 """
 
@@ -56,13 +57,13 @@ def place(df: DataFrame, key: str, shards: Sequence[str] = SHARDS, slots: int =
     rest = [c for c in df.columns if c not in ("slot", "shard")]
     slot = f"pmod(cast(conv(substr(md5(coalesce(cast(`{key}` as string), '')), 1, 13), 16, 10) as bigint), {slots})"
     keyed = df.select(*[F.col(f"`{c}`") for c in rest], F.expr(slot).alias("slot"))
-    return keyed.join(F.broadcast(lookup), "slot").select(*rest, "slot", "shard")  # `slots` rows, by construction
+    return keyed.join(F.broadcast(lookup), "slot").select(*[F.col(f"`{c}`") for c in rest], "slot", "shard")  # `slots` rows, by construction
 
 
-def write(df: DataFrame, path: str, key: str, shards: Sequence[str] = SHARDS, tasks: int = 4, slots: int = SLOTS) -> None:
-    """Writes a folder for each shard; `tasks` tasks share each shard's rows, so that none gets a whole shard."""
-    placed = place(df, key, shards, slots).withColumn("_deal", F.expr(f"pmod(xxhash64(*), {tasks})"))
-    placed.repartition("shard", "_deal").drop("_deal").write.partitionBy("shard").parquet(path)
+def write(df: DataFrame, path: str, key: str, shards: Sequence[str] = SHARDS, slots: int = SLOTS) -> None:
+    """Writes a folder for each shard. Rows are rebalanced by shard: adaptive execution splits a shard that is larger than
+    spark.sql.adaptive.advisoryPartitionSizeInBytes over several tasks and puts small ones together."""
+    place(df, key, shards, slots).hint("rebalance", "shard").write.partitionBy("shard").parquet(path)
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,4 +72,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_sharding": op7_sharding}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op7_sharding": f"""
+with slots as (select unnest(range(0, {SLOTS}))::bigint slot, unnest(string_split('{",".join(map(str, fill(SHARDS)))}', ',')) i),
+d as (select doc_id, source, strlen(coalesce(text, ''))::bigint n_bytes, ('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 13))::bigint % {SLOTS} slot from documents)
+select doc_id, source, n_bytes, slot, 'shard-' || lpad(i, 4, '0') shard from d join slots using (slot)
+"""
+}
