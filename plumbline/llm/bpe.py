@@ -23,6 +23,8 @@ through, and results replace columns of the same name. Long texts are one row of
 from __future__ import annotations
 
 import json
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import chain
 
@@ -100,8 +102,10 @@ class Automaton:
                 _, x, until = parts[x]
 
         for k, (u, v, w) in enumerate(merges):
-            if leads[u] < 0 or leads[v] < 0 or leads[w] >= 0 or not path(u, v):
+            if leads[u] < 0 or leads[v] < 0 or not path(u, v):
                 continue  # no path u, v: no arc w
+            if leads[w] >= 0:
+                raise ValueError(f"two merges that can be applied make token {w}: one arc label cannot stand for both")
             parts[w] = u, v, k
             taken[u, v] = k
             leads[w] = leads[v]
@@ -214,6 +218,21 @@ class Automaton:
             lane, node = lane[more], node[more]
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (lane, lane, lane)
 
+    def _walk(self, slots: list[int], lengths: list[int], tokens: list[int], reached: np.ndarray, state: np.ndarray) -> None:
+        """The walk of long words, one position after the other, by plain integers."""
+        if not hasattr(self, "_plain"):
+            self._plain = array("q", self.edges.tolist()), self.first.tolist(), self.pos.tolist(), self.state.tolist()
+        edges, first, pos, leads = self._plain
+        wide, last = self.wide, len(first) - 1
+        low = min(slots)
+        arrived, now = reached[low : max(slots) + max(lengths) + 1].tolist(), state[low : max(slots) + max(lengths) + 1].tolist()
+        for s, n, t in zip(slots, lengths, tokens, strict=True):
+            if arrived[s + n - low] < 0 and (q := now[s - low]) >= 0:
+                a = first[q]
+                if q == last or (bisect_right(edges, q * wide + pos[t], a, first[q + 1]) - a) % 2 == 0:
+                    arrived[s + n - low], now[s + n - low] = t, leads[t]
+        reached[low : low + len(arrived)], state[low : low + len(now)] = arrived, now
+
     def encode(self, words: list[bytes]) -> list[bytes]:
         """The tokens of each word, as 32-bit integers in native order."""
         size = np.array([len(w) for w in words], np.int64)
@@ -241,9 +260,7 @@ class Automaton:
             reached[to], state[to] = token[x], self.state[token[x]]
         if long.any():
             x = np.flatnonzero(long)
-            for s, n, t in zip(slot[x].tolist(), length[x].tolist(), token[x].tolist(), strict=True):
-                if reached[s + n] < 0 and self.allowed(state[s], t):
-                    reached[s + n], state[s + n] = t, self.state[t]
+            self._walk(slot[x].tolist(), length[x].tolist(), token[x].tolist(), reached, state)
         # walk back from the words' ends, all words at once
         base = offset + np.arange(len(words))
         here, count = base + size, np.zeros(len(words), np.int64)
@@ -267,7 +284,11 @@ def compile_file(path: str) -> Automaton:
     """The automaton of a byte-level BPE vocabulary in a tokenizers JSON file."""
     with open(path, encoding="utf-8") as f:
         file = json.load(f)
-    letters, vocab = byte_letters(), file["model"]["vocab"]
+    pre, model = file.get("pre_tokenizer") or {}, file["model"]
+    odd = [x["content"] for x in file["added_tokens"] if x.get("lstrip") or x.get("rstrip") or x.get("single_word") or x.get("normalized")]
+    if model.get("type") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or file.get("normalizer") or model.get("ignore_merges") or model.get("dropout") or odd:
+        raise ValueError(f"{path} is no plain byte-level BPE vocabulary (normaliser, added space, other pre-split, dropout or special strings with options)")
+    letters, vocab = byte_letters(), model["vocab"]
     pairs = [m if isinstance(m, list) else m.split(" ") for m in file["model"]["merges"]]
     merges = [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]
     special = {x["content"]: x["id"] for x in file["added_tokens"]}
