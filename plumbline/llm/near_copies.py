@@ -1,19 +1,25 @@
-"""Near copies by the exact similarity of word shingles (the pipeline's near-duplicate stage).
+"""Near copies by SimHash links and the exact similarity of word shingles (operator 10 with verification; the pipeline's
+near-duplicate stage).
 
 Rule.  Words and shingles are those of `simhash`, five words wide. Two texts are near copies if their sets of shingles
 (as 64-bit hashes) have a Jaccard similarity of `least` = 0.8 or more; texts without words are copies of each other.
-Groups are what chains of near copies connect. SimHash cannot find these pairs: they differ by 4 to 11 of 64 bits.
-
-Candidates.  32 bands of 6 MinHash values each: a pair at 0.8 shares no band with a probability of 6e-5 (0.85: 1e-7).
-Texts that share a band are led to the smallest of it, which makes as many links as rows, not pairs; the
-components of these links hold every pair that shares a band.
-
-Verification.  Each candidate component is dealt into blocks of bounded size and every pair of blocks is one group, in
-which the shingle sets are compared, so no group outgrows a task. A pair is left out only where its sizes rule 0.8
-out or where verified links connect it already.
-
-Cases: null texts count as empty; repeated rows are one text; a text shorter than five words is one shingle; an
-empty table gives an empty table.
+Groups are what chains of near copies connect.
+
+Candidates.  SimHash fingerprints of the shingles, linked through Golay-code keys at three differing bits or fewer. These
+alone miss most pairs of the rule, which differ by 4 to 11 of 64 bits; so texts that share a band of MinHash values are
+candidates too: 32 bands of 6 values, a pair at 0.8 shares none with a probability of 6e-5 (0.85: 1e-7). Texts of a band
+are led to the smallest of it, which makes as many links as rows, not pairs; the components of all these links hold
+every candidate pair.
+
+Verification.  A component of up to `BLOCK` texts is one group, in which all sets are compared. In larger ones each text
+is first compared with the text that it was led to, in groups of bounded size: that connects most of a large group of
+copies in linear work. Then only texts that are not connected yet are compared: connected parts of more than a block
+have blocks of their own, the others share blocks, and each pair of blocks is a group, but pairs inside one connected
+part. A pair is left out only where its sizes rule 0.8 out or where verified links connect it already.
+
+Cases: null texts count as empty; repeated rows are one text; a text shorter than five words is one shingle; ties (equal
+texts under several ids) go to the smallest id; texts of any length are compared whole; an empty table gives an empty
+table; other columns pass through `deduplicate`, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,11 +30,12 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.llm import simhash
 from plumbline.llm.common import clean_text, written
-from plumbline.llm.simhash import components, shingle_hashes
+from plumbline.llm.simhash import components, majority, shingle_hashes
 
 WIDTH, LEAST = 5, 0.8
 BANDS, ROWS = 32, 6
@@ -40,8 +47,11 @@ _FACTORS = np.random.default_rng(5).integers(0, 1 << 63, BANDS * ROWS, np.uint64
 
 def shingle_set(text: str, width: int = WIDTH) -> np.ndarray:
     """The distinct shingle hashes; a text without words has the single hash 0."""
-    own = np.unique(shingle_hashes(text, width))
-    return own if len(own) else np.zeros(1, np.uint64)
+    return _distinct(shingle_hashes(text, width))
+
+
+def _distinct(hashes: np.ndarray) -> np.ndarray:
+    return np.unique(hashes) if len(hashes) else np.zeros(1, np.uint64)
 
 
 def band_keys(own: np.ndarray) -> np.ndarray:
@@ -54,18 +64,19 @@ def band_keys(own: np.ndarray) -> np.ndarray:
 
 def node(text: str) -> Column:
     """Names a text: equal texts are one node."""
-    return F.xxhash64(clean_text(text))
+    return F.xxhash64(clean_text(F.col(f"`{text}`")))
 
 
-def spanning(nodes: list[int], sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
-    """Links that span the components of the sets under a similarity of `least` or more."""
+def spanning(nodes: list[int], sets: list[np.ndarray], least: float, labels: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that span the components of the sets under a similarity of `least` or more; sets with equal labels are
+    connected already."""
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+    label = np.unique(labels if labels else nodes, return_inverse=True)[1][order]
     nodes, sets = [nodes[i] for i in order], [sets[i] for i in order]
     n = np.array([len(s) for s in sets])
     start = np.append(0, np.cumsum(n))
     values, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    held = np.zeros(len(values), np.int64)
-    label, out = np.arange(len(sets)), []
+    held, out = np.zeros(len(values), np.int64), []
     for i in range(len(sets) - 1):
         stop = int(np.searchsorted(n, n[i] / least + 1e-9, "right"))  # larger sets cannot be similar enough
         if np.all(label[i + 1 : stop] == label[i]):
@@ -81,58 +92,125 @@ def spanning(nodes: list[int], sets: list[np.ndarray], least: float) -> list[tup
     return out
 
 
+def similar(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common >= least * (len(x) + len(y) - common) - 1e-9
+
+
+def _rows(it: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in it:
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+def _pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in range(2)], names=["a", "b"])
+
+
+def candidates(texts: DataFrame, width: int) -> DataFrame:
+    """(a, b): texts (node, text) led to a smaller one that they share a band or nearly a fingerprint with; written."""
+    spark = texts.sparkSession
+
+    def signed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            fps, keys = [], []
+            for t in batch.column(1).to_pylist():
+                hashes = shingle_hashes(t, width)
+                fps.append(majority(hashes))
+                keys.append(band_keys(_distinct(hashes)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["node", "fp", "keys"])
+
+    once = texts.mapInArrow(signed, "node long, fp long, keys array<long>").groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    once = written(spark, once, "signatures")
+    keys = once.select("node", F.explode("keys").alias("key"))
+    shared = written(spark, keys.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n"), "shared")
+    by_band = keys.join(shared, "key").select(F.col("node").alias("a"), "b")
+    leads = written(spark, once.groupBy("fp").agg(F.min("node").alias("b")), "fingerprints")
+    alike = once.select("node", "fp").join(leads, "fp").select(F.col("node").alias("a"), "b")
+    near = written(spark, simhash.links(leads.select("fp")), "links")
+    by_print = near.join(leads.select(F.col("fp").alias("a"), F.col("b").alias("x")), "a").join(leads.select(F.col("fp").alias("b"), F.col("b").alias("y")), "b").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+    return written(spark, by_band.union(alike).union(by_print).filter("a != b").distinct(), "candidates")
+
+
+def led_pairs(pairs: DataFrame, texts: DataFrame, width: int, least: float, block: int) -> DataFrame:
+    """The pairs (a, b) that are near copies. The members a of each b are dealt into groups of bounded size."""
+    sizes = written(pairs.sparkSession, pairs.groupBy("b").agg(F.ceil(F.count("*") / block).cast("int").alias("m")), "led-sizes")
+    heads = sizes.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).select("b", "part", F.lit(0).alias("side"), F.col("b").alias("node"))
+    members = pairs.join(sizes, "b").select("b", F.expr("cast(pmod(xxhash64(a), m) as int)").alias("part"), F.lit(1).alias("side"), F.col("a").alias("node"))
+    rows = heads.union(members).join(texts, "node").select("b", "part", "side", "node", "text")
+    rows = rows.repartition("b", "part").sortWithinPartitions("b", "part", "side")
+
+    def compared(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (b, _), group in groupby(_rows(it), key=lambda r: r[:2]):
+            head, found = None, []
+            for _, _, side, node, text in group:
+                own = shingle_set(text, width)
+                if side == 0:
+                    head = own
+                elif similar(head, own, least):
+                    found.append((node, b))
+            yield _pairs(found)
+
+    return rows.mapInArrow(compared, "a long, b long")
+
+
 def links(df: DataFrame, text: str = "text", width: int = WIDTH, least: float = LEAST, block: int = BLOCK) -> DataFrame:
     """(a, b) links of nodes that connect those that chains of near copies connect."""
     if not 0.8 <= least <= 1:
         raise ValueError(f"the bands are made for a similarity of 0.8 or more, not {least}")
     spark = df.sparkSession
-    texts = df.select(node(text).alias("node"), clean_text(text).alias("text"))
-
-    def keyed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            keys = [band_keys(shingle_set(t, width)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["node", "keys"])
-
-    once = texts.mapInArrow(keyed, "node long, keys array<long>").groupBy("node").agg(F.first("keys").alias("keys"))
-    keys = written(spark, once, "bands").select("node", F.explode("keys").alias("key"))
-    shared = written(spark, keys.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "shared")
-    led = components(spark, keys.join(shared, "key").filter("node != first").select(F.col("node").alias("a"), F.col("first").alias("b")))
-    led = led.union(led.select(F.col("root").alias("node"), "root").distinct())
-    sizes = written(spark, led.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("m")), "sizes")
-    led = written(spark, led.join(sizes, "root").select("node", "root", "m"), "candidates")
-    found = texts.join(led, "node").groupBy("node", "root", "m").agg(F.first("text").alias("text"))
-    # a block number for each text, and every pair of blocks that it takes part in
-    dealt = written(spark, found, "texts").withColumn("own", F.expr("cast(pmod(xxhash64(node), m) as int)"))
-    dealt = dealt.withColumn("pair", F.explode(F.expr("transform(sequence(0, m - 1), x -> struct(least(x, own) as i, greatest(x, own) as j))")))
-    dealt = dealt.select("root", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "node", "text")
-    grouped = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-
-    def rows(it: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in it:
-            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+    texts = df.select(node(text).alias("node"), clean_text(F.col(f"`{text}`")).alias("text"))
+    pairs = candidates(texts, width)
+    led = components(spark, pairs)
+    led = written(spark, led.union(led.select(F.col("root").alias("node"), "root").distinct()), "led")
+    sizes = written(spark, led.groupBy("root").agg(F.count("*").alias("n")), "sizes")
+    found = texts.join(led.select("node"), "node").groupBy("node").agg(F.first("text").alias("text"))
+    found = written(spark, found, "texts")
+    # large components: each text against the one that it is led to; what that connects has one label
+    large = written(spark, led.join(sizes.filter(F.col("n") > block), "root").select("node", "root"), "large")
+    first = written(spark, led_pairs(pairs.join(large.select(F.col("node").alias("a")), "a", "left_semi"), found, width, least, block), "led-links")
+    label = components(spark, first).withColumnRenamed("root", "label")
+    large = large.join(written(spark, label, "labels"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    small = led.join(large.select("node"), "node", "left_anti").select("node", "root", F.col("node").alias("label"))
+    nodes = written(spark, large.select("node", "root", "label").union(small), "nodes")
+    # series of blocks: one for the connected parts of more than a block each, one (part 0) for all other texts of a root
+    parts = nodes.groupBy("root", "label").agg(F.count("*").alias("n"))
+    big = written(spark, parts.filter(F.col("n") > block), "big")
+    parted = nodes.join(big.select("root", "label", F.lit(True).alias("_big")), ["root", "label"], "left").withColumn("series", F.when(F.col("_big"), F.col("label")))
+    parted = written(spark, parted.select("node", "root", "label", "series"), "parted")
+    series = parted.groupBy("root", "series").agg(F.ceil(F.count("*") / block).cast("int").alias("m"))
+    upto = F.sum("m").over(Window.partitionBy("root").orderBy("series"))  # a row for each series, of more than a block each
+    series = written(spark, series.select("root", "series", "m", (upto - F.col("m")).cast("int").alias("low"), F.sum("m").over(Window.partitionBy("root")).cast("int").alias("all")), "series")
+    dealt = parted.join(series.withColumnRenamed("root", "r").withColumnRenamed("series", "s"), (F.col("root") == F.col("r")) & F.col("series").eqNullSafe(F.col("s")))
+    dealt = dealt.withColumn("own", F.expr("low + cast(pmod(xxhash64(node), m) as int)"))
+    others = F.filter(F.sequence(F.lit(0), F.col("all") - 1), lambda x: F.col("series").isNull() | (x < F.col("low")) | (x >= F.col("low") + F.col("m")))
+    dealt = dealt.withColumn("pair", F.explode(F.transform(others, lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))))
+    rows = dealt.select("root", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "node", "label").join(found, "node").select("root", "i", "j", "node", "label", "text")
+    rows = rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
 
     def compared(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, group in groupby(rows(it), key=lambda r: r[:3]):
-            own = [(r[3], shingle_set(r[4], width)) for r in group]
-            pairs = spanning([x for x, _ in own], [s for _, s in own], least) if len(own) > 1 else []
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in range(2)], names=["a", "b"])
+        for _, group in groupby(_rows(it), key=lambda r: r[:3]):
+            own = [(r[3], shingle_set(r[5], width), r[4]) for r in group]
+            yield _pairs(spanning([x for x, _, _ in own], [s for _, s, _ in own], least, [x for _, _, x in own]) if len(own) > 1 else [])
 
-    return grouped.mapInArrow(compared, "a long, b long").distinct()
+    return first.union(rows.mapInArrow(compared, "a long, b long").distinct())
 
 
 def groups(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH, least: float = LEAST) -> DataFrame:
-    """id, node and root (the smallest node of the group) of every row."""
+    """node, root (the smallest node of the group), the smallest id among the rows with the node's text, whether they have
+    none, and how many of them have that id: a row a text."""
     led = written(df.sparkSession, components(df.sparkSession, links(df, text, width, least)), "led")
-    out = df.select(F.col(id), node(text).alias("node")).join(led, "node", "left")
-    return out.select(F.col(id), "node", F.coalesce("root", "node").alias("root"))
+    each = df.groupBy(node(text).alias("node"), F.col(f"`{id}`").alias("id")).agg(F.count("*").alias("rows"))
+    each = each.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rows")).alias("m"))
+    return each.join(led, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "m.*")
 
 
 def deduplicate(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH, least: float = LEAST) -> DataFrame:
     """df with one row of each group of near copies: the one with the smallest id, then the smallest node. A row
-    without an id stands only for a group in which no row has one."""
-    least_row = F.min(F.struct(F.col(id).isNull().alias("none"), F.col(id).alias("id"), "node"))
-    first = groups(df, id, text, width, least).groupBy("root").agg(least_row.alias("row"))
-    first = written(df.sparkSession, first.select(F.col("row.id").alias("_first"), F.col("row.node").alias("_node")), "first")
-    own = df.withColumn("_text_node", node(text))
-    kept = own.join(first, own[id].eqNullSafe(first["_first"]) & (own["_text_node"] == first["_node"]), "left_semi")
-    return kept.dropDuplicates([id, "_text_node"]).drop("_text_node")
+    without an id stands only for a group in which no row has one. Only rows that occur more than once are dealt anew."""
+    first = groups(df, id, text, width, least).groupBy("root").agg(F.min(F.struct("none", "id", "node", "rows")).alias("row"))
+    first = written(df.sparkSession, first.select(F.col("row.id").alias("_first"), F.col("row.node").alias("_node"), F.col("row.rows").alias("_rows")), "first")
+    kept = lambda rows: df.join(rows, F.col(f"`{id}`").eqNullSafe(F.col("_first")) & (node(text) == F.col("_node")), "left_semi")
+    once = kept(first.filter("_rows = 1"))
+    if not first.filter("_rows > 1").count():
+        return once
+    return once.union(kept(first.filter("_rows > 1")).withColumn("_text_node", node(text)).dropDuplicates([id, "_text_node"]).drop("_text_node"))

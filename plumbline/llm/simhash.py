@@ -15,7 +15,11 @@ Links.  Equal fingerprints are folded first. Only keys that several fingerprints
 blocks of bounded size; each pair of blocks is one group, in which every pair is compared, so no pair is lost and no
 group outgrows a task; a group gives a spanning forest of its links (at most one row a fingerprint), not all pairs.
 
-Components.  Smallest reachable id by alternating large-star and small-star steps, each written to the shared folder.
+Components.  Smallest reachable id by alternating large-star and small-star steps, each written to the shared folder; the
+steps halve paths, so 40 rounds (`most`) reach further than any graph that fits storage, and more raise an error.
+
+Fingerprints say little about a similarity of 0.8: `near_copies` is this operator's interface for that rule; it takes
+these links as candidates, adds others, and verifies them.
 
 Cases: null and empty texts have fingerprint zero and link with one another; a row with a null id gets a fingerprint
 and its component's smallest id (null if no row there has one); repeated rows give repeated rows of one component; an
@@ -61,7 +65,11 @@ def shingle_hashes(text: str, width: int, seed: int = SEED) -> np.ndarray:
 
 def fingerprint(text: str, width: int = 3, seed: int = SEED) -> int:
     """The 64-bit fingerprint of one text."""
-    hashes = shingle_hashes(text, width, seed)
+    return majority(shingle_hashes(text, width, seed))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in more than half of the hashes."""
     if not len(hashes):
         return 0
     total = np.zeros(64, np.int64)
