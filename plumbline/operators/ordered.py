@@ -24,9 +24,9 @@ def running(df: DataFrame, keys: list[str], order: str, totals: dict[str, str],
     Sums are formed in blocks, then over the few blocks of a group: two windows of bounded size.
     """
     own = in_blocks(df, keys, order, descending)
-    sums = own.groupBy(*keys, "_block").agg(*[F.sum(c).alias(f"_{c}") for c in totals])
+    sums = own.groupBy(*keys, "_block").agg(*[F.sum(c).alias(f"_earlier_{c}") for c in totals])
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select(*keys, "_block", *[F.coalesce(F.sum(f"_{c}").over(earlier), F.lit(0)).alias(f"_{c}") for c in totals])
+    before = sums.select(*keys, "_block", *[F.coalesce(F.sum(f"_earlier_{c}").over(earlier), F.lit(0)).alias(f"_earlier_{c}") for c in totals])
     inside = Window.partitionBy(*keys, "_block").orderBy(F.desc(order) if descending else F.asc(order)).rowsBetween(Window.unboundedPreceding, -1)
     both = own.join(before, [*keys, "_block"])
-    return both.withColumns({n: F.col(f"_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for c, n in totals.items()}).drop("_block", *[f"_{c}" for c in totals])
+    return both.withColumns({n: F.col(f"_earlier_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for c, n in totals.items()}).drop("_block", *[f"_earlier_{c}" for c in totals])

@@ -24,10 +24,10 @@ def conformal_threshold(calibration: DataFrame, keys: list[str], coverage: float
 
     Scores are counted by value, and the counts summed up in blocks of the order: no task sorts a whole group.
     """
-    counted = calibration.withColumn("s", 1 - F.element_at("p", F.col("label") + 1)).groupBy(*keys, "s").agg(F.count("*").alias("m"))
-    ranked = running(counted, keys, "s", {"m": "before"})
-    wanted = ranked.groupBy(*keys).agg(F.ceil((F.sum("m") + 1) * F.lit(float(coverage))).alias("k"))
-    reached = F.when(F.col("before") + F.col("m") >= F.col("k"), F.col("s"))
+    counted = calibration.select(*keys, (1 - F.element_at("p", F.col("label") + 1)).alias("_s")).groupBy(*keys, "_s").agg(F.count("*").alias("_m"))
+    ranked = running(counted, keys, "_s", {"_m": "_before"})
+    wanted = ranked.groupBy(*keys).agg(F.ceil((F.sum("_m") + 1) * F.lit(float(coverage))).alias("_k"))
+    reached = F.when(F.col("_before") + F.col("_m") >= F.col("_k"), F.col("_s"))
     return ranked.join(wanted, keys).groupBy(*keys).agg(F.coalesce(F.min(reached), F.lit(1.0)).alias("q"))
 
 
