@@ -102,10 +102,9 @@ class Automaton:
                 _, x, until = parts[x]
 
         for k, (u, v, w) in enumerate(merges):
-            if leads[u] < 0 or leads[v] < 0 or not path(u, v):
-                continue  # no path u, v: no arc w
-            if leads[w] >= 0:
-                raise ValueError(f"two merges that can be applied make token {w}: one arc label cannot stand for both")
+            # no path u, v: no arc w. A second merge to a known token has none: its bytes already make that token
+            if leads[u] < 0 or leads[v] < 0 or leads[w] >= 0 or not path(u, v):
+                continue
             parts[w] = u, v, k
             taken[u, v] = k
             leads[w] = leads[v]

@@ -45,7 +45,7 @@ def test_pipeline(spark, tmp_path):
     want = Counter()
     for i, d in left.items():
         rate = len(left) / (counts[d[3]] * len(counts))
-        u = int(hashlib.md5(f"7|{i}".encode()).hexdigest()[:13], 16) / 2**52
+        u = int(hashlib.md5(f"7|{i}|0".encode()).hexdigest()[:13], 16) / 2**52
         k, upto = 0, math.exp(-rate)
         while upto <= u:
             k += 1

@@ -51,7 +51,7 @@ def test_neighbours_whole_probe_is_exact_and_copies_tie_by_id(spark):
     rows = {i: rng.normal(size=8).tolist() for i in range(400)}
     rows |= {i: [1.0] * 8 for i in range(500, 700)}
     df = spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<double>")
-    got = neighbours.search(df, "vec_id % 100 = 0", probe=1.0, rerank=1000).collect()
+    got = neighbours.search(df, "vec_id % 100 = 0", coverage=1.0, rerank=1000).collect()
     want = brute(rows, [i for i in rows if i % 100 == 0])
     for q, ids in want.items():
         assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == ids
