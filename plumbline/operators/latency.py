@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.fixtures import table
 from plumbline.operators.metrics import r9
-from plumbline.operators.ordered import running
+from plumbline.operators.ordered import percentiles, running
 
 #: Spread of p50 in per cent beyond which a build is unstable; a session is discarded for a run or gap beyond
 #: the larger of so many seconds and so many median runs; and discarded sessions beyond which a build fails.
@@ -22,9 +22,12 @@ def timings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lat_summarise(t: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean, population deviation, least, p50, p95, p99 (interpolated) and most."""
-    p = F.percentile("ms", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    own = t.groupBy(*keys).agg(F.avg("ms").alias("mean"), F.stddev_pop("ms").alias("std"), F.min("ms").alias("least"), p.alias("p"), F.max("ms").alias("most"))
+    """Mean, population deviation, least, p50, p95, p99 (interpolated) and most. A session's runs are few; a build's may be
+    any number, so their percentiles are looked up in running counts."""
+    shares, few = [0.5, 0.95, 0.99], "session" in keys
+    p = [F.percentile("ms", F.array(*map(F.lit, shares))).alias("p")] if few else []
+    own = t.groupBy(*keys).agg(F.avg("ms").alias("mean"), F.stddev_pop("ms").alias("std"), F.min("ms").alias("least"), *p, F.max("ms").alias("most"))
+    own = own if few else own.join(percentiles(t, keys, "ms", shares), keys)
     return own.select(*keys, r9(F.col("mean")).alias("mean_ms"), F.round("std", 6).alias("std_ms"), r9(F.col("least")).alias("min_ms"), *[r9(F.col("p")[i]).alias(n) for i, n in enumerate(("p50_ms", "p95_ms", "p99_ms"))], r9(F.col("most")).alias("max_ms"))
 
 

@@ -127,10 +127,12 @@ def m_risk_curve(df: DataFrame) -> DataFrame:
 
 def m_risk_at(df: DataFrame, points: tuple[float, ...] = (1.0, 0.8, 0.5)) -> DataFrame:
     """Risk at coverages: points and every whole per cent; the index is max(1, half-even round of coverage * n)."""
-    grid = df.sparkSession.createDataFrame([(float(c),) for c in sorted({*points, *(i / 100 for i in range(1, 101))})], "coverage double")
-    n = df.groupBy(*CELL).agg(F.count("*").alias("n"))
-    wanted = n.crossJoin(F.broadcast(grid)).withColumn("k", F.greatest(F.lit(1), F.bround(F.col("coverage") * F.col("n"), 0)).cast("long"))
-    hit = tie_groups(df, CELL).join(written(df.sparkSession, wanted, "wanted"), CELL).filter("s < k and k <= s + m")  # 100 rows a cell against its tie groups
+    grid = F.array(*[F.lit(float(c)) for c in sorted({*points, *(i / 100 for i in range(1, 101))})])
+    k = lambda c: F.greatest(F.lit(1), F.bround(c * F.col("n"), 0)).cast("long")
+    wanted = df.groupBy(*CELL).agg(F.count("*").alias("n")).withColumn("_wanted", F.transform(grid, lambda c: F.struct(c.alias("coverage"), k(c).alias("k"))))
+    ties = tie_groups(df, CELL).join(written(df.sparkSession, wanted, "wanted"), CELL)
+    inside = F.filter("_wanted", lambda x: (F.col("s") < x["k"]) & (x["k"] <= F.col("s") + F.col("m")))
+    hit = ties.withColumn("_hit", F.explode(inside)).select("*", "_hit.*")
     return hit.select(*CELL, "coverage", "k", r9((F.col("before") + F.col("e") * (F.col("k") - F.col("s")) / F.col("m")) / F.col("k")).alias("risk"))
 
 
@@ -159,9 +161,9 @@ def m_aurc_all(df: DataFrame) -> DataFrame:
 
 def m_agreement(df: DataFrame) -> DataFrame:
     """Share of items for which the two builds give the same answer, in each condition."""
-    a = df.filter(F.col("build") == BUILDS[0]).select("model", "cond_id", "item", F.col("pred").alias("a"))
-    b = df.filter(F.col("build") == BUILDS[1]).select("model", "cond_id", "item", F.col("pred").alias("b"))
-    return a.join(b, ["model", "cond_id", "item"]).groupBy("model", "cond_id").agg(r9(F.avg((F.col("a") == F.col("b")).cast("double"))).alias("agreement"))
+    answer = lambda build: F.max(F.when(F.col("build") == build, F.col("pred")))
+    both = df.groupBy("model", "cond_id", "item").agg((answer(BUILDS[0]) == answer(BUILDS[1])).alias("same")).filter("same is not null")
+    return both.groupBy("model", "cond_id").agg(r9(F.avg(F.col("same").cast("double"))).alias("agreement"))
 
 
 def m_build_spread(df: DataFrame) -> DataFrame:

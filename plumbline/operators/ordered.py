@@ -30,3 +30,16 @@ def running(df: DataFrame, keys: list[str], order: str, totals: dict[str, str],
     inside = Window.partitionBy(*keys, "_block").orderBy(F.desc(order) if descending else F.asc(order)).rowsBetween(Window.unboundedPreceding, -1)
     both = own.join(before, [*keys, "_block"])
     return both.withColumns({n: F.col(f"_earlier_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for c, n in totals.items()}).drop("_block", *[f"_earlier_{c}" for c in totals])
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, shares: list[float], name: str = "p") -> DataFrame:
+    """keys and an array of percentiles, interpolated linearly and exact, of groups of any size: values are counted, and the
+    ranks wanted are looked up in running counts. (Spark's own percentile holds all distinct values of a group.)"""
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_m"))
+    ranked = running(counted, keys, "_v", {"_m": "_before"})
+    at = F.transform(F.array(*map(F.lit, shares)), lambda p: p * (F.sum("_m") - 1))
+    wanted = written(df.sparkSession, ranked.groupBy(*keys).agg(at.alias("_at")), "ranks")
+    near = ranked.join(wanted, keys).withColumn("_hit", F.filter("_at", lambda x: (F.ceil(x) >= F.col("_before")) & (F.floor(x) < F.col("_before") + F.col("_m")))).filter(F.size("_hit") > 0)
+    ends = [F.max(F.when((F.col("_before") <= end(F.col("_at")[i])) & (end(F.col("_at")[i]) < F.col("_before") + F.col("_m")), F.col("_v"))) for i in range(len(shares)) for end in (F.floor, F.ceil)]
+    part = [F.first(F.col("_at")[i] - F.floor(F.col("_at")[i])) for i in range(len(shares))]
+    return near.groupBy(*keys).agg(F.array(*[ends[2 * i] + (ends[2 * i + 1] - ends[2 * i]) * part[i] for i in range(len(shares))]).alias(name))

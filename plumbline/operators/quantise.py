@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.fixtures import table
 from plumbline.operators.metrics import r9
+from plumbline.operators.ordered import percentiles
 from plumbline.shared import written
 
 LEVELS = 255
@@ -33,7 +34,9 @@ def q_range_minmax(df: DataFrame) -> DataFrame:
 
 def q_range_percentile(df: DataFrame, p: float = 0.9999) -> DataFrame:
     """Symmetric range at a percentile of |x|, clipped to the least and most seen."""
-    own = long(calibration(df)).groupBy("channel").agg(F.min("x").alias("a"), F.max("x").alias("b"), F.percentile(F.abs("x"), F.lit(p)).alias("t"))
+    rows = long(calibration(df))
+    own = rows.groupBy("channel").agg(F.min("x").alias("a"), F.max("x").alias("b"))
+    own = own.join(percentiles(rows.withColumn("x", F.abs("x")), ["channel"], "x", [p]), "channel").withColumn("t", F.col("p")[0])
     return own.select("channel", r9(F.greatest(F.col("a"), -F.col("t"))).alias("lo"), r9(F.least(F.col("b"), F.col("t"))).alias("hi"))
 
 

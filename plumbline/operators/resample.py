@@ -275,8 +275,8 @@ def bs_e_aurc_diff_ci(df: DataFrame, b: int = B) -> DataFrame:
 def extra_gaps(df: DataFrame) -> DataFrame:
     """model, cond_id, item, x = (small - ref) under the condition minus (small - ref) on clean."""
     gap = df.groupBy("model", "cond_id", "item").agg(F.sum(F.when(F.col("build") == "small", F.col("correct")).otherwise(-F.col("correct"))).alias("g"))
-    clean = gap.filter("cond_id = 'clean'").select("model", "item", F.col("g").alias("g0"))
-    return gap.filter("cond_id <> 'clean'").join(clean, ["model", "item"]).select("model", "cond_id", "item", (F.col("g") - F.col("g0")).alias("x"))
+    clean = F.max(F.when(F.col("cond_id") == "clean", F.col("g"))).over(Window.partitionBy("model", "item"))  # an item's few conditions
+    return gap.withColumn("x", F.col("g") - clean).filter("cond_id <> 'clean' and x is not null").select("model", "cond_id", "item", "x")
 
 
 def bs_extra_gap(df: DataFrame, b: int = B) -> DataFrame:

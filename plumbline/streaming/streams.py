@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.fixtures import table
-from plumbline.operators.ordered import running
+from plumbline.operators.ordered import percentiles, running
 from plumbline.shared import shared_path, written
 
 N = 100
@@ -123,7 +123,7 @@ def q_count_alarm(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_threshold_join(spark: SparkSession, sf: str) -> DataFrame:
     """Events below their key's threshold from a static table of a row a key."""
-    limits = table(spark, sf, "events").groupBy("event_type").agg(F.round(F.percentile("value", F.lit(0.01)), 9).alias("threshold"))
+    limits = percentiles(table(spark, sf, "events"), ["event_type"], "value", [0.01]).select("event_type", F.round(F.col("p")[0], 9).alias("threshold"))
     limits = written(spark, limits, "thresholds")
     return run_append(Feed(spark, sf), lambda e: e.join(limits, "event_type").filter("value < threshold").select("event_id", "event_type", "value"), "st_threshold_join")
 
