@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _folders: set[str] = set()
@@ -51,4 +53,5 @@ def clear(spark: SparkSession, folder: str | None = None) -> None:
 
 def _end(spark: SparkSession, folder: str) -> None:
     if spark.sparkContext._jsc is not None:
-        clear(spark, folder)
+        with contextlib.suppress(Py4JError):  # the JVM may have gone first
+            clear(spark, folder)

@@ -26,6 +26,16 @@ def test_running_totals_equal_one_window(spark):
     assert ordered.running(df.limit(0), ["k"], "o", {"m": "s"}).count() == 0
 
 
+def test_percentiles_equal_numpy(spark):
+    rng = np.random.default_rng(6)
+    rows = [("a" if i % 2 else None, float(x)) for i, x in enumerate(rng.integers(0, 40, 501))] + [("b", 2.5), ("c", None)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    shares = [0.0, 0.01, 0.5, 0.9, 1.0]
+    got = {r.k: r.p for r in ordered.percentiles(df, ["k"], "x", shares).collect()}
+    assert set(got) == {"a", "b"} | ({None} & set(got))
+    assert np.allclose(got["a"], np.percentile([x for k, x in rows if k == "a"], [100 * s for s in shares])) and got["b"] == [2.5] * 5
+
+
 def test_weights_are_the_same_rows_and_poisson(spark):
     items = [3, 5, 8, -4, 2**40 + 1]
     matrix = resample.weight_matrix(np.array(items), 37, 2)
