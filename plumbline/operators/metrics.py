@@ -56,10 +56,10 @@ def m_nll(df: DataFrame, t: float = 1.0) -> DataFrame:
     return df.groupBy(*CELL).agg(r9(F.avg(S.nll(F.col("z"), F.col("label"), t))).alias("nll"))
 
 
-def m_temperature_fit(df: DataFrame, low: float = 0.1, high: float = 10.0, steps: int = 33, passes: int = 4) -> DataFrame:
+def m_temperature_fit(df: DataFrame, low: float = 0.1, high: float = 10.0, steps: int = 17, passes: int = 5) -> DataFrame:
     """The temperature with the least mean NLL, on a logarithmic grid that each pass narrows around its best point.
 
-    A pass reads each row once and forms the sums of all grid points; four passes of 33 end at a step below 1e-4 in
+    A pass reads each row once and forms the sums of all grid points; five passes of 17 end at a step below 1e-4 in
     the logarithm. at_end marks a fit at the end of the range.
     """
     import math
@@ -211,13 +211,13 @@ _AURC = f"{_GROUPS}, {_H}, area as (select {_C}, sum(t.e + (t.before - t.s * t.e
 _BIN = "greatest(0, least(14, ceil(confidence * 15) - 1))::int"
 
 
-def _temperature_sql(passes: int = 4) -> str:
+def _temperature_sql(passes: int = 5) -> str:
     nll = "round(avg(ln(list_sum(list_transform(z, lambda v: exp((v - zm) / t)))) + (zm - z[label + 1]) / t), 9)"
     ctes, source = "zs as materialized (select model, build, z, label, list_max(z) zm from scores where cond_id = 'clean' and split = 'tuning'), g0 as (select model, build, ln(0.1::double) lo, ln(10.0::double) hi, null::double t, null::double nll from zs group by 1, 2)", "g0"
     for i in range(1, passes + 1):
-        ctes += f""", p{i} as (select model, build, lo, hi, i, exp(lo + (hi - lo) * i / 32) t from {source} cross join range(0, 33) r(i)),
+        ctes += f""", p{i} as (select model, build, lo, hi, i, exp(lo + (hi - lo) * i / 16) t from {source} cross join range(0, 17) r(i)),
 a{i} as (select model, build, lo, hi, i, t, {nll} nll from zs join p{i} using (model, build) group by all),
-g{i} as (select model, build, greatest(ln(0.1::double), lo + (hi - lo) / 32 * i - (hi - lo) / 32) lo, least(ln(10.0::double), lo + (hi - lo) / 32 * i + (hi - lo) / 32) hi, t, nll from (select *, row_number() over (partition by model, build order by nll, i) rn from a{i}) where rn = 1)"""
+g{i} as (select model, build, greatest(ln(0.1::double), lo + (hi - lo) / 16 * i - (hi - lo) / 16) lo, least(ln(10.0::double), lo + (hi - lo) / 16 * i + (hi - lo) / 16) hi, t, nll from (select *, row_number() over (partition by model, build order by nll, i) rn from a{i}) where rn = 1)"""
         source = f"g{i}"
     return duck(f"select model, build, round(t, 6) temperature, nll, t < 0.1::double * 1.01 or t > 10.0::double / 1.01 at_end from g{passes}", "scores", more=ctes)
 
