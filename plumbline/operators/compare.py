@@ -23,11 +23,11 @@ def facts(df: DataFrame, b: int = B) -> DataFrame:
     clean, ref = like(lambda y: (y["cond_id"] == "clean") & (y["build"] == F.col("build"))), like(lambda y: (y["build"] == "ref") & (y["cond_id"] == F.col("cond_id")))
     own = own.withColumns({"_clean": clean, "_ref": ref}).drop("_near").filter("_clean is not null and _ref is not null")
     own = own.withColumns({"drop": F.col("correct") - F.col("_clean"), "cost": F.col("correct") - F.col("_ref")})
-    own = written(df.sparkSession, own, "facts")  # read twice: once for the means, once for the replicates
-    point = own.groupBy(*CELL).agg(F.count("*").alias("n"), r9(F.avg("correct")).alias("top1"), r9(F.avg("covered")).alias("coverage"), r9(F.avg("size")).alias("mean_size"), r9(F.avg("drop")).alias("drop"), r9(F.avg("cost")).alias("cost"), r9(F.avg("_ref")).alias("ref_top1"))
-    sums = boot_sums(own, CELL, ["covered", "drop", "cost"], b)
+    values = {"correct": "top1", "covered": "coverage", "size": "mean_size", "drop": "drop", "cost": "cost", "_ref": "ref_top1"}
+    sums = written(df.sparkSession, boot_sums(own, CELL, list(values), b, plain=True), "sums")
+    point = sums.filter("b = -1").select(*CELL, F.col("sw").cast("long").alias("n"), *[r9(F.col(v) / F.col("sw")).alias(n) for v, n in values.items()])
     ends = F.array(F.lit(0.025), F.lit(0.975))
-    wide = sums.groupBy(*CELL).agg(*[F.percentile(F.col(v) / F.col("sw"), ends).alias(f"_{v}") for v in ("covered", "drop", "cost")])
+    wide = sums.filter("b >= 0").groupBy(*CELL).agg(*[F.percentile(F.col(v) / F.col("sw"), ends).alias(f"_{v}") for v in ("covered", "drop", "cost")])
     named = wide.select(*CELL, *[r9(F.col(f"_{v}")[i]).alias(f"{p}_{e}") for v, p in (("covered", "cov"), ("drop", "drop"), ("cost", "cost")) for i, e in enumerate(("lo", "hi"))])
     return point.join(named, CELL)
 

@@ -70,16 +70,17 @@ def bs_weights(items: DataFrame, b: int = B, seed: int = SEED) -> DataFrame:
     return own.select("item", (2 * F.col("g") + F.col("d.j")).alias("b"), w.alias("w")).filter(F.col("b") < b)
 
 
-def boot_sums(df: DataFrame, keys: list[str], values: list[str], b: int = B, seed: int = SEED, item: str = "item") -> DataFrame:
-    """keys, b, sw and the weighted sum of each value (same name)."""
+def boot_sums(df: DataFrame, keys: list[str], values: list[str], b: int = B, seed: int = SEED, item: str = "item", plain: bool = False) -> DataFrame:
+    """keys, b, sw and the weighted sum of each value (same name); plain: the sums without weights too, as b = -1, so that
+    an estimate and its interval take one pass."""
     own = df.select(*keys, F.col(item).cast("long").alias("_item"), *[F.col(v).cast("double").alias(v) for v in values])
     schema = T.StructType([*(own.schema[k] for k in keys), T.StructField("b", T.IntegerType()), T.StructField("sw", T.DoubleType()), *[T.StructField(v, T.DoubleType()) for v in values]])
-    n = len(keys)
+    n, first = len(keys), -1 if plain else 0
 
     def give(held: dict[tuple, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for key, sums in held.items():
-            fixed = [pa.repeat(k, b) for k in key]
-            yield pa.RecordBatch.from_arrays([*fixed, pa.array(np.arange(b, dtype=np.int32)), *map(pa.array, sums)], names=schema.names)
+            fixed = [pa.repeat(k, b - first) for k in key]
+            yield pa.RecordBatch.from_arrays([*fixed, pa.array(np.arange(first, b, dtype=np.int32)), *map(pa.array, sums)], names=schema.names)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, np.ndarray] = {}
@@ -90,6 +91,8 @@ def boot_sums(df: DataFrame, keys: list[str], values: list[str], b: int = B, see
                 x = np.column_stack([np.ones(batch.num_rows), *(batch.column(n + 1 + i).to_numpy(zero_copy_only=False) for i in range(len(values)))])
                 for key, rows in _groups(batch, n):
                     sums = x[rows].T @ w[rows]
+                    if plain:
+                        sums = np.column_stack([x[rows].sum(axis=0), sums])
                     held[key] = held[key] + sums if key in held else sums
                 if len(held) > KEYS:
                     yield from give(held)
@@ -150,8 +153,9 @@ def interval(df: DataFrame, keys: list[str], value: Column, level: tuple[float,
 
 
 def bs_mean_ci(df: DataFrame, keys: list[str], value: str, b: int = B) -> DataFrame:
-    means = df.groupBy(*keys).agg(r9(F.avg(value)).alias("value"), F.count("*").alias("n"))
-    return means.join(interval(boot_sums(df, keys, [value], b), keys, F.col(value) / F.col("sw")), keys)
+    sums = written(df.sparkSession, boot_sums(df.select(*keys, "item", F.col(value).alias("x")), keys, ["x"], b, plain=True), "sums")
+    means = sums.filter("b = -1").select(*keys, r9(F.col("x") / F.col("sw")).alias("value"), F.col("sw").cast("long").alias("n"))
+    return means.join(interval(sums.filter("b >= 0"), keys, F.col("x") / F.col("sw")), keys)
 
 
 def paired(df: DataFrame, a: Column, b: Column, on: list[str], value: str = "correct") -> DataFrame:
@@ -168,8 +172,9 @@ def unpaired_items(df: DataFrame, a: Column, b: Column, on: list[str]) -> DataFr
 
 def difference_ci(diff: DataFrame, keys: list[str], b: int = B) -> DataFrame:
     """keys, n, count (whole items), value, lo, hi, side."""
-    point = diff.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("x").cast("long").alias("count"), r9(F.avg("x")).alias("value"))
-    return point.join(interval(boot_sums(diff, keys, ["x"], b), keys, F.col("x") / F.col("sw")), keys).withColumn("side", S.interval_side(F.col("lo"), F.col("hi")))
+    sums = written(diff.sparkSession, boot_sums(diff, keys, ["x"], b, plain=True), "sums")
+    point = sums.filter("b = -1").select(*keys, F.col("sw").cast("long").alias("n"), F.col("x").cast("long").alias("count"), r9(F.col("x") / F.col("sw")).alias("value"))
+    return point.join(interval(sums.filter("b >= 0"), keys, F.col("x") / F.col("sw")), keys).withColumn("side", S.interval_side(F.col("lo"), F.col("hi")))
 
 
 def bs_paired_diff(df: DataFrame, b: int = B) -> DataFrame:
