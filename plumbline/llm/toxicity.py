@@ -194,8 +194,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: str = "true", id: str = "doc
     if len(counts) < 2:
         return Model()
     own = docs.select(F.col(id).alias("_id"), clean_text(text).alias("_text"))
-    length = F.length("_text")
-    each = own.join(known, "_id").groupBy("_id", "_label").agg(F.min(F.struct(length.alias("n"), F.xxhash64("_text").alias("h"))).alias("t"))
+    sizes = own.select("_id", F.struct(F.length("_text").alias("n"), F.xxhash64("_text").alias("h")).alias("t"))  # no text is shuffled
+    each = sizes.join(known, "_id").groupBy("_id", "_label").agg(F.min("t").alias("t"))
     each = written(docs.sparkSession, each.select("_id", "_label", F.col("t.n").alias("n"), F.col("t.h").alias("h"), F.xxhash64(F.lit(11), "_id").alias("o")), "labelled")
     picked = [p for k, n in SAMPLE.items() for p in _fitting(each.filter((F.col("_label") == k) & (F.col("n") <= DOC_CHARS)), n, SAMPLE_CHARS[k])]
     if len({p[1] for p in picked}) < 2 <= each.select("_label").distinct().count():
