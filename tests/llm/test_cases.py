@@ -333,6 +333,22 @@ def test_toxicity_learns_from_repeated_ids_once(spark, tmp_path, monkeypatch):
     assert sorted(zip(*seen[0], strict=True)) == sorted(zip(*seen[1], strict=True)) and len(seen[0][0]) == 240
 
 
+def test_toxicity_sample_skips_what_does_not_fit(spark, tmp_path, monkeypatch):
+    fixture(spark, str(tmp_path))
+    docs, labels = (spark.read.parquet(f"{tmp_path}/{x}.parquet") for x in ("documents", "labels"))
+    first = [r.doc_id for r in labels.orderBy(F.xxhash64(F.lit(11), "doc_id")).limit(3).collect()]
+    text = F.when(F.col("doc_id").isin(first), F.repeat(F.concat("text", F.lit(" ")), 400)).otherwise(F.col("text"))
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", {1: 4_000, 0: 8_000})
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels, odds: seen.append((texts, labels)))
+    toxicity.train(docs.withColumn("text", text), labels)
+    size = Counter()
+    for t, y in zip(*seen[0], strict=True):
+        size[y] += len(t)
+        assert len(t) < 4_000
+    assert 3_500 < size[1] <= 4_000 and 7_500 < size[0] <= 8_000
+
+
 # ---- the pipeline's stages
 
 

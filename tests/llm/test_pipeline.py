@@ -45,11 +45,15 @@ def test_pipeline(spark, tmp_path):
     want = Counter()
     for i, d in left.items():
         rate = len(left) / (counts[d[3]] * len(counts))
-        u = int(hashlib.md5(f"7|{i}|0".encode()).hexdigest()[:13], 16) / 2**52
-        k, upto = 0, math.exp(-rate)
-        while upto <= u:
-            k += 1
-            upto += math.exp(-rate) * rate**k / math.factorial(k)
+        parts = math.ceil(rate / 32)
+        k = 0
+        for part in range(parts):
+            u = int(hashlib.md5(f"7|{i}|{part}".encode()).hexdigest()[:13], 16) / 2**52
+            n, upto = 0, math.exp(-rate / parts)
+            while upto <= u:
+                n += 1
+                upto += math.exp(-rate / parts) * (rate / parts) ** n / math.factorial(n)
+            k += n
         if k:
             want[i] = k
     assert Counter(r.doc_id for r in got) == want
