@@ -106,8 +106,9 @@ def _pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in range(2)], names=["a", "b"])
 
 
-def candidates(texts: DataFrame, width: int) -> DataFrame:
-    """(a, b): texts (node, text) led to a smaller one that they share a band or nearly a fingerprint with; written."""
+def candidates(texts: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b): texts (node, text) led to a smaller one that they share a band or nearly a fingerprint with; and each text once,
+    combined before it is shuffled. Both are written."""
     spark = texts.sparkSession
 
     def signed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,9 +118,9 @@ def candidates(texts: DataFrame, width: int) -> DataFrame:
                 hashes = shingle_hashes(t, width)
                 fps.append(majority(hashes))
                 keys.append(band_keys(_distinct(hashes)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["node", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["node", "text", "fp", "keys"])
 
-    once = texts.mapInArrow(signed, "node long, fp long, keys array<long>").groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    once = texts.mapInArrow(signed, "node long, text string, fp long, keys array<long>").groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "keys", "text")])
     once = written(spark, once, "signatures")
     keys = once.select("node", F.explode("keys").alias("key"))
     shared = written(spark, keys.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n"), "shared")
@@ -128,7 +129,7 @@ def candidates(texts: DataFrame, width: int) -> DataFrame:
     alike = once.select("node", "fp").join(leads, "fp").select(F.col("node").alias("a"), "b")
     near = written(spark, simhash.links(leads.select("fp")), "links")
     by_print = near.join(leads.select(F.col("fp").alias("a"), F.col("b").alias("x")), "a").join(leads.select(F.col("fp").alias("b"), F.col("b").alias("y")), "b").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
-    return written(spark, by_band.union(alike).union(by_print).filter("a != b").distinct(), "candidates")
+    return written(spark, by_band.union(alike).union(by_print).filter("a != b").distinct(), "candidates"), once.select("node", "text")
 
 
 def led_pairs(pairs: DataFrame, texts: DataFrame, width: int, least: float, block: int) -> DataFrame:
@@ -153,19 +154,10 @@ def led_pairs(pairs: DataFrame, texts: DataFrame, width: int, least: float, bloc
     return rows.mapInArrow(compared, "a long, b long")
 
 
-def links(df: DataFrame, text: str = "text", width: int = WIDTH, least: float = LEAST, block: int = BLOCK) -> DataFrame:
-    """(a, b) links of nodes that connect those that chains of near copies connect."""
-    if not 0.8 <= least <= 1:
-        raise ValueError(f"the bands are made for a similarity of 0.8 or more, not {least}")
-    spark = df.sparkSession
-    texts = df.select(node(text).alias("node"), clean_text(F.col(f"`{text}`")).alias("text"))
-    pairs = candidates(texts, width)
-    led = components(spark, pairs)
-    led = written(spark, led.union(led.select(F.col("root").alias("node"), "root").distinct()), "led")
-    sizes = written(spark, led.groupBy("root").agg(F.count("*").alias("n")), "sizes")
-    found = texts.join(led.select("node"), "node").groupBy("node").agg(F.first("text").alias("text"))
-    found = written(spark, found, "texts")
-    # large components: each text against the one that it is led to; what that connects has one label
+def _in_blocks(led: DataFrame, sizes: DataFrame, pairs: DataFrame, found: DataFrame, width: int, least: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """(links found on the way, rows root, i, j, node, label): the groups in which the texts that are not connected yet meet."""
+    spark = led.sparkSession
+    # in large components each text is compared with the one that it is led to; what that connects has one label
     large = written(spark, led.join(sizes.filter(F.col("n") > block), "root").select("node", "root"), "large")
     first = written(spark, led_pairs(pairs.join(large.select(F.col("node").alias("a")), "a", "left_semi"), found, width, least, block), "led-links")
     label = components(spark, first).withColumnRenamed("root", "label")
@@ -184,7 +176,25 @@ def links(df: DataFrame, text: str = "text", width: int = WIDTH, least: float =
     dealt = dealt.withColumn("own", F.expr("low + cast(pmod(xxhash64(node), m) as int)"))
     others = F.filter(F.sequence(F.lit(0), F.col("all") - 1), lambda x: F.col("series").isNull() | (x < F.col("low")) | (x >= F.col("low") + F.col("m")))
     dealt = dealt.withColumn("pair", F.explode(F.transform(others, lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))))
-    rows = dealt.select("root", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "node", "label").join(found, "node").select("root", "i", "j", "node", "label", "text")
+    return first, dealt.select("root", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "node", "label")
+
+
+def links(df: DataFrame, text: str = "text", width: int = WIDTH, least: float = LEAST, block: int = BLOCK) -> DataFrame:
+    """(a, b) links of nodes that connect those that chains of near copies connect."""
+    if not 0.8 <= least <= 1:
+        raise ValueError(f"the bands are made for a similarity of 0.8 or more, not {least}")
+    spark = df.sparkSession
+    texts = df.select(node(text).alias("node"), clean_text(F.col(f"`{text}`")).alias("text"))
+    pairs, once = candidates(texts, width)
+    led = components(spark, pairs)
+    led = written(spark, led.union(led.select(F.col("root").alias("node"), "root").distinct()), "led")
+    sizes = written(spark, led.groupBy("root").agg(F.count("*").alias("n")), "sizes")
+    found = written(spark, once.join(led.select("node"), "node", "left_semi"), "texts")
+    if sizes.filter(F.col("n") > block).limit(1).count():
+        first, dealt = _in_blocks(led, sizes, pairs, found, width, least, block)
+    else:
+        first, dealt = None, led.select("root", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", F.col("node").alias("label"))
+    rows = dealt.join(found, "node").select("root", "i", "j", "node", "label", "text")
     rows = rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
 
     def compared(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +202,8 @@ def links(df: DataFrame, text: str = "text", width: int = WIDTH, least: float =
             own = [(r[3], shingle_set(r[5], width), r[4]) for r in group]
             yield _pairs(spanning([x for x, _, _ in own], [s for _, s, _ in own], least, [x for _, _, x in own]) if len(own) > 1 else [])
 
-    return first.union(rows.mapInArrow(compared, "a long, b long").distinct())
+    near = rows.mapInArrow(compared, "a long, b long").distinct()
+    return first.union(near) if first is not None else near
 
 
 def groups(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH, least: float = LEAST) -> DataFrame:
