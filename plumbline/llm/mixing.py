@@ -65,13 +65,14 @@ def mix(df: DataFrame, weights: dict[str | None, float] | None = None, id: str =
     rate = written(df.sparkSession, rates(df.select(F.col(f"`{source}`")), weights, source), "rates").select("_source", "parts", "upto")
     rest = [c for c in df.columns if c not in ("copy", "shuffle_key")]
     own = df.select(*[F.col(f"`{c}`") for c in rest])
-    blocks = lambda r: own.join(r, F.col(f"`{source}`").eqNullSafe(F.col("_source"))).withColumn("_block", F.explode(F.expr(f"sequence(0L, (parts - 1) div {BLOCK})")))
-    dealt = blocks(rate.filter(f"parts <= {BLOCK}"))
+    rated = lambda r: own.join(r, F.col(f"`{source}`").eqNullSafe(F.col("_source")))
+    dealt = rated(rate.filter(f"parts <= {BLOCK}")).withColumn("_block", F.lit(0).cast("long"))
     if rate.filter(f"parts > {BLOCK}").count():  # few documents, each with very many copies
-        dealt = dealt.unionByName(blocks(rate.filter(f"parts > {BLOCK}")).repartition(F.xxhash64(f"`{id}`", "_block")))
-    parts = dealt.withColumn("_part", F.explode(F.expr(f"sequence(_block * {BLOCK}, least(parts, (_block + 1) * {BLOCK}) - 1)")))
-    parts = parts.withColumn("_u", F.expr(uniform(f"`{id}`", "_part", seed=seed))).withColumn("_n", F.expr("size(filter(upto, x -> x <= _u))"))
-    copies = parts.filter("_n > 0").withColumn("copy", F.explode(F.expr(f"sequence(_part * {COPIES} + 1, _part * {COPIES} + _n)")))
+        rare = rated(rate.filter(f"parts > {BLOCK}")).withColumn("_block", F.explode(F.expr(f"sequence(0L, (parts - 1) div {BLOCK})")))
+        dealt = dealt.unionByName(rare.repartition(F.xxhash64(f"`{id}`", "_block")))
+    drawn = f"element_at(transform(array({uniform(f'`{id}`', 'p', seed=seed)}), u -> size(filter(upto, x -> x <= u))), 1)"  # u once a part
+    parts = f"transform(sequence(_block * {BLOCK}, least(parts, (_block + 1) * {BLOCK}) - 1), p -> slice(sequence(p * {COPIES} + 1, (p + 1) * {COPIES} - 1), 1, {drawn}))"
+    copies = dealt.withColumn("copy", F.explode(F.expr(f"flatten({parts})")))
     copies = copies.withColumn("shuffle_key", F.expr(f"md5(concat_ws('|', '{seed}', coalesce(cast(`{id}` as string), ''), cast(copy as string)))"))
     return copies.select(*[F.col(f"`{c}`") for c in rest], "copy", "shuffle_key").repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
