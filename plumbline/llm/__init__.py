@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ["bpe", "token_counts", "simhash", "mixing", "sharding", "licences", "media", "toxicity", "html_text", "neighbours", "line_dedup", "divergence"]
+MODULES = ["bpe", "token_counts", "simhash", "mixing", "sharding", "licences", "media", "toxicity", "html_text", "neighbours", "line_dedup", "divergence", "collocations"]
 
 
 def _merged(name: str) -> dict:
