@@ -2,34 +2,103 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.shared import written
 
+#: Rows of a range, about, and of a block, but for its last tie.
+RANGE_ROWS, BLOCK_ROWS = 500_000, 20_000
+
+
+def in_ranges(df: DataFrame, keys: list[str], order: str, descending: bool = False, rows: int = RANGE_ROWS) -> DataFrame:
+    """df dealt into ranges of (keys, order) and sorted inside them. df is written first: Spark samples the ranges from it,
+    and the number of rows says how many ranges there are, so that a range is bounded however many rows come."""
+    own = written(df.sparkSession, df, "ordered")
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-own.count() // rows))
+    by = [*map(F.asc, keys), F.desc(order) if descending else F.asc(order)]
+    return own.repartitionByRange(parts, *by).sortWithinPartitions(*by)
+
+
+def _changes(batch: pa.RecordBatch, columns: list[str], last: tuple | None) -> tuple[np.ndarray, tuple]:
+    """Rows that differ from the one before them in some column (`last` is the row before the batch), and the last row."""
+    new = np.zeros(batch.num_rows, bool)
+    for c in columns:
+        codes = pc.dictionary_encode(batch.column(c), null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        new[1:] |= codes[1:] != codes[:-1]
+    new[0] = last != tuple(batch.column(c)[0].as_py() for c in columns)
+    return new, tuple(batch.column(c)[-1].as_py() for c in columns)
 
-def in_blocks(df: DataFrame, keys: list[str], order: str, descending: bool = False) -> DataFrame:
+
+def in_blocks(df: DataFrame, keys: list[str], order: str, descending: bool = False, rows: int = BLOCK_ROWS, size: str | None = None) -> DataFrame:
     """df with `_block`, written: rows of a block lie in order before those of the next one, and rows with equal keys
-    and order share a block. Spark samples the ranges, so a block is about one part of all rows, whatever the groups."""
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(parts, *keys, F.desc(order) if descending else F.asc(order))
-    return written(spark, dealt.withColumn("_block", F.spark_partition_id()), "blocks")
+    and order share a block. A block ends with the tie that fills it: it holds fewer than `rows` rows (the sum of `size`
+    over its rows, where that is given) besides its last tie."""
+    own = in_ranges(df, keys, order, descending)
+    schema = T.StructType([*own.schema.fields, T.StructField("_block", T.LongType())])
+
+    def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, upto, tie = TaskContext.get().partitionId(), None, 0, 0
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            new, last = _changes(batch, [*keys, order], last)
+            each = np.ones(batch.num_rows, np.int64) if size is None else batch.column(size).to_numpy(zero_copy_only=False).astype(np.int64)
+            before = upto + np.cumsum(each) - each
+            starts = np.where(new, before, -1)
+            starts[0] = before[0] if new[0] else tie
+            starts = np.maximum.accumulate(starts)  # what lies before the row's tie
+            upto, tie = int(before[-1] + each[-1]), int(starts[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((part << 32) + starts // rows)], names=schema.names)
+
+    return written(df.sparkSession, own.mapInArrow(cut, schema), "blocks")
 
 
 def running(df: DataFrame, keys: list[str], order: str, totals: dict[str, str], descending: bool = False) -> DataFrame:
     """df with a column for each of `totals` (column -> name): the sum of the column over the rows of the same keys that
     come earlier in the order. (keys, order) names a row.
 
-    Sums are formed in blocks, then over the few blocks of a group: two windows of bounded size.
+    One pass over each sorted range adds up what came earlier in it; the few ranges of a group are summed in a window, and
+    joined. Only the ranges are shuffled, and a task holds one running total.
     """
-    own = in_blocks(df, keys, order, descending)
-    sums = own.groupBy(*keys, "_block").agg(*[F.sum(c).alias(f"_earlier_{c}") for c in totals])
-    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select(*keys, "_block", *[F.coalesce(F.sum(f"_earlier_{c}").over(earlier), F.lit(0)).alias(f"_earlier_{c}") for c in totals])
-    inside = Window.partitionBy(*keys, "_block").orderBy(F.desc(order) if descending else F.asc(order)).rowsBetween(Window.unboundedPreceding, -1)
-    both = own.join(before, [*keys, "_block"])
-    return both.withColumns({n: F.col(f"_earlier_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for c, n in totals.items()}).drop("_block", *[f"_earlier_{c}" for c in totals])
+    own = in_ranges(df, keys, order, descending)
+    kinds = {c: T.LongType() if isinstance(own.schema[c].dataType, T.IntegralType) else T.DoubleType() for c in totals}
+    own = own.withColumns({f"_own_{c}": F.coalesce(F.col(c), F.lit(0)).cast(k) for c, k in kinds.items()})
+    schema = T.StructType([*own.schema.fields, T.StructField("_block", T.IntegerType()), *[T.StructField(f"_inside_{c}", k) for c, k in kinds.items()]])
+
+    def add_up(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, held = TaskContext.get().partitionId(), None, dict.fromkeys(totals, 0)
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            new, last = _changes(batch, keys, last)
+            first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+            goes_on = (first == 0) & ~new[0]
+            inside = []
+            for c in totals:
+                x = batch.column(f"_own_{c}").to_numpy(zero_copy_only=False)
+                before = np.cumsum(x) - x
+                before = before - before[first] + np.where(goes_on, held[c], 0)
+                held[c] = before[-1] + x[-1]
+                inside.append(pa.array(before))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, part, np.int32)), *inside], names=schema.names)
+
+    inner = written(df.sparkSession, own.mapInArrow(add_up, schema), "inside")
+    sums = inner.groupBy(*keys, "_block").agg(*[F.sum(f"_own_{c}").alias(f"_earlier_{c}") for c in totals])
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of a group
+    before = sums.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_block").alias("_of_block"), *[F.coalesce(F.sum(f"_earlier_{c}").over(earlier), F.lit(0)).alias(f"_earlier_{c}") for c in totals])
+    same = F.col("_block") == F.col("_of_block")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    both = inner.join(written(df.sparkSession, before, "earlier"), same)
+    return both.select(*df.columns, *[(F.col(f"_earlier_{c}") + F.col(f"_inside_{c}")).alias(n) for c, n in totals.items()])
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str, shares: list[float], name: str = "p") -> DataFrame:

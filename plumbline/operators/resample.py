@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from plumbline.fixtures import GOLDEN, LAST, MIX, OTHER, duck, poisson_steps, scores
 from plumbline.functions import scoring as S
 from plumbline.operators.metrics import aurc_columns, bin_of, harmonic, r9, scored, set_rows
-from plumbline.operators.ordered import in_blocks
+from plumbline.operators.ordered import BLOCK_ROWS, in_blocks
 from plumbline.operators.outcomes import CELL, outcomes
 from plumbline.shared import written
 
@@ -31,6 +31,8 @@ from plumbline.shared import written
 B, SEED = 1000, 0
 #: Rows that are multiplied at a time, and keys whose sums a task holds before it gives them out.
 ROWS, KEYS = 2_000, 500
+#: Items of equal confidence whose weights are summed before the items are put in order.
+HEAVY = 2_000
 
 _STEPS = np.searchsorted(np.array(poisson_steps()), np.arange(65536), "right").astype(np.float64)
 
@@ -214,37 +216,61 @@ def _harmonics(n: np.ndarray) -> np.ndarray:
     return np.where(n <= 40, near[np.minimum(n, 40).astype(np.int64)], far)
 
 
-def aurc_replicates(df: DataFrame, keys: list[str], b: int = B, seed: int = SEED) -> DataFrame:
+def aurc_blocks(df: DataFrame, keys: list[str], b: int = B, seed: int = SEED, heavy: int = HEAVY, rows: int = BLOCK_ROWS) -> DataFrame:
+    """keys, item, confidence, wrong, ties, tie_errors, `_block`: the items in blocks of the order of confidence. A tie of
+    more than `heavy` items is one row without an item: its weights are summed beforehand, in all tasks that read it, to a
+    vector of `b` sums of weights and one of weighted errors. Such a row counts for 50, so that a block holds about `rows`
+    numbers of rows at most, and `heavy` more in its last tie, whatever share of the items is equal."""
+    spark = df.sparkSession
+    own = written(spark, df.select(*keys, F.col("item").cast("long").alias("item"), "confidence", (1 - F.col("correct")).alias("wrong")), "aurc")
+    large = written(spark, own.groupBy(*keys, "confidence").agg(F.count("*").alias("_n")).filter(F.col("_n") > heavy).drop("_n"), "ties")
+    sums = boot_sums(own.join(large, [*keys, "confidence"], "left_semi"), [*keys, "confidence"], ["wrong"], b, seed)
+    packed = sums.groupBy(*keys, "confidence").agg(F.array_sort(F.collect_list(F.struct("b", "sw", "wrong"))).alias("p"))
+    none = F.lit(None)
+    tied = packed.select(*keys, none.cast("long").alias("item"), "confidence", none.cast("double").alias("wrong"), F.col("p.sw").alias("ties"), F.col("p.wrong").alias("tie_errors"), F.lit(50).alias("_size"))
+    single = own.join(large, [*keys, "confidence"], "left_anti")
+    single = single.select(*keys, "item", "confidence", "wrong", none.cast("array<double>").alias("ties"), none.cast("array<double>").alias("tie_errors"), F.lit(1).alias("_size"))
+    return in_blocks(single.unionByName(tied), keys, "confidence", descending=True, rows=rows, size="_size").drop("_size")
+
+
+def aurc_replicates(df: DataFrame, keys: list[str], b: int = B, seed: int = SEED, heavy: int = HEAVY, rows: int = BLOCK_ROWS) -> DataFrame:
     """keys, b, aurc and e_aurc: an item of weight w takes w places in its tie group.
 
-    Items are dealt into blocks of the order of confidence. One pass sums the weights of each block, so that a block
-    knows what lies before it in every replicate; a second walks each block, whose ties are whole.
+    Items are dealt into blocks of the order of confidence (`aurc_blocks`). One pass sums the weights of each block, so that
+    a block knows what lies before it in every replicate; a second walks each block, whose ties are whole.
     """
-    spark = df.sparkSession
-    rows = written(spark, df.select(*keys, "item", "confidence", (1 - F.col("correct")).alias("wrong")), "aurc")
-    rows = in_blocks(rows, keys, "confidence", descending=True)
-    sums = boot_sums(rows, [*keys, "_block"], ["wrong"], b, seed)
+    blocks = aurc_blocks(df, keys, b, seed, heavy, rows)
+    sums = boot_sums(blocks.filter("item is not null"), [*keys, "_block"], ["wrong"], b, seed)
+    tied = blocks.filter("item is null").select(*keys, "_block", F.posexplode(F.arrays_zip("ties", "tie_errors")).alias("b", "t"))
+    sums = sums.unionByName(tied.select(*keys, "_block", "b", F.col("t.ties").alias("sw"), F.col("t.tie_errors").alias("wrong"))).groupBy(*keys, "_block", "b").agg(F.sum("sw").alias("sw"), F.sum("wrong").alias("wrong"))
     w = Window.partitionBy(*keys, "b").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block of a cell
     before = sums.select(*keys, "_block", "b", *[F.coalesce(F.sum(c).over(w), F.lit(0.0)).alias(c) for c in ("sw", "wrong")])
     packed = before.groupBy(*keys, "_block").agg(F.array_sort(F.collect_list(F.struct("b", "sw", "wrong"))).alias("p"))
     packed = packed.select(*keys, "_block", F.col("p.sw").alias("s"), F.col("p.wrong").alias("e"))
-    schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField("b", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in ("a", "n", "e")]])
+    schema = T.StructType([*(blocks.schema[k] for k in keys), T.StructField("b", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in ("a", "n", "e")]])
 
     def walk(group: pa.Table, start: pa.Table) -> pa.Table:
         if not group.num_rows:
             return schema_arrow.empty_table()
-        group = group.sort_by([("confidence", "descending")])
-        items, c, wrong = (group.column(n).to_numpy() for n in ("item", "confidence", "wrong"))
+        group = group.sort_by([("confidence", "descending")]).combine_chunks()
+        c, ties, errors = group.column("confidence").to_numpy(), group.column("ties").combine_chunks(), group.column("tie_errors").combine_chunks()
+        single = group.column("item").is_valid().to_numpy()
+        items, wrong = (group.column(n).fill_null(0).to_numpy() for n in ("item", "wrong"))
         s, e = (np.array(start.column(n)[0].values) for n in ("s", "e"))
         first_s, first_e, area, h = s, e, np.zeros(b), _harmonics(s)
-        ties = np.append(np.flatnonzero(np.append(True, c[1:] != c[:-1])), len(c))
+        cuts = np.append(np.flatnonzero(np.append(True, c[1:] != c[:-1])), len(c))
         at = 0
-        while at < len(ties) - 1:
-            to = max(at + 1, int(np.searchsorted(ties, ties[at] + ROWS, "right")) - 1)
-            low, high = int(ties[at]), int(ties[to])
-            weights = weight_matrix(items[low:high], b, seed)
-            cut = ties[at:to] - low
-            m, f = np.add.reduceat(weights, cut, axis=0), np.add.reduceat(weights * wrong[low:high, None], cut, axis=0)
+        while at < len(cuts) - 1:
+            to = max(at + 1, int(np.searchsorted(cuts, cuts[at] + ROWS, "right")) - 1)
+            low, high = int(cuts[at]), int(cuts[to])
+            weights, wrongs = np.empty((high - low, b)), np.empty((high - low, b))
+            own = single[low:high]
+            weights[own] = weight_matrix(items[low:high][own], b, seed)
+            wrongs[own] = weights[own] * wrong[low:high][own, None]
+            for i in np.flatnonzero(~own).tolist():
+                weights[i], wrongs[i] = ties[low + i].values.to_numpy(), errors[low + i].values.to_numpy()
+            cut = cuts[at:to] - low
+            m, f = np.add.reduceat(weights, cut, axis=0), np.add.reduceat(wrongs, cut, axis=0)
             upto_s, upto_e = s + np.cumsum(m, axis=0), e + np.cumsum(f, axis=0)
             hs = _harmonics(upto_s)
             share = f / np.maximum(m, 1)
@@ -257,7 +283,7 @@ def aurc_replicates(df: DataFrame, keys: list[str], b: int = B, seed: int = SEED
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema_arrow = to_arrow_schema(schema)
-    walked = rows.groupBy(*keys, "_block").cogroup(packed.groupBy(*keys, "_block")).applyInArrow(walk, schema)
+    walked = blocks.groupBy(*keys, "_block").cogroup(packed.groupBy(*keys, "_block")).applyInArrow(walk, schema)
     sums = walked.groupBy(*keys, "b").agg(*[F.sum(c).alias(c) for c in ("a", "n", "e")])
     n, c = F.col("n"), F.col("n") - F.col("e")
     best = (n - c) / n - (c / n) * (harmonic(n.cast("long")) - harmonic(c.cast("long")))
