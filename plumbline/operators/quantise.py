@@ -109,6 +109,12 @@ def extra_error(t: DataFrame) -> DataFrame:
     return e.crossJoin(F.broadcast(n)).select("tensor", "e", (F.col("tensor") < F.col("k")).alias("early"))
 
 
+def first_ones(df: DataFrame, order: list[Column], k: int, place: str = "place") -> DataFrame:
+    """The first k rows with their places: each task keeps its own k, and these are merged; k is small."""
+    first = df.orderBy(*order).limit(k).agg(F.collect_list(F.struct(*df.columns)).alias("_rows"))
+    return first.select(F.posexplode("_rows").alias("_at", "_row")).select((F.col("_at") + 1).cast("int").alias(place), "_row.*")
+
+
 def q_divergence(t: DataFrame, low: float = 10.0) -> DataFrame:
     """Per condition: first tensor below `low` dB, largest single drop, median over tensors of the mean SQNR."""
     mean = t.groupBy("cond", "tensor").agg(F.round(F.avg("db"), 6).alias("db"))
@@ -129,7 +135,7 @@ QUERIES = {
     "q_local_vs_total": lambda s, d: tensors(vectors(s, d)).filter("cond = 'clean'").withColumns({"ts": F.sum("s").over(Window.partitionBy("item").orderBy("tensor")), "tn": F.sum("n").over(Window.partitionBy("item").orderBy("tensor"))}).select("item", "tensor", F.round("db", 5).alias("local_db"), F.round(decibel(F.col("ts"), F.col("tn")), 5).alias("total_db")),
     "q_divergence": lambda s, d: q_divergence(tensors(vectors(s, d))),
     "q_extra_error": lambda s, d: extra_error(tensors(vectors(s, d))).groupBy("early").agg(F.count("*").alias("tensors"), F.round(F.median("e"), 5).alias("median_e")),
-    "q_top_tensors": lambda s, d: extra_error(tensors(vectors(s, d))).withColumn("place", F.row_number().over(Window.orderBy(F.desc("e"), "tensor"))).filter("place <= 5").select("place", "tensor", F.round("e", 5).alias("e"), "early"),
+    "q_top_tensors": lambda s, d: first_ones(extra_error(tensors(vectors(s, d))), [F.desc("e"), F.asc("tensor")], 5).select("place", "tensor", F.round("e", 5).alias("e"), "early"),
 }
 _L = "with l as materialized (select vec_id item, unnest(range(0, len(embedding)))::int channel, unnest(embedding)::double x from embeddings), r as (select channel, round(min(x), 9) lo, round(max(x), 9) hi from l where item % 4 = 0 group by 1)"
 _QS = f"""{_L}, sc as (select channel, scale, round_even(-lo / scale, 0) as zero from (select channel, lo, case when hi > lo then (hi - lo) / 255 else 1.0::double end scale from (select channel, least(lo, 0) lo, greatest(hi, 0) hi from r))),

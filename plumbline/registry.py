@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["operators.scalars", "operators.splits", "operators.metrics", "operators.resample", "operators.compare", "operators.alarm", "operators.latency", "operators.quantise", "operators.damage", "operators.quality", "operators.text_checks", "streaming.streams", "sources.files", "plans.labels"]
+MODULES = ["operators.scalars", "operators.splits", "operators.metrics", "operators.resample", "operators.compare", "operators.alarm", "operators.latency", "operators.quantise", "operators.sketches", "operators.damage", "operators.quality", "operators.text_checks", "streaming.streams", "streaming.keyed", "sources.files", "plans.labels"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
