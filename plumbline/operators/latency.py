@@ -75,16 +75,15 @@ def lat_rows_sorted(t: DataFrame) -> DataFrame:
     return running(own, [], "_order", {"_one": "_before"}).select("build", "session", "p50_ms", (F.col("_before") + 1).alias("place"))
 
 
-def speed_ratio(t: DataFrame, labelled: str, reference: str) -> DataFrame:
-    """Labelled over reference p50 in each session, and whether it is slower."""
-    each = lat_summarise(t, ["build", "session"])
-    a = each.filter(F.col("build") == labelled).select("session", F.col("p50_ms").alias("new"))
-    b = each.filter(F.col("build") == reference).select("session", F.col("p50_ms").alias("old"))
-    return a.join(b, "session").select("session", r9(F.col("new") / F.col("old")).alias("ratio"), (F.col("new") > F.col("old")).alias("slower"))
-
-
-def two_builds(spark: SparkSession, sf: str) -> list[str]:
-    return [r.event_type for r in table(spark, sf, "events").groupBy("event_type").count().orderBy("event_type").limit(2).collect()]
+def speed_ratio(t: DataFrame, reference: str | None = None) -> DataFrame:
+    """Each build's p50 over the reference's in every session that both have, and whether it is slower. The reference is
+    the build of that name, or the first one by name."""
+    each = lat_summarise(t, ["build", "session"]).select("build", "session", "p50_ms")
+    named = each.agg(F.min("build").alias("_first")) if reference is None else t.sparkSession.createDataFrame([(reference,)], "_first string")
+    each = each.crossJoin(F.broadcast(named))  # one row
+    old = each.filter("build = _first").select("session", F.col("p50_ms").alias("old"))
+    own = each.filter("build <> _first").join(old, "session")
+    return own.select("build", "session", r9(F.col("p50_ms") / F.col("old")).alias("ratio"), (F.col("p50_ms") > F.col("old")).alias("slower"))
 
 
 QUERIES = {
@@ -96,7 +95,7 @@ QUERIES = {
     "lat_window": lambda s, d: lat_window(timings(s, d)),
     "lat_rates": lambda s, d: lat_rates(timings(s, d)),
     "lat_rows_sorted": lambda s, d: lat_rows_sorted(timings(s, d)),
-    "cmp_speed_ratio": lambda s, d: speed_ratio(timings(s, d), *two_builds(s, d)),
+    "cmp_speed_ratio": lambda s, d: speed_ratio(timings(s, d)),
 }
 _T = """with t as materialized (select build, session, row_number() over (partition by build, session order by us, event_id)::int run, us / 1e6::double as start, us / 1e6::double + ms / 1000 as stop, ms from
  (select event_type build, user_id session, epoch_us(ts) us, event_id, abs(value) ms from events)),
@@ -112,5 +111,5 @@ ORACLE = {
     "lat_window": f"{_T} select build, strftime(to_timestamp(floor(min(start))) at time zone 'UTC', '%Y-%m-%dT%H:%M:%SZ') first_start, strftime(to_timestamp(floor(max(stop))) at time zone 'UTC', '%Y-%m-%dT%H:%M:%SZ') last_end from t group by 1",
     "lat_rates": f"{_T} select build, count(*) passes, round(median(r), 9) median_rate, round(min(r), 9) slowest_rate from (select build, session, count(*) / (sum(ms) / 1000) r from t group by 1, 2) group by 1",
     "lat_rows_sorted": f"{_T} select build, session, p50_ms, row_number() over (order by build, p50_ms desc, session) place from s",
-    "cmp_speed_ratio": f"{_T}, k as (select build, row_number() over (order by build) k from (select distinct build from t)) select a.session, round(a.p50_ms / b.p50_ms, 9) ratio, a.p50_ms > b.p50_ms slower from s a join s b using (session) join k ka on ka.build = a.build and ka.k = 1 join k kb on kb.build = b.build and kb.k = 2",
+    "cmp_speed_ratio": f"{_T} select a.build, a.session, round(a.p50_ms / b.p50_ms, 9) ratio, a.p50_ms > b.p50_ms slower from s a join s b using (session) where b.build = (select min(build) from s) and a.build <> b.build",
 }

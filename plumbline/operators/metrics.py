@@ -9,7 +9,7 @@ from plumbline.fixtures import BUILDS, duck, scores
 from plumbline.functions import scoring as S
 from plumbline.operators.ordered import running
 from plumbline.operators.outcomes import BUILD, CELL, clean_thresholds, conformal_threshold, outcomes, with_sets
-from plumbline.shared import written
+from plumbline.shared import kept, written
 
 BINS = 15
 
@@ -188,8 +188,13 @@ def m_sanity(df: DataFrame, published: DataFrame, most: float = 0.010) -> DataFr
     return got.join(published, "model").select("model", r9(F.col("top1")).alias("top1"), "published", r9(F.col("top1") - F.col("published")).alias("difference"), (F.abs(F.col("top1") - F.col("published")) <= most).alias("ok"))
 
 
-def scored(spark: SparkSession, sf: str, **k) -> DataFrame:
-    return outcomes(scores(spark, sf, **k))
+def scored(spark: SparkSession, sf: str, models: int = 1, conds: list[str] | None = None) -> DataFrame:
+    """The outcomes, built once in an application and kept by item: every metric of theirs reads the columns it needs, and
+    pairing builds or conditions by item takes no exchange."""
+    few = conds if models > 1 else None  # of one model all conditions are kept together
+    key = ("outcomes", sf, models, *(few or ()))
+    own = kept(spark, key, lambda: outcomes(scores(spark, sf, models=models, conds=few)), "item")
+    return own if conds is None or few else own.filter(F.col("cond_id").isin(conds))
 
 
 def set_rows(spark: SparkSession, sf: str) -> DataFrame:

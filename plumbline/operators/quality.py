@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.fixtures import table
+from plumbline.shared import written
 
 
 def problems(df: DataFrame, keys: list[str], checks: dict[str, str]) -> DataFrame:
@@ -94,28 +95,23 @@ def build_status() -> Column:
     return F.when(F.col("export_diff").isNull(), "no sanity check").when((F.col("export_diff") < 1e-4) & F.col("checks_ok") & (F.col("agreement") >= 0.20), "usable").otherwise("failed")
 
 
-def flatten_json(spark: SparkSession) -> None:
-    """Registers flatten_json(document): a row (path, value) for each leaf of a JSON text."""
-    from pyspark.sql.functions import udtf
-
-    class Flatten:
-        def eval(self, document: str):
-            import json
-
-            def leaves(x, path: str):
-                if isinstance(x, dict) and x:
-                    for k, v in x.items():
-                        yield from leaves(v, f"{path}.{k}" if path else k)
-                elif isinstance(x, list) and x:
-                    for i, v in enumerate(x):
-                        yield from leaves(v, f"{path}[{i}]")
-                else:
-                    yield path, json.dumps(x)
-
-            if document is not None:
-                yield from leaves(json.loads(document), "")
-
-    spark.udtf.register("flatten_json", udtf(Flatten, returnType="path string, value string"))
+def flatten_json(docs: DataFrame, keys: list[str], doc: str = "doc") -> DataFrame:
+    """keys, path, value: a row for each leaf of JSON documents; a leaf's value is JSON text. Objects and arrays are opened a
+    level at a time by built-in functions over variants, as many times as the deepest document has levels; empty ones are
+    leaves. A null document has no leaves."""
+    spark = docs.sparkSession
+    level = docs.select(*keys, F.lit("").alias("path"), F.parse_json(F.col(doc)).alias("v")).filter("v is not null")
+    leaves = None
+    while True:
+        level = level.withColumn("_open", F.expr("to_json(v) not in ('{}', '[]') and schema_of_variant(v) rlike '^(OBJECT|ARRAY)'"))
+        own = level.filter("not _open").select(*keys, "path", F.to_json("v").alias("value"))
+        leaves = own if leaves is None else leaves.unionByName(own)
+        nested = written(spark, level.filter("_open").select(*keys, "path", F.to_json("v").alias("_text")), "nested")
+        if nested.isEmpty():
+            return leaves
+        rows = spark.sql(f"select {', '.join(f'n.{k}' for k in keys)}, n.path as _above, e.pos, e.key, e.value as v from {{nested}} n, lateral variant_explode(parse_json(n._text)) e", nested=nested)
+        path = F.when(F.col("key").isNull(), F.concat("_above", F.lit("["), "pos", F.lit("]"))).when(F.col("_above") == "", F.col("key")).otherwise(F.concat_ws(".", "_above", "key"))
+        level = rows.select(*keys, path.alias("path"), "v")
 
 
 def documents_json(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -125,19 +121,16 @@ def documents_json(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return r.select("id", body(F.col("n_items"), F.lit("a")).alias("doc")), r.select("id", body(F.col("n_items") + F.when(F.col("id") % 9 == 0, 1).otherwise(0), F.when(F.col("id") % 4 == 0, "b").otherwise("a")).alias("doc"))
 
 
-def json_diff(spark: SparkSession, old: DataFrame, new: DataFrame) -> DataFrame:
+def json_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """Leaf-by-leaf differences of documents with the same id; null where a side lacks the leaf."""
-    flatten_json(spark)
-    old.createOrReplaceTempView("_old_docs")
-    new.createOrReplaceTempView("_new_docs")
-    a = spark.sql("select id, path, value as old from _old_docs, lateral flatten_json(doc)")
-    b = spark.sql("select id, path, value as new from _new_docs, lateral flatten_json(doc)")
+    a = flatten_json(old, ["id"]).withColumnRenamed("value", "old")
+    b = flatten_json(new, ["id"]).withColumnRenamed("value", "new")
     both = a.join(b, ["id", "path"], "full").filter(~F.col("old").eqNullSafe(F.col("new")))
     return both.withColumn("group", F.when(F.col("path").startswith("source."), "source").otherwise("other"))
 
 
 def q_json(spark: SparkSession, sf: str) -> DataFrame:
-    return json_diff(spark, *documents_json(spark, sf))
+    return json_diff(*documents_json(spark, sf))
 
 
 def q_allowed(spark: SparkSession, sf: str) -> DataFrame:
@@ -171,7 +164,7 @@ QUERIES = {
     "lab_sources": lambda s, d: records(s, d).select("name", "sha").filter("sha is not null").distinct(),
     "lab_load_sorted": lambda s, d: records(s, d).filter("schema_version = 2").groupBy(F.lower("name").alias("address")).agg(F.count("*").alias("n"), F.min("id").alias("first_id")).withColumn("duplicate", F.col("n") > 1),
     "lab_document": lambda s, d: records(s, d).groupBy("build").agg(F.to_json(F.struct(F.first("build").alias("build_id"), F.array_sort(F.collect_list(F.struct("id", "kind", "dataset"))).alias("measurements"))).alias("document")),
-    "work_grid_todo": lambda s, d: builds(s, d).filter(build_status() == "usable").select("build").crossJoin(F.broadcast(records(s, d).select("dataset").distinct())).join(records(s, d).filter("schema_version = 2 and sha is not null").select("build", "dataset").distinct(), ["build", "dataset"], "left_anti"),
+    "work_grid_todo": lambda s, d: builds(s, d).filter(build_status() == "usable").select("build").crossJoin(written(s, records(s, d).select("dataset").distinct(), "datasets")).join(records(s, d).filter("schema_version = 2 and sha is not null").select("build", "dataset").distinct(), ["build", "dataset"], "left_anti"),
 }
 _REC = "with r as materialized (select " + ", ".join(f"({e})::{_DOUBLE[n]} as {n}" if n in _DOUBLE else f"{e} as {n}" for n, e in RECORD.items()) + " from supplier)"
 _BUILDS = "b as (select *, case when export_diff is null then 'no sanity check' when export_diff < 1e-4::double and checks_ok and agreement >= 0.20::double then 'usable' else 'failed' end status from (select s_suppkey n, concat(case when s_suppkey % 54 = 0 then 'B' else 'b' end, s_suppkey::varchar) build, (case when s_suppkey % 4 = 3 then null else s_suppkey % 12 / 100000.0 end)::double export_diff, s_suppkey % 5 <> 2 checks_ok, s_acctbal::double / 10000 agreement from supplier))"

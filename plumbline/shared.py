@@ -5,11 +5,13 @@ from __future__ import annotations
 import atexit
 import contextlib
 import uuid
+from collections.abc import Callable
 
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _folders: set[str] = set()
+_kept: dict[tuple, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,8 +46,23 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(spark: SparkSession, key: tuple, build: Callable[[], DataFrame], bucket: str) -> DataFrame:
+    """A table that the application builds once and keeps in its folder, bucketed by a column: groupings by that column
+    and others, and joins on it alone, need no exchange. `key` says what the table was made from."""
+    own = (spark.sparkContext.applicationId, *key)
+    if own not in _kept:
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        name = f"kept_{uuid.uuid4().hex}"
+        rows = build().repartition(parts, bucket)  # one file a bucket
+        rows.write.format("parquet").bucketBy(parts, bucket).option("path", shared_path(spark, "kept")).saveAsTable(name)
+        _kept[own] = name
+    return spark.table(_kept[own])
+
+
 def clear(spark: SparkSession, folder: str | None = None) -> None:
     """Removes what this application wrote to the shared folder; tables read from it are gone then."""
+    for own in [k for k in _kept if k[0] == spark.sparkContext.applicationId]:
+        del _kept[own]
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder or shared_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
