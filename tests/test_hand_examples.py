@@ -236,7 +236,7 @@ def test_each_broken_rule_is_found_once(spark):
 def test_json_diff_finds_missing_and_changed_leaves(spark):
     old = spark.createDataFrame([(1, '{"a": {"b": [1, 2]}, "c": null}')], "id int, doc string")
     new = spark.createDataFrame([(1, '{"a": {"b": [1, 3, 4]}, "c": null}')], "id int, doc string")
-    got = {(r.path, r.old, r.new) for r in quality.json_diff(spark, old, new).collect()}
+    got = {(r.path, r.old, r.new) for r in quality.json_diff(old, new).collect()}
     assert got == {("a.b[1]", "2", "3"), ("a.b[2]", None, "4")}
 
 

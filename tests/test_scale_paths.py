@@ -84,6 +84,58 @@ def test_aurc_replicates_equal_brute_force(spark):
         assert abs(got[b].aurc - area / s) < 1e-9 and abs(got[b].e_aurc - (area / s - best)) < 1e-9
 
 
+def test_aurc_of_heavy_ties_in_bounded_blocks(spark):
+    """A third of the items has one confidence, more have a few others: groups in Python stay below the limits."""
+    rng, n, b = np.random.default_rng(8), 3_000, 5
+    confidence = np.where(np.arange(n) % 3 == 0, 0.75, rng.integers(0, 900, n) / 900)
+    confidence[1::30] = 0.5
+    wrong = (rng.random(n) < 0.3).astype(float)
+    rows = [("m" if i % 2 else "n", i, float(c), float(1 - w)) for i, (c, w) in enumerate(zip(confidence, wrong, strict=True))]
+    df = spark.createDataFrame(rows, "model string, item long, confidence double, correct double")
+    blocks = resample.aurc_blocks(df, ["model"], b, heavy=20, rows=100)
+    sizes = blocks.groupBy("model", "_block").agg(F.count("*").alias("n"), F.count("ties").alias("tied"))
+    largest = sizes.agg(F.max("n"), F.sum("tied"), F.sum("n"), F.countDistinct("_block")).first()
+    assert largest[0] < 120 and largest[1] >= 3 and largest[2] < n - 900 and largest[3] > 10
+    got = {(r.model, r.b): (r.aurc, r.e_aurc) for r in resample.aurc_replicates(df, ["model"], b, heavy=20, rows=100).collect()}
+    plain = {(r.model, r.b): (r.aurc, r.e_aurc) for r in resample.aurc_replicates(df, ["model"], b).collect()}
+    assert set(got) == set(plain) and len(got) == 2 * b
+    assert all(np.allclose(got[k], plain[k], atol=1e-12) for k in got)
+
+
+def test_blocks_end_with_whole_ties(spark):
+    rng = np.random.default_rng(9)
+    rows = [("a" if i % 5 else None, float(x), i % 4 + 1) for i, x in enumerate(rng.integers(0, 300, 4000))]
+    df = spark.createDataFrame(rows, "k string, o double, size int")
+    for size in (None, "size"):
+        own = ordered.in_blocks(df, ["k"], "o", rows=50, size=size).collect()
+        held = {}
+        for r in own:
+            held.setdefault(r._block, []).append(r)
+        assert len(own) == 4000 and max(sum(r.size if size else 1 for r in v) for v in held.values()) < 50 + 60 * (3 if size else 1)
+        ties = {}
+        for r in own:
+            ties.setdefault((r.k, r.o), set()).add(r._block)
+        assert all(len(v) == 1 for v in ties.values())
+        for k in ("a", None):
+            order = sorted((r._block, r.o) for r in own if r.k == k)
+            assert [o for _, o in order] == sorted(o for _, o in order)
+
+
+def test_running_totals_of_nulls_and_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "RANGE_ROWS", 100)
+    rng = np.random.default_rng(10)
+    rows = [(None if i % 3 else "b", i, float(x), None if i % 11 == 0 else i % 7) for i, x in enumerate(rng.permutation(3000))]
+    df = spark.createDataFrame(rows, "k string, i int, o double, m int")
+    ranges = ordered.in_ranges(df, ["k"], "o", rows=100)
+    assert ranges.rdd.getNumPartitions() == 30
+    got = {r.i: (r.s, r.t) for r in ordered.running(df, ["k"], "o", {"m": "s", "o": "t"}).collect()}
+    for k in (None, "b"):
+        s = t = 0
+        for r in sorted((r for r in rows if r[0] == k), key=lambda r: r[2]):
+            assert got[r[1]] == (s, t)
+            s, t = s + (r[3] or 0), t + r[2]
+
+
 def test_random_windows_hold_different_items(spark):
     df = spark.createDataFrame([(i, 1.0 if i < 12 else 0.0) for i in range(30)], "item long, confidence double")
     for n in (12, 30):
@@ -143,3 +195,14 @@ def test_harmonics():
         want = sum(1 / k for k in range(1, n + 1))
         assert abs(resample._harmonics(np.array([float(n)]))[0] - want) < 1e-12
     assert alarm.attempts(1000, 100) > 100
+
+
+def test_pairing_by_item_takes_no_exchange(spark):
+    """Outcomes are kept by item; what is left to shuffle are sums of cells and replicates."""
+    own = metrics.scored(spark, "/root/testdata/sf0.001")
+    assert metrics.scored(spark, "/root/testdata/sf0.001").count() == own.count() > 1000
+    item_sums = [own.groupBy("model", "cond_id", "item").count(), resample.extra_gaps(own), metrics.m_agreement(own)]
+    for df in item_sums:
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "item" not in "".join(line for line in plan.splitlines() if "Exchange" in line), plan
