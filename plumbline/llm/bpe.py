@@ -9,7 +9,10 @@ the tokens that later merges build with it on their left. In preorder of the tre
 neighbours, so a state's missing arcs are a sorted list of intervals. All states' lists, end to end, are the
 transition table.
 
-Encode.  Words (pre-split by the tokenizer's pattern) are read left to right. A byte trie lists the tokens
+Words.  Texts are pre-split by the tokenizer's pattern. What a letter, a digit and a space is, is asked from the library
+for every code point when the vocabulary is compiled, as its Unicode tables and those of Python's `regex` differ.
+
+Encode.  Words are read left to right. A byte trie lists the tokens
 that start at each position; the transition table says which of them the state there has an arc for. Exactly
 one token arrives at every position, so the walk is deterministic and its work is linear in the word's length.
 
@@ -23,9 +26,11 @@ through, and results replace columns of the same name. Long texts are one row of
 from __future__ import annotations
 
 import json
+import re
 from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -40,6 +45,8 @@ from plumbline.llm.common import byte_chunks, clean_text, table
 
 #: The byte-level pre-split pattern of the vocabulary (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: What of the pattern depends on Unicode tables.
+CLASSES = {"letter": r"\p{L}", "digit": r"\p{N}", "space": r"\s"}
 #: Words kept with their tokens in each Python worker.
 CACHE_WORDS = 400_000
 #: Words encoded at a time.
@@ -63,11 +70,57 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _code_points(low: int, high: int) -> str:
+    return "".join(map(chr, range(low, high)))
+
+
+def library_classes(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """For every code point the class (place in CLASSES; 3: none of them) that Python's `regex` and the library's pre-split
+    give it. Runs of one class in `regex` are asked for as a whole, those that the library cuts sign by sign."""
+    from tokenizers import Tokenizer
+
+    split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+    own, surrogates = np.full(0x110000, 3, np.int8), slice(0xD800, 0xE000)
+    text = _code_points(0, 0xD800) + "!" * 0x800 + _code_points(0xE000, 0x110000)
+    for i, pattern in enumerate(CLASSES.values()):
+        own[[m.start() for m in regex.finditer(pattern, text)]] = i
+    found = own.copy()
+    edges = np.flatnonzero(np.diff(own, prepend=-1, append=-1))
+    for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        i = int(own[low])
+        if i == 2 or len(split("a1 !"[i] + text[low:high])) > 1:
+            for c in text[low:high]:
+                found[ord(c)] = next((k for k, x in ((0, "a"), (1, "1"), (3, "!")) if len(split(x + c)) == 1), 2)
+    found[surrogates] = own[surrogates]
+    return own, found
+
+
+def _ranges(points: np.ndarray) -> str:
+    """A set of code points as ranges of a pattern's class."""
+    edges = np.flatnonzero(np.diff(points.astype(np.int8), prepend=0, append=0))
+    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges.reshape(-1, 2).tolist())
+
+
+@lru_cache(maxsize=4)
+def library_pattern(path: str) -> tuple[str, str]:
+    """PATTERN with the library's classes, for `regex`, and a class of the code points that need it (empty: none)."""
+    own, found = library_classes(path)
+    if (own == found).all():
+        return PATTERN, ""
+    names = []
+    for i, name in enumerate(CLASSES.values()):
+        more, less = _ranges((found == i) & (own != i)), _ranges((own == i) & (found != i))
+        names.append(f"[[{name}{more}]--[{less}]]" if less else f"[{name}{more}]" if more else name)
+    letter, digit, space = names
+    other = f"[^{space}{letter}{digit}]"
+    return rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?{letter}+| ?{digit}+| ?{other}+|{space}+(?![^{space}])|{space}+", f"[{_ranges(own != found)}]"
+
+
 class Automaton:
     """The compiled automaton as plain arrays, fit to be broadcast: its size is bounded by the vocabulary."""
 
-    def __init__(self, tokens: dict[int, bytes], merges: list[tuple[int, int, int]], special: dict[str, int]):
-        self.special = special
+    def __init__(self, tokens: dict[int, bytes], merges: list[tuple[int, int, int]], special: dict[str, int], pattern: tuple[str, str] = (PATTERN, "")):
+        self.special, self.pattern = special, pattern
         self.n = max([*tokens, *special.values()]) + 1
         self.labels = [tokens.get(i, b"") for i in range(self.n)]
         for text, i in special.items():
@@ -292,7 +345,7 @@ def compile_file(path: str) -> Automaton:
     merges = [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]
     special = {x["content"]: x["id"] for x in file["added_tokens"]}
     tokens = {i: bytes(letters[c] for c in t) for t, i in vocab.items() if i not in special.values()}
-    return Automaton(tokens, merges, special)
+    return Automaton(tokens, merges, special, library_pattern(path))
 
 
 class Encoder:
@@ -300,10 +353,16 @@ class Encoder:
 
     def __init__(self, automaton: Automaton):
         self.automaton, self.words = automaton, {}
-        self.find = regex.compile(PATTERN).findall
+        exact, odd = automaton.pattern
+        self.exact, self.plain = regex.compile(exact).findall, regex.compile(PATTERN).findall
+        self.odd = re.compile(odd).search if odd else None
         names = sorted(automaton.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
 
+    def find(self, text: str) -> list[str]:
+        """The words of a text without special strings; the plain pattern is faster where it gives the same."""
+        return (self.exact if self.odd and not text.isascii() and self.odd(text) else self.plain)(text)
+
     def split(self, text: str) -> list[str]:
         if self.special and self.special.search(text):
             out = []
