@@ -12,7 +12,8 @@ and for pieces without a safe boundary, the tokenizers library does.
 
 Cases: a null text counts as empty (0 bytes, 0 tokens); texts of any length are counted whole; a null id stays null;
 repeated rows give repeated rows;
-an empty table gives an empty table; other columns pass through and results replace columns of the same name.
+an empty table gives an empty table; other columns but the text pass through and results replace columns of the same
+name.
 """
 
 from __future__ import annotations
@@ -100,27 +101,27 @@ _counters: dict[str, Counter] = {}
 
 
 def count_tokens(df: DataFrame, text: str = "text", out: str = "n_tokens", path: str | None = None) -> DataFrame:
-    """df with the number of tokens of `text`."""
+    """df without `text`, with its number of tokens: texts go to Python, lengths come back."""
     path = path or default_path()
-    rest = [c for c in df.columns if c != out]
-    df = df.select(*[clean_text(c).alias(c) if c == text else F.col(f"`{c}`") for c in rest])
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.LongType())])
-    at = rest.index(text)
+    rest = [c for c in df.columns if c not in (text, out)]
+    df = df.select(*[F.col(f"`{c}`") for c in rest], clean_text(F.col(f"`{text}`")).alias(text))
+    schema = T.StructType([*df.schema.fields[:-1], T.StructField(out, T.LongType())])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _counters:
             _counters[path] = Counter(path)
         for batch in it:
-            counts = _counters[path](batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64())], names=[*rest, out])
+            counts = _counters[path](batch.column(len(rest)).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.int64())], names=[*rest, out])
 
     return df.mapInArrow(batches, schema)
 
 
 def report(docs: DataFrame, limit: int = 1024, path: str | None = None) -> DataFrame:
     """doc_id, n_bytes, n_tokens and whether the tokens exceed the limit."""
-    counted = count_tokens(docs.select("doc_id", clean_text("text").alias("text")), path=path)
-    return counted.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    text = clean_text("text")
+    counted = count_tokens(docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text")), path=path)
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
