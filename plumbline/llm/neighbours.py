@@ -14,7 +14,13 @@ holds, less twice the sum of table entries of the query, one table for each subs
 exact distance in double precision. A block gives its best `k` for each query; the best of those over all blocks are
 the result, ties to the smaller id.
 
-A higher coverage or more reranked vectors raise the recall, up to an exact search.
+A higher coverage or more reranked vectors raise the recall, up to an exact search. Equal vectors of a block count as
+one when the best are chosen, so copies neither fill the rerank nor hide one another: the copies with the smallest ids are
+all there for the exact order.
+
+Range.  Approximate work is done in single precision on vectors scaled by a power of two, so that the median vector's
+largest component is about one, and clipped at `CLIP`: very large and very small tables lose nothing, and single vectors
+of another size do no harm. Exact distances use the vectors as they are, scaled where squares would overflow or vanish.
 
 Cases: vectors that are null, zero, not of the common dimension, or hold null or non-finite components take no part,
 nor do null ids; of several rows of one id the one with the least vector counts, as candidate and as query; ties go to
@@ -38,6 +44,10 @@ from plumbline.llm.common import table, written
 SAMPLE = 20_000
 #: Lists, at most (the fitting sample is 262,144 vectors then).
 LISTS = 16_384
+#: Bytes of the fitting sample, at most.
+SAMPLE_BYTES = 256 << 20
+#: Largest component of a scaled vector in approximate work.
+CLIP = 1e6
 #: Vectors of a block, about.
 BLOCK = 4096
 #: Sampled queries that the number of probed lists is measured with.
@@ -118,6 +128,26 @@ def _exact(column: pa.Array, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), float).reshape(-1, dim)
 
 
+def approximate(x: np.ndarray, scale: float) -> np.ndarray:
+    """Vectors in single precision, scaled and clipped."""
+    with np.errstate(over="ignore", under="ignore"):
+        return np.clip(x * scale, -CLIP, CLIP).astype(np.float32)
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances along the last axis, in double precision; scaled where squares overflow or vanish."""
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        out = np.sqrt(((a - b) ** 2).sum(axis=-1))
+        odd = ~((out > 1e-140) & (out < np.inf))
+        if odd.any():
+            a, b = np.broadcast_arrays(a, b)
+            half = a[odd] / 2 - b[odd] / 2  # no overflow
+            most = np.abs(half).max(axis=-1)
+            unit = np.where(most > 0, most, 1.0)
+            out[odd] = np.sqrt(((half / unit[..., None]) ** 2).sum(axis=-1)) * unit * 2
+    return out
+
+
 def search(df: DataFrame, queries: str, id: str = "vec_id", vector: str = "embedding", k: int = 10, coverage: float = 0.97, parts: int = 32, rerank: int = 40, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id and score (Euclidean distance); queries: SQL over df, the rows to take as queries."""
     spark = df.sparkSession
@@ -128,7 +158,11 @@ def search(df: DataFrame, queries: str, id: str = "vec_id", vector: str = "embed
     dim, n = sizes[0]
     rows = rows.filter(F.size("vector") == dim)
     lists = max(1, min(LISTS, math.isqrt(n)))
-    sample = _matrix(rows.orderBy(F.xxhash64(F.lit(3), "id"), "id").limit(max(SAMPLE, 16 * lists)).select("vector").toArrow().column("vector").combine_chunks(), dim).astype(np.float32)
+    size = F.array_max(F.transform("vector", lambda x: F.abs(x)))
+    scale = 2.0 ** -math.frexp(rows.agg(F.percentile_approx(size, 0.5)).first()[0])[1]
+    most = min(max(SAMPLE, 16 * lists), max(1, SAMPLE_BYTES // (8 * dim)))
+    sample = rows.orderBy(F.xxhash64(F.lit(3), "id"), "id").limit(most).select("vector").toArrow().column("vector").combine_chunks()
+    sample = approximate(_matrix(sample, dim), scale)
     model = Quantiser(sample, lists, parts)
     least, enough = model.probes(sample, k, coverage), 4 * k
     shared = spark.sparkContext.broadcast(model)
@@ -136,7 +170,7 @@ def search(df: DataFrame, queries: str, id: str = "vec_id", vector: str = "embed
     def quantise(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             exact = _matrix(batch.column(1), dim)
-            x = exact.astype(np.float32)
+            x = approximate(exact, scale)
             at = nearest(x, shared.value.coarse)
             codes = shared.value.codes(x, at) if len(x) else np.zeros((0, 1), np.uint8)
             known = shared.value.known(codes, at) if len(x) else np.zeros(0, np.float32)
@@ -155,7 +189,7 @@ def search(df: DataFrame, queries: str, id: str = "vec_id", vector: str = "embed
         for batch in it:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                order = shared.value.order(_exact(part.column("exact"), dim))
+                order = shared.value.order(approximate(_exact(part.column("exact"), dim), scale))
                 reach = np.cumsum(size[order], axis=1) - size[order]
                 row, col = np.nonzero(((np.arange(len(size)) < least) | (reach <= enough)) & (size[order] > 0))
                 at = order[row, col]
@@ -186,7 +220,7 @@ def search(df: DataFrame, queries: str, id: str = "vec_id", vector: str = "embed
                 if keys[a, 2] == 0:
                     vectors.append(batch.slice(a, b - a))
                 elif vectors:
-                    ready = ready or Held(pa.Table.from_batches(vectors), dim)
+                    ready = ready or Held(pa.Table.from_batches(vectors), dim, scale, k)
                     yield ready.best(batch.slice(a, b - a), shared.value, k, rerank)
 
     found = both.mapInArrow(runs, "query_id long, vec_id long, score double")
@@ -195,13 +229,23 @@ def search(df: DataFrame, queries: str, id: str = "vec_id", vector: str = "embed
 
 
 class Held:
-    """The vectors of a block, in order of their ids: ties go to the smaller."""
+    """The vectors of a block: each different one once, with the smallest ids of its copies. k of them and one more (the
+    query may be a copy itself) are all that a result can hold."""
 
-    def __init__(self, rows: pa.Table, dim: int):
+    def __init__(self, rows: pa.Table, dim: int, scale: float, k: int):
         rows = rows.sort_by("id")
-        self.dim, self.ids = dim, rows.column("id").to_numpy()
-        self.codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(len(self.ids), -1)
-        self.known, self.exact = rows.column("known").to_numpy(), _exact(rows.column("exact"), dim)
+        self.dim, self.scale, ids = dim, scale, rows.column("id").to_numpy()
+        exact = _exact(rows.column("exact"), dim) + 0.0  # -0 is 0
+        _, first, own = np.unique(exact.view(np.dtype((np.void, 8 * dim)))[:, 0], return_index=True, return_inverse=True)
+        order = np.argsort(own, kind="stable")
+        counts = np.bincount(own, minlength=len(first))
+        starts = np.cumsum(counts) - counts
+        width = int(min(k + 1, counts.max()))
+        place = np.arange(width)[None] + starts[:, None]
+        self.ids = np.where(np.arange(width)[None] < counts[:, None], ids[order[np.minimum(place, len(ids) - 1)]], -1)
+        self.none = np.arange(width)[None] >= counts[:, None]
+        self.codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)[first]
+        self.known, self.exact = rows.column("known").to_numpy()[first], exact[first]
 
     def best(self, queries: pa.RecordBatch, model: Quantiser, k: int, rerank: int) -> pa.RecordBatch:
         """The k nearest of the block for each query, but the query's own row."""
@@ -210,18 +254,18 @@ class Held:
         for i in range(0, len(q), 64):
             part, own = q[i : i + 64], q_ids[i : i + 64]
             near = np.zeros((len(part), len(self.ids)), np.float32)
-            for m, t in enumerate(model.tables(part.astype(np.float32))):
+            for m, t in enumerate(model.tables(approximate(part, self.scale))):
                 near += t[:, self.codes[:, m]]
             near = self.known - 2 * near
-            near[own[:, None] == self.ids[None]] = np.inf
-            few = min(rerank, len(self.ids))
-            top = np.sort(np.argpartition(near, few - 1, axis=1)[:, :few], axis=1)
-            dist = np.sqrt(((self.exact[top] - part[:, None]) ** 2).sum(axis=2))
-            dist[own[:, None] == self.ids[top]] = np.inf
-            order = dist.argsort(axis=1, kind="stable")[:, :k]
-            top, dist = np.take_along_axis(top, order, 1), np.take_along_axis(dist, order, 1)
-            row, col = np.nonzero(np.isfinite(dist))
-            found.append((own[row], self.ids[top[row, col]], dist[row, col]))
+            few = min(rerank + 1, len(self.ids))  # the query itself may be among them
+            top = np.argpartition(near, few - 1, axis=1)[:, :few]
+            dist = np.repeat(distances(self.exact[top], part[:, None])[:, :, None], self.ids.shape[1], axis=2)
+            ids = self.ids[top]
+            gone = self.none[top] | (ids == own[:, None, None])
+            dist, ids, gone = (x.reshape(len(part), -1) for x in (dist, ids, gone))
+            order = np.lexsort((ids, dist, gone), axis=1)[:, :k]
+            row, col = np.nonzero(~np.take_along_axis(gone, order, 1))
+            found.append((own[row], np.take_along_axis(ids, order, 1)[row, col], np.take_along_axis(dist, order, 1)[row, col]))
         out = [np.concatenate(x) for x in zip(*found, strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["query_id", "vec_id", "score"])
 
