@@ -11,10 +11,12 @@ candidates too: 32 bands of 6 values, a pair at 0.8 shares none with a probabili
 are led to the smallest of it, which makes as many links as rows, not pairs; the components of all these links hold
 every candidate pair.
 
-Verification.  A component of up to `BLOCK` texts is one group, in which all sets are compared. In larger ones each text
+Names.  A text is named by its MD5: at 128 bits different texts do not share a name.
+
+Verification.  A component of up to `BLOCK` texts and `BLOCK_BYTES` bytes is one group, in which all sets are compared. In larger ones each text
 is first compared with the text that it was led to, in groups of bounded size: that connects most of a large group of
 copies in linear work. Then only texts that are not connected yet are compared: connected parts of more than a block
-have blocks of their own, the others share blocks, and each pair of blocks is a group, but pairs inside one connected
+have blocks of their own, the others share blocks (so many that a block holds about `BLOCK` texts or `BLOCK_BYTES` bytes), and each pair of blocks is a group, but pairs inside one connected
 part. A pair is left out only where its sizes rule 0.8 out or where verified links connect it already.
 
 Cases: null texts count as empty; repeated rows are one text; a text shorter than five words is one shingle; ties (equal
@@ -39,8 +41,8 @@ from plumbline.llm.simhash import components, majority, shingle_hashes
 
 WIDTH, LEAST = 5, 0.8
 BANDS, ROWS = 32, 6
-#: Texts of a block; a group compares two blocks.
-BLOCK = 256
+#: Texts and bytes of a block, about; a group compares two blocks.
+BLOCK, BLOCK_BYTES = 256, 16_000_000
 
 _FACTORS = np.random.default_rng(5).integers(0, 1 << 63, BANDS * ROWS, np.uint64) << np.uint64(1) | np.uint64(1)
 
@@ -64,10 +66,10 @@ def band_keys(own: np.ndarray) -> np.ndarray:
 
 def node(text: str) -> Column:
     """Names a text: equal texts are one node."""
-    return F.xxhash64(clean_text(F.col(f"`{text}`")))
+    return F.md5(clean_text(F.col(f"`{text}`")))
 
 
-def spanning(nodes: list[int], sets: list[np.ndarray], least: float, labels: list[int] | None = None) -> list[tuple[int, int]]:
+def spanning(nodes: list[str], sets: list[np.ndarray], least: float, labels: list[str] | None = None) -> list[tuple[str, str]]:
     """Links that span the components of the sets under a similarity of `least` or more; sets with equal labels are
     connected already."""
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
@@ -102,8 +104,13 @@ def _rows(it: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
 
-def _pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in range(2)], names=["a", "b"])
+def _pairs(pairs: list[tuple[str, str]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.string()) for k in range(2)], names=["a", "b"])
+
+
+def _blocks(block: int) -> Column:
+    """How many blocks the rows of a group make, by their number and their bytes."""
+    return F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int")
 
 
 def candidates(texts: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
@@ -120,7 +127,7 @@ def candidates(texts: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
                 keys.append(band_keys(_distinct(hashes)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["node", "text", "fp", "keys"])
 
-    once = texts.mapInArrow(signed, "node long, text string, fp long, keys array<long>").groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "keys", "text")])
+    once = texts.mapInArrow(signed, "node string, text string, fp long, keys array<long>").groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "keys", "text")], F.first(F.octet_length("text")).cast("long").alias("bytes"))
     once = written(spark, once, "signatures")
     keys = once.select("node", F.explode("keys").alias("key"))
     shared = written(spark, keys.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n"), "shared")
@@ -129,7 +136,7 @@ def candidates(texts: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     alike = once.select("node", "fp").join(leads, "fp").select(F.col("node").alias("a"), "b")
     near = written(spark, simhash.links(leads.select("fp")), "links")
     by_print = near.join(leads.select(F.col("fp").alias("a"), F.col("b").alias("x")), "a").join(leads.select(F.col("fp").alias("b"), F.col("b").alias("y")), "b").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
-    return written(spark, by_band.union(alike).union(by_print).filter("a != b").distinct(), "candidates"), once.select("node", "text")
+    return written(spark, by_band.union(alike).union(by_print).filter("a != b").distinct(), "candidates"), once.select("node", "bytes", "text")
 
 
 def led_pairs(pairs: DataFrame, texts: DataFrame, width: int, least: float, block: int) -> DataFrame:
@@ -151,25 +158,25 @@ def led_pairs(pairs: DataFrame, texts: DataFrame, width: int, least: float, bloc
                     found.append((node, b))
             yield _pairs(found)
 
-    return rows.mapInArrow(compared, "a long, b long")
+    return rows.mapInArrow(compared, "a string, b string")
 
 
 def _in_blocks(led: DataFrame, sizes: DataFrame, pairs: DataFrame, found: DataFrame, width: int, least: float, block: int) -> tuple[DataFrame, DataFrame]:
     """(links found on the way, rows root, i, j, node, label): the groups in which the texts that are not connected yet meet."""
     spark = led.sparkSession
     # in large components each text is compared with the one that it is led to; what that connects has one label
-    large = written(spark, led.join(sizes.filter(F.col("n") > block), "root").select("node", "root"), "large")
+    large = written(spark, led.join(sizes.filter("m > 1"), "root").select("node", "root", "bytes"), "large")
     first = written(spark, led_pairs(pairs.join(large.select(F.col("node").alias("a")), "a", "left_semi"), found, width, least, block), "led-links")
     label = components(spark, first).withColumnRenamed("root", "label")
     large = large.join(written(spark, label, "labels"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    small = led.join(large.select("node"), "node", "left_anti").select("node", "root", F.col("node").alias("label"))
-    nodes = written(spark, large.select("node", "root", "label").union(small), "nodes")
+    small = led.join(large.select("node"), "node", "left_anti").select("node", "root", "bytes", F.col("node").alias("label"))
+    nodes = written(spark, large.select("node", "root", "bytes", "label").union(small), "nodes")
     # series of blocks: one for the connected parts of more than a block each, one (part 0) for all other texts of a root
-    parts = nodes.groupBy("root", "label").agg(F.count("*").alias("n"))
-    big = written(spark, parts.filter(F.col("n") > block), "big")
+    parts = nodes.groupBy("root", "label").agg(_blocks(block).alias("m"))
+    big = written(spark, parts.filter("m > 1"), "big")
     parted = nodes.join(big.select("root", "label", F.lit(True).alias("_big")), ["root", "label"], "left").withColumn("series", F.when(F.col("_big"), F.col("label")))
-    parted = written(spark, parted.select("node", "root", "label", "series"), "parted")
-    series = parted.groupBy("root", "series").agg(F.ceil(F.count("*") / block).cast("int").alias("m"))
+    parted = written(spark, parted.select("node", "root", "bytes", "label", "series"), "parted")
+    series = parted.groupBy("root", "series").agg(_blocks(block).alias("m"))
     upto = F.sum("m").over(Window.partitionBy("root").orderBy("series"))  # a row for each series, of more than a block each
     series = written(spark, series.select("root", "series", "m", (upto - F.col("m")).cast("int").alias("low"), F.sum("m").over(Window.partitionBy("root")).cast("int").alias("all")), "series")
     dealt = parted.join(series.withColumnRenamed("root", "r").withColumnRenamed("series", "s"), (F.col("root") == F.col("r")) & F.col("series").eqNullSafe(F.col("s")))
@@ -187,10 +194,11 @@ def links(df: DataFrame, text: str = "text", width: int = WIDTH, least: float =
     texts = df.select(node(text).alias("node"), clean_text(F.col(f"`{text}`")).alias("text"))
     pairs, once = candidates(texts, width)
     led = components(spark, pairs)
-    led = written(spark, led.union(led.select(F.col("root").alias("node"), "root").distinct()), "led")
-    sizes = written(spark, led.groupBy("root").agg(F.count("*").alias("n")), "sizes")
+    led = led.union(led.select(F.col("root").alias("node"), "root").distinct()).join(once.select("node", "bytes"), "node")
+    led = written(spark, led, "led")
+    sizes = written(spark, led.groupBy("root").agg(_blocks(block).alias("m")), "sizes")
     found = written(spark, once.join(led.select("node"), "node", "left_semi"), "texts")
-    if sizes.filter(F.col("n") > block).limit(1).count():
+    if sizes.filter("m > 1").limit(1).count():
         first, dealt = _in_blocks(led, sizes, pairs, found, width, least, block)
     else:
         first, dealt = None, led.select("root", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", F.col("node").alias("label"))
@@ -202,7 +210,7 @@ def links(df: DataFrame, text: str = "text", width: int = WIDTH, least: float =
             own = [(r[3], shingle_set(r[5], width), r[4]) for r in group]
             yield _pairs(spanning([x for x, _, _ in own], [s for _, s, _ in own], least, [x for _, _, x in own]) if len(own) > 1 else [])
 
-    near = rows.mapInArrow(compared, "a long, b long").distinct()
+    near = rows.mapInArrow(compared, "a string, b string").distinct()
     return first.union(near) if first is not None else near
 
 
