@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,7 +41,7 @@ from plumbline.llm.common import clean_text, table, written
 #: Bytes of text that a task counts at a time.
 CHUNK_BYTES = 8_000_000
 #: Words coded at a time: fewer than 2**21.
-CODED = 1_500_000
+CODED = 2_000_000
 #: Bytes of text for each bucket, about.
 BUCKET_BYTES = 8_000_000
 #: Edges of a compacted path's part.
@@ -51,7 +51,7 @@ DEALT = 64
 
 #: The end of a piece: a byte that no UTF-8 text holds.
 END = b"\xff"
-_BYTES = bytes(255 if chr(b) in ".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
+_BYTES = bytes(255 if chr(b) in ".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def chunks(texts: list[bytes]) -> Iterator[bytes]:
@@ -63,79 +63,130 @@ def chunks(texts: list[bytes]) -> Iterator[bytes]:
     yield data[start:] if start else data
 
 
-def edges_of(data: bytes) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+def _array(lengths: np.ndarray, data: np.ndarray | bytes) -> pa.Array:
+    """Binary values of these lengths, end to end."""
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.py_buffer(data)])
+
+
+def _buffers(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of binary values."""
+    _, offsets, data = values.buffers()
+    own = np.frombuffer(offsets, np.int32)[values.offset : values.offset + len(values) + 1] if len(values) else np.zeros(1, np.int32)
+    return own.astype(np.int64), np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+
+
+def tokens_of(data: bytes) -> pa.Array:
+    """Words and ends of pieces, in order."""
+    raw = np.frombuffer(data, np.uint8)
+    end, inside = raw == 255, raw != 32
+    first = inside & (end | np.append(True, (~inside | end)[:-1]))[: len(raw)]
+    starts = np.flatnonzero(first[inside])
+    return _array(np.diff(np.append(starts, inside.sum())), raw[inside])
+
+
+def hashed(values: pa.Array) -> np.ndarray:
+    """64 bits of each value, to deal values out by: a polynomial in the bytes, mixed."""
+    offsets, data = _buffers(values)
+    low, base = int(offsets[0]), np.uint64(0x9E3779B97F4A7C15)
+    own = data[low : int(offsets[-1])].astype(np.uint64) + np.uint64(1)
+    with np.errstate(over="ignore"):
+        powers = np.cumprod(np.full(len(own), base, np.uint64))
+        upto = np.concatenate([[np.uint64(0)], np.cumsum(own * powers, dtype=np.uint64)])
+        back = np.concatenate([[np.uint64(1)], np.cumprod(np.full(len(own), np.uint64(pow(int(base), -1, 1 << 64)), np.uint64))])
+        out = (upto[offsets[1:] - low] - upto[offsets[:-1] - low]) * back[offsets[:-1] - low]
+        out = (out ^ out >> np.uint64(31)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return out ^ out >> np.uint64(29)
+
+
+def edges_of(data: bytes) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """Different edges, sorted, with their occurrences and hashes."""
-    tokens = data.replace(END, b" \xff ").split()
+    tokens = tokens_of(data)
     for s in range(0, len(tokens), CODED):
-        own = [*tokens[s : s + CODED + 2], END, END]
-        names = [END, *sorted(set(own) - {END})]
-        index = dict(zip(names, range(len(names)), strict=True))
-        ids = np.fromiter(map(index.__getitem__, own), np.int64, len(own))
-        x, y, z = (ids[i : min(CODED, len(own) - 2) + i] for i in range(3))
-        x, y, z = x[: len(z)], y[: len(z)], z
+        coded = tokens.slice(s, CODED + 2).dictionary_encode()
+        order = pc.sort_indices(coded.dictionary).to_numpy()
+        names, rank = coded.dictionary.take(pa.array(order)), np.empty(len(order), np.int64)
+        rank[order] = np.arange(1, len(order) + 1)
+        if len(names) and names[-1].as_py() == END:  # the greatest of all, as no word holds this byte
+            rank[order[-1]] = 0
+        ids = np.concatenate([rank[coded.indices.to_numpy()], [0, 0]])
+        n = min(CODED, len(tokens) - s)
+        x, y, z = ids[:n], ids[1 : n + 1], ids[2 : n + 2]
         z = np.where(y == 0, 0, z)
         key, times = np.unique((x << 42 | y << 21 | z)[x > 0], return_counts=True)
-        code = np.fromiter(map(xxhash.xxh64_intdigest, names), np.uint64, len(names))
         x, y, z = key >> 42, key >> 21 & 0x1FFFFF, key & 0x1FFFFF
+        code = np.concatenate([[np.uint64(0)], hashed(names)])
         with np.errstate(over="ignore"):
             mixed = (code[x] * np.uint64(0x9E3779B97F4A7C15) ^ code[y]) * np.uint64(0xC2B2AE3D27D4EB4F) ^ code[z]
-        grams = [b" ".join((names[a], names[b], names[c])) if c else b" ".join((names[a], names[b])) if b else names[a] for a, b, c in zip(x.tolist(), y.tolist(), z.tolist(), strict=True)]
-        yield grams, times, mixed
+        parts = [names.take(pa.array(np.maximum(i - 1, 0), mask=i == 0)) for i in (x, y, z)]
+        yield pc.binary_join_element_wise(*parts, b" ", null_handling="skip"), times, mixed
 
 
-def packed(grams: list[bytes], times: np.ndarray, hashes: np.ndarray, buckets: int) -> tuple[list[int], list[bytes]]:
-    """Grams (no word holds a line end) and their counts as one compressed value for each bucket."""
-    to = (hashes >> np.uint64(33)) % np.uint64(buckets)
+def packed(grams: pa.Array, times: np.ndarray, hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Buckets, their numbers of grams, and grams and counts of each as one compressed value."""
+    to = ((hashes >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(to, kind="stable")
-    to = to[order].astype(np.int64)
-    cuts = [0, *(np.flatnonzero(np.diff(to)) + 1).tolist(), len(to)] if len(to) else [0]
-    place, press = order.tolist(), zstandard.ZstdCompressor(level=1).compress
-    own = np.asarray(times, np.int64)[order]
-    return [int(to[a]) for a in cuts[:-1]], [press(own[a:b].tobytes() + b"\n".join([grams[i] for i in place[a:b]])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-
-
-def summed(blobs: list[bytes], sizes: list[int]) -> tuple[list[bytes], np.ndarray]:
-    """Different grams of packed values, with the sums of their counts."""
-    grams, times, open_ = [], [], zstandard.ZstdDecompressor().decompress
-    for blob, n in zip(blobs, sizes, strict=True):
-        data = open_(blob)
-        times.append(np.frombuffer(data[: 8 * n], np.int64))
-        grams.append(pa.array(data[8 * n :].split(b"\n"), pa.binary()))
-    both = pa.table({"g": pa.concat_arrays(grams), "n": pa.array(np.concatenate(times))}).group_by("g").aggregate([("n", "sum")])
-    return both.column("g").to_pylist(), both.column("n_sum").to_numpy()
+    own, cuts = to[order], np.flatnonzero(np.diff(to[order], prepend=-1, append=-1))
+    offsets, data = _buffers(grams.take(pa.array(order)))
+    counts, lengths, press = np.asarray(times, np.int64)[order], np.diff(offsets).astype(np.int32), zstandard.ZstdCompressor(level=1).compress
+    blobs = [press(counts[a:b].tobytes() + lengths[a:b].tobytes() + data[offsets[a] : offsets[b]].tobytes()) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+    return own[cuts[:-1]], np.diff(cuts), blobs
+
+
+def summed(grams: list[pa.Array], times: list[np.ndarray]) -> tuple[pa.Array, np.ndarray]:
+    """Different grams with the sums of their counts."""
+    both = pa.table({"g": pa.chunked_array(grams, pa.binary()), "n": pa.array(np.concatenate(times))}).group_by("g").aggregate([("n", "sum")])
+    own = both.column("g").combine_chunks()
+    return own.chunk(0) if isinstance(own, pa.ChunkedArray) else own, both.column("n_sum").to_numpy()
+
+
+def unpacked(blob: bytes, n: int) -> tuple[pa.Array, np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    return _array(np.frombuffer(data, np.int32, n, 8 * n), data[12 * n :]), np.frombuffer(data, np.int64, n)
+
+
+def without_last(grams: pa.Array, words: int) -> tuple[pa.Array, np.ndarray]:
+    """Grams of `words` words without their last one, others as they are; and the numbers of words."""
+    offsets, data = _buffers(grams)
+    blanks = np.flatnonzero(data == 32)
+    upto = np.searchsorted(blanks, offsets)
+    count = np.diff(upto) + 1
+    cut = np.flatnonzero(count == words)
+    last, stop = blanks[upto[cut + 1] - 1], offsets[cut + 1]
+    change = np.zeros(len(data) + 1, np.int8)
+    change[last] += 1
+    change[stop] -= 1
+    lengths = np.diff(offsets)
+    lengths[cut] -= stop - last
+    stays = np.cumsum(change[:-1], dtype=np.int8) == 0
+    return _array(lengths, data[: offsets[-1]][stays[: offsets[-1]]]), count
 
 
 _PACKED = "lang string, bucket int, size int, blob binary"
 _COUNTED = f"{_PACKED}, gram string, f long"
 
 
-def _rows(lang: str, buckets: list[int], blobs: list[bytes], to: np.ndarray) -> list[pa.Array]:
-    return [pa.array([lang] * len(blobs), pa.string()), pa.array(buckets, pa.int32()), pa.array(to[np.array(buckets, np.int64)] if blobs else [], pa.int32()), pa.array(blobs, pa.binary())]
+def _rows(lang: str, numbers: np.ndarray, sizes: np.ndarray, blobs: list[bytes]) -> list[pa.Array]:
+    return [pa.array([lang] * len(blobs), pa.string()), pa.array(numbers, pa.int32()), pa.array(sizes, pa.int32()), pa.array(blobs, pa.binary())]
 
 
 def _sums(df: DataFrame, buckets: int, least: int, longest: bool) -> DataFrame:
     """Sums packed grams by bucket. Rows with `gram`: those of at least `least` occurrences, and all single words if not
     `longest`; rows with `blob`: the flow into the next shorter grams, if `longest`."""
+    words = 3 if longest else 2
 
     def done(lang: str, blobs: list[bytes], sizes: list[int]) -> Iterator[pa.RecordBatch]:
-        grams, times = summed(blobs, sizes)
-        spaces = np.fromiter((g.count(b" ") for g in grams), np.int64, len(grams))
-        own = np.flatnonzero((times >= least) & (spaces == (2 if longest else 1)))
-        keep, count = [grams[i] for i in own.tolist()], times[own]
-        flow: dict[bytes, int] = {}
-        for g, n, s in zip(grams, times.tolist(), spaces.tolist(), strict=True):
-            g = g.rpartition(b" ")[0] if s == (2 if longest else 1) else g
-            flow[g] = flow.get(g, 0) + n
+        grams, times = summed(*map(list, zip(*map(unpacked, blobs, sizes), strict=True)))
+        shorter, count = without_last(grams, words)
+        own = np.flatnonzero((times >= least) & (count == words))
+        keep, kept = grams.take(pa.array(own)), times[own]
+        flow, flows = summed([shorter], [times])
         if not longest:
-            keep, count = keep + list(flow), np.concatenate([count, np.fromiter(flow.values(), np.int64, len(flow))])
+            keep, kept = pa.concat_arrays([keep, flow]), np.concatenate([kept, flows])
         none = pa.nulls(len(keep), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keep), pa.string()), none, none, pa.nulls(len(keep), pa.binary()), pa.array(keep, pa.binary()).cast(pa.string(), safe=False), pa.array(count, pa.int64())], names=_names)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keep), pa.string()), none, none, pa.nulls(len(keep), pa.binary()), keep.cast(pa.string(), safe=False), pa.array(kept, pa.int64())], names=_names)
         if longest:
-            short = list(flow)
-            hashes = np.fromiter(map(xxhash.xxh64_intdigest, short), np.uint64, len(short))
-            to = np.bincount(((hashes >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64), minlength=buckets)
-            numbers, blobs = packed(short, np.fromiter(flow.values(), np.int64, len(short)), hashes, buckets)
-            yield pa.RecordBatch.from_arrays([*_rows(lang, numbers, blobs, to), pa.nulls(len(blobs), pa.string()), pa.nulls(len(blobs), pa.int64())], names=_names)
+            numbers, n, blobs = packed(flow, flows, hashed(flow), buckets)
+            yield pa.RecordBatch.from_arrays([*_rows(lang, numbers, n, blobs), pa.nulls(len(blobs), pa.string()), pa.nulls(len(blobs), pa.int64())], names=_names)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blobs, sizes = None, [], []
@@ -169,9 +220,8 @@ def graph(df: DataFrame, text: str = "text", lang: str = "lang", least: int = 10
         def sent() -> Iterator[pa.RecordBatch]:
             for lang, texts in held.items():
                 for data in chunks(texts):
-                    for grams, times, hashes in edges_of(data):
-                        to = np.bincount(((hashes >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64), minlength=buckets)
-                        yield pa.RecordBatch.from_arrays(_rows(lang, *packed(grams, times, hashes, buckets), to), names=_names[:4])
+                    for edges in edges_of(data):
+                        yield pa.RecordBatch.from_arrays(_rows(lang, *packed(*edges, buckets)), names=_names[:4])
             held.clear()
 
         n = 0
