@@ -175,8 +175,8 @@ def dedup_lines(df: DataFrame, id: str = "doc_id", text: str = "text", least: in
     held = written(spark, docs.select(F.col(f"`{id}`"), F.col(f"`{text}`")).mapInArrow(emit, rows), "suspects")
     ends = held.groupBy("name").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.max(F.col("id").isNull()).alias("more"))
     first = written(spark, ends.filter("first is not null and (first < last or more)").select("name", "first"), "repeated")
-    lost = held.join(first, "name").filter("id is null or id > first").select("id", "mark", "name").distinct()
-    lost = written(spark, lost.groupBy("id", "mark").agg(F.collect_list("name").alias("_names")), "lost").withColumnsRenamed({"id": "_id", "mark": "_lost"})
+    lost = held.join(first, "name").filter("id is null or id > first").select("id", "mark", "name")
+    lost = written(spark, lost.groupBy("id", "mark").agg(F.collect_set("name").alias("_names")), "lost").withColumnsRenamed({"id": "_id", "mark": "_lost"})
     with_lines = T.StructType([*plain.fields, T.StructField("n_lines", T.LongType()), T.StructField("_mark", T.BinaryType())])
     dirty = docs.mapInArrow(parted(True), with_lines)
     joined = dirty.join(lost, dirty[id].eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_lost")), "left").drop("_mark", "_id", "_lost")
