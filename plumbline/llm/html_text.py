@@ -6,9 +6,9 @@ and comments, raw text of script, style and the like. Each block has features of
 their classes, ids and roles), of its text (length, links, punctuation, typical words) and of its place. The field
 labels the sequence of blocks as article or other, by Viterbi; article blocks are the text.
 
-It is trained on labelled pages, which `labelled_pages` writes: page templates with menus, headers, banners, adverts,
-forms, sidebars, related links, comments and footers around articles, in several markup styles, each block's label
-known. Their number is bounded; the weights (a few hundred) travel with the function.
+It is trained on labelled pages: `labelled_pages` writes page templates with menus, headers, banners, adverts, forms,
+sidebars, related links, comments and footers around articles, in several markup styles, and `plain_pages` pages without
+names and sections (bare text, layouts by tables, nested divisions), each block's label known. Their number is bounded; the weights (a few hundred) travel with the function.
 
 In a block, character references are decoded and white space is folded into one space; blocks are joined in page order
 by two line feeds. Nothing else is dropped or capped.
@@ -29,13 +29,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm import crf
-from plumbline.llm.common import clean_text, table
+from plumbline.llm.common import byte_chunks, clean_text, table
 
+#: Bytes taken at a time inside a task.
+CHUNK_BYTES = 4_000_000
 #: Elements that begin and end blocks.
 BLOCKS = set("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav noscript ol option p pre search section select summary table tbody td template textarea tfoot th thead title tr ul".split())
 #: Elements without an end tag.
@@ -416,6 +419,60 @@ def labelled_pages(count: int = 600, seed: int = 5) -> Iterator[tuple[str, list[
         yield "".join(out), [(" ".join(t.split()), label) for t, label in blocks]
 
 
+def plain_pages(count: int = 200, seed: int = 11) -> Iterator[tuple[str, list[tuple[str, int]]]]:
+    """Pages without names and sections, as `labelled_pages` gives them: bare text, layouts by tables, nested divisions."""
+    rng = random.Random(seed)
+    syllables = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve ment sch ung keit que les ción para".split()
+
+    def words(low: int, high: int) -> str:
+        return " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(low, high))).capitalize()
+
+    for _ in range(count):
+        blocks: list[tuple[str, int]] = []
+
+        def put(text: str, label: int) -> str:
+            blocks.append((text, label))
+            return html.escape(text, quote=False)
+
+        def linked() -> str:
+            names, style = [words(1, 2) for _ in range(rng.randint(1, 5))], rng.random()
+            if style < 0.5:  # one block of several links
+                put(" ".join(names), 0)
+                return rng.choice([" ", "<br>"]).join(f"<a href={i}>{html.escape(x, quote=False)}</a>" for i, x in enumerate(names))
+            tag = rng.choice(["div", "p", "td", "li"])
+            rows = "".join(f"<{tag}><a href='/{i}'>{put(x, 0)}</a></{tag}>" for i, x in enumerate(names))
+            return {"td": f"<table><tr>{rows}</table>", "li": f"<ul>{rows}</ul>"}.get(tag, rows)
+
+        def text() -> str:
+            return " ".join(words(4, 16) + rng.choice("...!?") for _ in range(rng.choice([1, 1, 2, 3, 5])))
+
+        def article() -> str:
+            tag = rng.choice(["p", "p", "p", "div"])
+            head = rng.choice(["<h1>{}</h1>", "<h2>{}</h2>", "<b>{}</b>"]).format(put(words(1, 6), 1)) if rng.random() < 0.6 else ""
+            rows = [f"<{tag}>{put(text(), 1)}</{tag}>" for _ in range(rng.choice([1, 1, 2, 3, 4]))]
+            return head + "".join(rows)
+
+        def foot() -> str:
+            return put(rng.choice(["© {}", "Copyright {}", "Copyright 20{1} {0}", "{}"]).format(words(1, 3), rng.randint(10, 29)), 0) if rng.random() < 0.6 else linked()
+
+        kind = rng.random()
+        if kind < 0.35:  # nothing but the text
+            out = rng.choice(["{}", "<div>{}</div>", "<div><div>{}</div></div>", "<table><tr><td>{}</td></tr></table>", "<center>{}</center>"]).format(article() if rng.random() < 0.8 else put(text(), 1))
+        elif kind < 0.7:  # rows or columns of a table
+            parts = [linked(), article(), foot()] if rng.random() < 0.7 else [linked(), article()]
+            out = "<table>" + rng.choice(["</td></tr><tr><td>", "</td><td>", "<td>"]).join(parts).join(["<tr><td width=100>", "</td></tr></table>"])
+        else:
+            parts = [linked() for _ in range(rng.randint(1, 2))] + [article()] + [foot() for _ in range(rng.randint(0, 2))]
+            out = "".join(f"<div>{'<div>' * (n := rng.randint(0, 2))}{x}{'</div>' * n}</div>" for x in parts)
+        yield rng.choice(["{}", "<body>{}</body>", "<html><head><title>T</title></head><body>{}</body></html>"]).replace("{}", out), [(" ".join(t.split()), label) for t, label in blocks]
+
+
+def training_pages() -> Iterator[tuple[str, list[tuple[str, int]]]]:
+    """All templates."""
+    yield from labelled_pages()
+    yield from plain_pages()
+
+
 class Extractor:
     """The trained field."""
 
@@ -449,14 +506,14 @@ def train(pages: Iterator[tuple[str, list[tuple[str, int]]]], rounds: int = 250)
 
 def extract(df: DataFrame, page: str = "html", model: Extractor | None = None) -> DataFrame:
     """df with `text`, the article's text, in place of the page."""
-    model = model or train(labelled_pages())
+    model = model or train(training_pages())
     rest = [c for c in df.columns if c not in ("text", page)]
     df = df.select(*[F.col(f"`{c}`") for c in rest], clean_text(page).alias("text"))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
+            for rows in byte_chunks(pc.binary_length(batch.column(len(rest))).to_pylist(), CHUNK_BYTES):
+                part = batch.slice(rows.start, rows.stop - rows.start)
                 texts = [model(x) for x in part.column(len(rest)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], names=[*rest, "text"])
 
