@@ -89,6 +89,9 @@ SENTENCES = {
     "neither the names of * may be used to endorse or promote products derived from this software without * permission": "bd",
     "the name of * may not be used to endorse or promote products derived from this software without * permission": "bd",
     "the names of * may not be used to endorse or promote products derived from this software without * permission": "bd",
+    "* endorse or promote products derived from this software *": "bd",
+    "all advertising materials mentioning features or use of this software must display the following acknowledgement *": "bv",
+    "all advertising materials mentioning features or use of this software must display the following acknowledgement": "bv",
     "this software is provided by * as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "be",
     "in no event shall * be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage": "bf",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "ia",
@@ -116,6 +119,7 @@ RULES = [
     ("GPL-3.0-only", "gt"), ("GPL-2.0-only", "gs"), ("GPL-3.0-only", "gc"), ("GPL-2.0-only", "gb"),
     ("LGPL-3.0-or-later", "lf"), ("LGPL-2.1-or-later", "le"), ("LGPL-3.0-only", "lt"), ("LGPL-2.1-only", "ls"),
     ("AGPL-3.0-or-later", "fa"), ("AGPL-3.0-only", "ft"),
+    ("BSD-4-Clause", "ba bb bc bv bd be bf"), ("BSD-4-Clause", "ba bb bc bv bd"),
     ("BSD-3-Clause", "ba bb bc bd be bf"), ("BSD-3-Clause", "ba bb bc bd"), ("BSD-2-Clause", "ba bb bc be bf"), ("BSD-2-Clause", "ba bb bc"),
     ("ISC", "ia ib ic"), ("ISC", "ia"), ("MPL-2.0", "pa pb"), ("MPL-2.0", "pa"), ("MPL-2.0", "pt"),
     ("Unlicense", "ua ub"), ("Unlicense", "ua"), ("BSL-1.0", "bt"), ("BSL-1.0", "bu"), ("EPL-2.0", "et"), ("EPL-2.0", "ea"), ("CC0-1.0", "zt"),
