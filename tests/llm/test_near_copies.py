@@ -74,3 +74,31 @@ def test_ids_that_repeat_or_lack_lose_no_text(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     kept = [tuple(r) for r in near_copies.deduplicate(df).collect()]
     assert sorted(kept, key=lambda r: r[1]) == [(1, a), (5, b), (None, c), (9, d)]
+
+
+def test_blocks_by_bytes_lose_no_link(spark, monkeypatch):
+    """Large copies of large texts: groups in Python stay below two blocks of bytes, and every link is found."""
+    monkeypatch.setattr(near_copies, "BLOCK_BYTES", 20_000)
+    rng = random.Random(11)
+    words = ["w" + str(i) for i in range(500)]
+    base = [" ".join(rng.choice(words) for _ in range(1_200)) for _ in range(2)]
+    rows = [(i, base[i % 2] + f" end {i}") for i in range(40)] + [(100, "short text"), (101, base[0])]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    got = {r.doc_id for r in near_copies.deduplicate(df).collect()}
+    assert got == smallest_of_groups(rows)
+
+
+def test_memory_of_a_group_of_long_texts():
+    """Two blocks of 16 MB of text: 32 texts of 1 MB."""
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(12)
+    base = np.unique(rng.integers(0, 2**63, 170_000, np.uint64))
+    sets = [np.unique(np.concatenate([base[i * 500 :], rng.integers(0, 2**63, 400, np.uint64)])) for i in range(32)]
+    tracemalloc.start()
+    links = near_copies.spanning([f"n{i}" for i in range(32)], sets, 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(links) == 31 and peak < 600e6
