@@ -5,6 +5,9 @@ A row of an array is an item, an array index a channel; the calibration rows are
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -109,6 +112,25 @@ def extra_error(t: DataFrame) -> DataFrame:
     return e.crossJoin(F.broadcast(n)).select("tensor", "e", (F.col("tensor") < F.col("k")).alias("early"))
 
 
+#: How the range of a channel can be found: name -> function of (item, v) rows giving channel, lo, hi. Users add their own.
+RANGES: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "minmax": q_range_minmax,
+    "percentile": q_range_percentile,
+    "entropy": lambda df: q_range_entropy(df).select("channel", (-F.col("limit")).alias("lo"), F.col("limit").alias("hi")),
+}
+
+
+def channel_ranges(df: DataFrame, how: str | Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """channel, lo, hi by a registered way, or by one's own."""
+    return (RANGES[how] if isinstance(how, str) else how)(df).select("channel", "lo", "hi")
+
+
+def q_ranges(df: DataFrame) -> DataFrame:
+    """The ranges of all registered ways, side by side."""
+    all_ = [channel_ranges(df, how).withColumn("how", F.lit(how)) for how in ("minmax", "percentile", "entropy")]
+    return reduce(DataFrame.unionByName, all_)
+
+
 def first_ones(df: DataFrame, order: list[Column], k: int, place: str = "place") -> DataFrame:
     """The first k rows with their places: each task keeps its own k, and these are merged; k is small."""
     first = df.orderBy(*order).limit(k).agg(F.collect_list(F.struct(*df.columns)).alias("_rows"))
@@ -126,6 +148,7 @@ QUERIES = {
     "q_range_minmax": lambda s, d: q_range_minmax(vectors(s, d)),
     "q_range_percentile": lambda s, d: q_range_percentile(vectors(s, d)),
     "q_range_entropy": lambda s, d: q_range_entropy(vectors(s, d)),
+    "q_ranges": lambda s, d: q_ranges(vectors(s, d)),
     "q_fake_quantize": lambda s, d: quantised(vectors(s, d)).select("item", "channel", r9(F.col("y")).alias("y")),
     "q_levels": lambda s, d: quantised(vectors(s, d)).select("item", "channel", "level"),
     "q_distinct_levels": lambda s, d: quantised(vectors(s, d)).groupBy("item").agg(F.count_distinct("level").alias("distinct_levels")),
@@ -169,3 +192,5 @@ select channel, round(top * width / 128.0::double, 9) as "limit" from (select *,
     "q_extra_error": f"{_E} select early, count(*) tensors, round(median(e), 5) median_e from ee group by 1",
     "q_top_tensors": f"{_E} select place, tensor, round(e, 5) e, early from (select *, row_number() over (order by e desc, tensor) place from ee) where place <= 5",
 }
+ORACLE["q_ranges"] = f"""select *, 'minmax' how from ({ORACLE['q_range_minmax']}) union all select *, 'percentile' from ({ORACLE['q_range_percentile']})
+union all select channel, -"limit", "limit", 'entropy' from ({ORACLE['q_range_entropy']})"""

@@ -26,7 +26,7 @@ def test_entry_without_the_subpackage():
     assert out == [str(len(registry.queries())), str(len(registry.oracle_sql()))]
 
 
-@pytest.mark.parametrize("name", ["m_accuracy", "m_aurc", "m_conformal_threshold", "m_temperature_fit", "bs_ece_ci", "bs_aurc_ci", "bs_corr_ci", "bs_weights", "cmp_envelope", "alarm_judge", "split_make", "q_sqnr", "q_range_entropy", "dq_record", "dq_build_match", "cond_label", "src_parquet_positions", "src_folder_labels", "lat_rows_sorted", "st_count_alarm", "st_time_windows", "st_running_accuracy", "st_dedup"])
+@pytest.mark.parametrize("name", ["m_accuracy", "m_aurc", "m_conformal_threshold", "m_temperature_fit", "bs_ece_ci", "bs_aurc_ci", "bs_corr_ci", "bs_weights", "cmp_envelope", "alarm_judge", "split_make", "q_sqnr", "q_range_entropy", "dq_record", "dq_build_match", "cond_label", "src_parquet_positions", "src_folder_labels", "lat_rows_sorted", "st_count_alarm", "st_time_windows", "st_running_accuracy", "st_dedup", "st_keyed_alarm", "sink_scores", "cache_keyed", "cache_parts", "work_grid_resume", "src_parquet_chosen", "q_range_percentile_sketch", "lat_summarise_sketch", "q_ranges", "q_top_tensors", "dq_json_diff", "dq_allowed_changes", "cmp_speed_ratio", "bs_e_aurc_diff_ci", "bs_paired_diff", "m_agreement"])
 def test_query_equals_its_twin(spark, name):
     db = duckdb.connect()
     for t in TABLES:

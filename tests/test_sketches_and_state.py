@@ -109,3 +109,11 @@ def test_speed_of_every_build_against_the_reference(spark):
     t = spark.createDataFrame(rows, "build string, session int, run int, start double, stop double, ms double")
     assert {(r.build, r.session, r.ratio, r.slower) for r in latency.speed_ratio(t).collect()} == {("b", 1, 0.5, False), ("b", 2, 0.5, False), ("c", 1, 1.5, True), ("c", 2, 1.5, True)}
     assert {(r.build, r.session) for r in latency.speed_ratio(t, "b").collect()} == {("a", 1), ("a", 2), ("c", 1), ("c", 2)}
+
+
+def test_a_users_range(spark):
+    df = spark.createDataFrame([(i, [float(i), -float(i)]) for i in range(0, 40, 4)], "item long, v array<double>")
+    mine = lambda rows: quantise.long(rows).groupBy("channel").agg(F.lit(0.0).alias("lo"), F.sum("x").alias("hi"))
+    assert {tuple(r) for r in quantise.channel_ranges(df, mine).collect()} == {(0, 0.0, 180.0), (1, 0.0, -180.0)}
+    assert {tuple(r) for r in quantise.channel_ranges(df, "minmax").collect()} == {(0, 0.0, 36.0), (1, -36.0, 0.0)}
+    assert set(quantise.RANGES) == {"minmax", "percentile", "entropy"}
