@@ -39,11 +39,11 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import clean_text, table, written
 
 #: Bytes of text that a task counts at a time.
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 4_000_000
 #: Words coded at a time: fewer than 2**21.
-CODED = 2_000_000
+CODED = 1_000_000
 #: Bytes of text for each bucket, about.
-BUCKET_BYTES = 8_000_000
+BUCKET_BYTES = 4_000_000
 #: Edges of a compacted path's part.
 PART = 512
 #: Groups that a language's candidates are dealt into before the first ones are chosen.
@@ -84,18 +84,22 @@ def tokens_of(data: bytes) -> pa.Array:
     return _array(np.diff(np.append(starts, inside.sum())), raw[inside])
 
 
-def hashed(values: pa.Array) -> np.ndarray:
+def hashed(values: pa.Array, step: int = 1 << 16) -> np.ndarray:
     """64 bits of each value, to deal values out by: a polynomial in the bytes, mixed."""
-    offsets, data = _buffers(values)
-    low, base = int(offsets[0]), np.uint64(0x9E3779B97F4A7C15)
-    own = data[low : int(offsets[-1])].astype(np.uint64) + np.uint64(1)
-    with np.errstate(over="ignore"):
-        powers = np.cumprod(np.full(len(own), base, np.uint64))
-        upto = np.concatenate([[np.uint64(0)], np.cumsum(own * powers, dtype=np.uint64)])
-        back = np.concatenate([[np.uint64(1)], np.cumprod(np.full(len(own), np.uint64(pow(int(base), -1, 1 << 64)), np.uint64))])
-        out = (upto[offsets[1:] - low] - upto[offsets[:-1] - low]) * back[offsets[:-1] - low]
-        out = (out ^ out >> np.uint64(31)) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return out ^ out >> np.uint64(29)
+    base = np.uint64(0x9E3779B97F4A7C15)
+    inverse, out = np.uint64(pow(int(base), -1, 1 << 64)), [np.zeros(0, np.uint64)]
+    for i in range(0, len(values), step):
+        offsets, data = _buffers(values.slice(i, step))
+        own = data[int(offsets[0]) : int(offsets[-1])].astype(np.uint64) + np.uint64(1)
+        offsets = offsets - offsets[0]
+        with np.errstate(over="ignore"):
+            own *= np.cumprod(np.full(len(own), base, np.uint64))
+            upto = np.concatenate([[np.uint64(0)], np.cumsum(own, dtype=np.uint64)])
+            back = np.concatenate([[np.uint64(1)], np.cumprod(np.full(len(own), inverse, np.uint64))])
+            x = (upto[offsets[1:]] - upto[offsets[:-1]]) * back[offsets[:-1]]
+            x = (x ^ x >> np.uint64(31)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        out.append(x ^ x >> np.uint64(29))
+    return np.concatenate(out)
 
 
 def edges_of(data: bytes) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
