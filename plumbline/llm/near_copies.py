@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm import simhash
-from plumbline.llm.common import clean_text, written
+from plumbline.llm.common import bucketed, clean_text, settled, written
 from plumbline.llm.simhash import components, majority, shingle_hashes
 
 WIDTH, LEAST = 5, 0.8
@@ -115,7 +115,7 @@ def _blocks(block: int) -> Column:
 
 def candidates(texts: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     """(a, b): texts (node, text) led to a smaller one that they share a band or nearly a fingerprint with; and each text once,
-    combined before it is shuffled. Both are written."""
+    combined before it is shuffled, in buckets of nodes. Both are written."""
     spark = texts.sparkSession
 
     def signed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +128,7 @@ def candidates(texts: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["node", "text", "fp", "keys"])
 
     once = texts.mapInArrow(signed, "node string, text string, fp long, keys array<long>").groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "keys", "text")], F.first(F.octet_length("text")).cast("long").alias("bytes"))
-    once = written(spark, once, "signatures")
+    once = bucketed(spark, once, "signatures", "node")  # the join that picks texts of candidates does not move them all again
     keys = once.select("node", F.explode("keys").alias("key"))
     shared = written(spark, keys.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n"), "shared")
     by_band = keys.join(shared, "key").select(F.col("node").alias("a"), "b")
@@ -226,8 +226,8 @@ def groups(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = W
 def deduplicate(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH, least: float = LEAST) -> DataFrame:
     """df with one row of each group of near copies: the one with the smallest id, then the smallest node. A row
     without an id stands only for a group in which no row has one. Only rows that occur more than once are dealt anew."""
-    first = groups(df, id, text, width, least).groupBy("root").agg(F.min(F.struct("none", "id", "node", "rows")).alias("row"))
-    first = written(df.sparkSession, first.select(F.col("row.id").alias("_first"), F.col("row.node").alias("_node"), F.col("row.rows").alias("_rows")), "first")
+    least_rows = lambda: groups(df, id, text, width, least).groupBy("root").agg(F.min(F.struct("none", "id", "node", "rows")).alias("row"))
+    first = settled(df.sparkSession, lambda: least_rows().select(F.col("row.id").alias("_first"), F.col("row.node").alias("_node"), F.col("row.rows").alias("_rows")), "first")
     kept = lambda rows: df.join(rows, F.col(f"`{id}`").eqNullSafe(F.col("_first")) & (node(text) == F.col("_node")), "left_semi")
     once = kept(first.filter("_rows = 1"))
     if not first.filter("_rows > 1").count():

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from plumbline import shared
 from plumbline.llm import near_copies
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -102,3 +103,29 @@ def test_memory_of_a_group_of_long_texts():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(links) == 31 and peak < 600e6
+
+
+def test_texts_move_once_and_intermediate_tables_go(spark):
+    """The pipeline's disk: the join that picks the candidates' texts moved all texts again where names are too many to
+    broadcast, and the stage's tables stayed beside the next stage's."""
+    import os
+
+    rows = planted()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    own = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs, once = near_copies.candidates(df.select(near_copies.node("text").alias("node"), near_copies.clean_text("text").alias("text")), 5)
+        picked = once.join(pairs.select("a"), once["node"] == pairs["a"], "left_semi")
+        plan = picked._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1, plan
+        wanted = {r.a for r in pairs.collect()}
+        assert {r.node for r in picked.collect()} == wanted
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", own)
+    folder = shared.shared_dir(spark).removeprefix("file:")
+    before, tables = set(os.listdir(folder)), spark.catalog.listTables()
+    kept = near_copies.deduplicate(df)
+    assert {x.split("-")[0] for x in set(os.listdir(folder)) - before} == {"first"}
+    assert spark.catalog.listTables() == tables
+    assert {r.doc_id for r in kept.collect()} == smallest_of_groups(rows)
