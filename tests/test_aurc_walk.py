@@ -9,13 +9,14 @@ from plumbline.operators import resample
 
 
 def _rows(seed: int, n: int) -> list[tuple]:
-    """Long runs, ties of either kind and of both, a share of an error, items that come twice, a cell without errors."""
+    """Long runs, ties of either kind and of both, a share of an error, items that come twice, a cell without errors, one that
+    is a tie."""
     rng = np.random.default_rng(seed)
     confidence = np.where(rng.random(n) < 0.5, rng.integers(0, 40, n) / 40, rng.random(n))
     correct = np.where(confidence > 0.9, 1.0, np.where(confidence < 0.1, 0.0, rng.integers(0, 2, n)))
     correct[::17] = 0.25
     rows = [("mn"[i % 2], i // 3, float(c), float(x)) for i, (c, x) in enumerate(zip(confidence, correct, strict=True))]
-    return [*rows, *[("o", i, i / 200, 1.0) for i in range(200)], *[("p", 2**40 + i, 0.5, 0.0) for i in range(12)]]
+    return [*rows, *[("o", i, i / 200, 1.0) for i in range(200)], *[("p", 2**40 + i, 0.5, 0.0) for i in range(12)], *[("q", i, 0.5, float(i % 3 == 0)) for i in range(150)]]
 
 
 def _want(rows: list[tuple], w: dict) -> float:
@@ -35,7 +36,7 @@ def test_aurc_equals_brute_force(spark, heavy):
     got = {(r.model, r.b): r.aurc for r in resample.aurc_replicates(df, ["model"], b, heavy=heavy, rows=90).collect()}
     items = sorted({r[1] for r in rows})
     weights = resample.weight_matrix(np.array(items), b, resample.SEED)
-    for k in "mnop":
+    for k in "mnopq":
         for r in range(b):
             assert abs(got[k, r] - _want([x for x in rows if x[0] == k], dict(zip(items, weights[:, r], strict=True)))) < 1e-10
 
